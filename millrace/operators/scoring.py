@@ -14,7 +14,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import HashingTF, IDF, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from millrace import schemas, session
 from millrace.functions.text import left_aligned, padded_codes, tumour_type, words
@@ -47,9 +47,9 @@ def map_with_service(df: DataFrame, name: str, load: Callable[[], Any],
 
 def map_with_async_service(df: DataFrame, name: str, load: Callable[[], Any],
                            call: Callable[[Any, Any], Any], column: str, result: str,
-                           result_type: str, in_flight: int = 16) -> DataFrame:
+                           result_type: T.DataType, in_flight: int = 16) -> DataFrame:
     """Add ``result`` from one service call per row, ``in_flight`` at a time, in row order."""
-    schema = df.schema.add(result, result_type)
+    schema = T.StructType([*df.schema.fields, T.StructField(result, result_type)])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         service = worker_service(name, load)

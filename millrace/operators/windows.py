@@ -14,8 +14,24 @@ from pyspark.sql import DataFrame, Window, functions as F
 CHUNK_PANES = 20_000
 
 
+def pane_sums(df: DataFrame, key: str, time_ms: str, value: str, slide_ms: int) -> DataFrame:
+    """Sum and count per key and pane (``floor(time / slide)``)."""
+    return (
+        df.where(F.col(value).isNotNull())
+        .groupBy(key, F.floor(F.col(time_ms) / slide_ms).alias("pane"))
+        .agg(F.sum(value).alias("sum"), F.count("*").alias("count"))
+    )
+
+
 def sliding_segments(df: DataFrame, key: str, time_ms: str, value: str, size_ms: int,
                      slide_ms: int, chunk_panes: int = CHUNK_PANES) -> DataFrame:
+    """Average and count over sliding windows, from rows; see ``segments_of_panes``."""
+    panes = pane_sums(df, key, time_ms, value, slide_ms)
+    return segments_of_panes(panes, key, size_ms, slide_ms, chunk_panes)
+
+
+def segments_of_panes(panes: DataFrame, key: str, size_ms: int, slide_ms: int,
+                      chunk_panes: int = CHUNK_PANES) -> DataFrame:
     """Average and count over sliding windows, as (key, first_end, last_end, avg, count).
 
     All windows ending at ``first_end``, ``first_end + slide``, .. ``last_end``
@@ -26,11 +42,6 @@ def sliding_segments(df: DataFrame, key: str, time_ms: str, value: str, size_ms:
         raise ValueError("the slide must divide the window size")
     panes_per_window = size_ms // slide_ms
     chunk = max(chunk_panes, panes_per_window)
-    panes = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(key, F.floor(F.col(time_ms) / slide_ms).alias("_pane"))
-        .agg(F.sum(value).alias("_sum"), F.count("*").alias("_count"))
-    )
 
     def mark(position, total, count, home=None):
         home = position if home is None else home
@@ -39,14 +50,14 @@ def sliding_segments(df: DataFrame, key: str, time_ms: str, value: str, size_ms:
             total.alias("_sum"), count.alias("_count"),
         )
 
-    pane, last = F.col("_pane"), F.col("_pane") + (panes_per_window - 1)
+    pane, last = F.col("pane"), F.col("pane") + (panes_per_window - 1)
     none, zero = F.lit(0.0), F.lit(0).cast("long")
     # The pane enters at its own position and leaves one window later. If the
     # windows holding it run into the next chunk, that chunk gets a copy and a
     # change point at its own start.
-    enter, leave = [mark(pane, F.col("_sum"), F.col("_count")), mark(last + 1, none, zero)]
+    enter, leave = [mark(pane, F.col("sum"), F.col("count")), mark(last + 1, none, zero)]
     carried = [
-        mark(pane, F.col("_sum"), F.col("_count"), home=last),
+        mark(pane, F.col("sum"), F.col("count"), home=last),
         mark(F.floor(last / chunk) * chunk, none, zero),
     ]
     crosses = F.floor(pane / chunk) != F.floor(last / chunk)

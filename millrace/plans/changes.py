@@ -22,6 +22,9 @@ envelopes AS (
       || '","pos":' || o_orderkey || ',"row":0}},"op":"' || {_OP} || '"}}}}' AS value
   FROM orders)
 """
+CURRENT_SQL = f"""WITH {ENVELOPES}
+SELECT o_custkey AS id, arg_max(o_orderkey, o_orderkey) AS order_id, arg_max(o_orderpriority, o_orderkey) AS priority
+FROM envelopes GROUP BY 1 HAVING arg_max(op, o_orderkey) <> 'd'"""
 
 
 def envelopes(spark, sf_dir):
@@ -44,9 +47,7 @@ def envelopes(spark, sf_dir):
         F.col("o_orderkey").alias("pos"))
 
 
-@query("cdc_current", f"""WITH {ENVELOPES}
-SELECT o_custkey AS id, arg_max(o_orderkey, o_orderkey) AS order_id, arg_max(o_orderpriority, o_orderkey) AS priority
-FROM envelopes GROUP BY 1 HAVING arg_max(op, o_orderkey) <> 'd'""")
+@query("cdc_current", CURRENT_SQL)
 def cdc_current(spark, sf_dir):
     return changes.current_rows(changes.parse_changes(envelopes(spark, sf_dir), ROW)).drop("key")
 

@@ -12,6 +12,10 @@ JOURNAL = f"""
 changes AS (SELECT event_id, event_type AS metal, {PRICE} AS price FROM events),
 journal AS (SELECT * FROM changes ORDER BY event_id DESC LIMIT {prices.JOURNAL_ROWS})
 """
+LATEST_SQL = f"""
+SELECT event_type AS metal, arg_max({PRICE}, event_id) AS price, max(event_id) AS event_id FROM events GROUP BY 1"""
+HISTORY_SQL = f"""WITH {JOURNAL}
+SELECT event_id, metal || '==' || price AS line FROM journal WHERE starts_with(lower(metal), 'p')"""
 
 
 def changes(spark, sf_dir):
@@ -19,14 +23,12 @@ def changes(spark, sf_dir):
         "event_id", F.col("event_type").alias("metal"), F.format_string("%.2f", "value").alias("price"))
 
 
-@query("price_latest", f"""
-SELECT event_type AS metal, arg_max({PRICE}, event_id) AS price, max(event_id) AS event_id FROM events GROUP BY 1""")
+@query("price_latest", LATEST_SQL)
 def price_latest(spark, sf_dir):
     return prices.latest_by_key(changes(spark, sf_dir), ["metal"], ["event_id"])
 
 
-@query("price_history", f"""WITH {JOURNAL}
-SELECT event_id, metal || '==' || price AS line FROM journal WHERE starts_with(lower(metal), 'p')""")
+@query("price_history", HISTORY_SQL)
 def price_history(spark, sf_dir):
     kept = prices.journal(changes(spark, sf_dir), ["event_id"])
     return prices.history_lines(kept, "metal", "price").select("event_id", "line")

@@ -24,11 +24,14 @@ def points(spark, sf_dir):
         F.floor((epoch_ms(F.col("ts")) - START_MS) / 1000).alias("offset"))
 
 
-@query("gps_reformat", f"""WITH {POINTS_SQL},
-numbered AS (SELECT *, row_number() OVER (ORDER BY event_id) AS n, {START_MS} + off * 250 AS t FROM points)
-SELECT event_id, '{{ "input-point": "' || n || '", "latitude": "' || lat || '", "longitude": "' || lon
+LINES_SQL = f"""{POINTS_SQL},
+numbered AS (SELECT *, row_number() OVER (ORDER BY event_id) AS n, {START_MS} + off * 250 AS t FROM points),
+lines AS (SELECT event_id, '{{ "input-point": "' || n || '", "latitude": "' || lat || '", "longitude": "' || lon
   || '", "timestamp": "' || t || '", "timeprint": "' || strftime(make_timestamp(t * 1000), '%H:%M:%S') || '" }}' AS line
-FROM numbered""")
+  FROM numbered)"""
+
+
+@query("gps_reformat", f"WITH {LINES_SQL} SELECT event_id, line FROM lines")
 def gps_reformat(spark, sf_dir):
     track = points(spark, sf_dir).drop("user_id")
     return gps.reformat(track, ["event_id"], START_MS).select("event_id", "line")

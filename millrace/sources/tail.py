@@ -1,0 +1,85 @@
+"""Streaming source for text files that grow: new whole lines of each file.
+
+``spark.dataSource.register(LineTailSource)``, then
+``spark.readStream.format("line_tail").option("path", folder).load()``. The
+folder must be mounted on the driver and on all workers.
+"""
+
+from __future__ import annotations
+
+import glob
+import os
+import sys
+from collections.abc import Iterator
+
+from pyspark import cloudpickle
+from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
+from pyspark.sql.types import StructType
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+SPLIT_BYTES = 64 * 1024 * 1024
+
+
+class FileRange(InputPartition):
+    """Bytes of one file; a line belongs to the range it starts in."""
+
+    def __init__(self, path: str, start: int, end: int, stop: int):
+        self.path, self.start, self.end, self.stop = path, start, end, stop
+
+
+class LineTailSource(DataSource):
+    """Growing text files of a folder as rows (path, value)."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "line_tail"
+
+    def schema(self) -> str:
+        return "path string, value string"
+
+    def streamReader(self, schema: StructType) -> DataSourceStreamReader:
+        return LineTailReader(self.options["path"], self.options.get("glob", "*"))
+
+
+class LineTailReader(DataSourceStreamReader):
+    def __init__(self, folder: str, pattern: str):
+        self.pattern = os.path.join(folder, pattern)
+
+    def initialOffset(self) -> dict:
+        return {}
+
+    def latestOffset(self) -> dict:
+        """Bytes of whole lines per file."""
+        return {path: _whole_lines(path) for path in sorted(glob.glob(self.pattern))}
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        """New bytes per file, large ones cut into several ranges."""
+        return [
+            FileRange(path, at, min(at + SPLIT_BYTES, stop), stop)
+            for path, stop in end.items()
+            for at in range(start.get(path, 0), stop, SPLIT_BYTES)
+        ]
+
+    def read(self, partition: FileRange) -> Iterator[tuple]:
+        with open(partition.path, "rb") as file:
+            if partition.start > 0:
+                file.seek(partition.start - 1)
+                file.readline()  # the rest of a line that starts earlier
+            while file.tell() < partition.end:
+                line = file.readline()
+                yield partition.path, line.rstrip(b"\r\n").decode("utf-8")
+
+
+def _whole_lines(path: str, block: int = 65536) -> int:
+    """Length of the file up to its last line break."""
+    with open(path, "rb") as file:
+        at = file.seek(0, os.SEEK_END)
+        while at > 0:
+            begin = max(0, at - block)
+            file.seek(begin)
+            found = file.read(at - begin).rfind(b"\n")
+            if found >= 0:
+                return begin + found + 1
+            at = begin
+    return 0
