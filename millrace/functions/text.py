@@ -12,13 +12,9 @@ PAIR_PATTERN = r"(?:\.|\w+)[ \t\x0B\f](?:\.|\w+)"
 
 
 def word_pairs(text: Column) -> Column:
-    """Array of (word, next_word): non-overlapping pairs of the lower-cased text."""
-    return F.transform(
-        F.regexp_extract_all(F.lower(text), F.lit(PAIR_PATTERN), F.lit(0)),
-        lambda hit: F.struct(
-            F.split(hit, r"\s")[0].alias("word"), F.split(hit, r"\s")[1].alias("next_word")
-        ),
-    )
+    """Array of non-overlapping pairs of the lower-cased text, as "word next_word"."""
+    hits = F.regexp_extract_all(F.lower(text), F.lit(PAIR_PATTERN), F.lit(0))
+    return F.transform(hits, lambda hit: F.translate(hit, "\t\x0B\f", "   "))
 
 
 def words(text: Column) -> Column:

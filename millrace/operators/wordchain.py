@@ -10,13 +10,19 @@ from millrace.operators.lookup import lookup
 from millrace.operators.ordered import CHUNK_ROWS, running_total
 
 START = "."
+HOT_SLOTS = 1_000
 
 
 def pair_counts(texts: DataFrame, column: str = "text") -> DataFrame:
-    """How often each word is followed by each next word."""
+    """How often each word is followed by each next word.
+
+    Pairs are counted as one text and only the distinct ones are split.
+    """
+    halves = F.split("pair", " ")
     return (
-        texts.select(F.inline(word_pairs(F.col(column))))
-        .groupBy("word", "next_word").agg(F.count("*").alias("count"))
+        texts.select(F.explode(word_pairs(F.col(column))).alias("pair"))
+        .groupBy("pair").agg(F.count("*").alias("count"))
+        .select(halves[0].alias("word"), halves[1].alias("next_word"), "count")
     )
 
 
@@ -30,7 +36,7 @@ def transitions(counts: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
         "word", "next_word", "count",
         ((F.col("running") - F.col("count")) / F.col("total")).alias("low_p"),
         (F.col("running") / F.col("total")).alias("cum_p"),
-        "members",
+        "total", "members",
     )
 
 
@@ -48,22 +54,29 @@ def uniform(seed: str, walk: Column, step: int) -> Column:
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / F.lit(float(2 ** 32))
 
 
-def guide(table: DataFrame) -> DataFrame:
-    """Transitions indexed for inverse lookup.
+def slot_count(pairs: int) -> Column:
+    """Slots a word's [0, 1] is cut into: one per successor, and more for a word
+    so common that a slot would draw over ``1 / HOT_SLOTS`` of all walks. The
+    latter adds ``HOT_SLOTS`` slots over all words, the start state as many."""
+    share = F.when(F.col("word") == START, F.lit(HOT_SLOTS)).otherwise(
+        F.ceil(HOT_SLOTS * F.col("total") / F.lit(pairs)))
+    return F.greatest(F.col("members"), share).cast("long")
+
+
+def guide(table: DataFrame, pairs: int) -> DataFrame:
+    """Transitions indexed for inverse lookup, with the slots of the next word.
 
-    [0, 1] is cut into as many slots as the word has successors, and a row is
-    stored under each slot it reaches into: at most twice the rows in all, and a
-    lookup meets about two of them however many successors the word has.
+    A row is stored under each slot it reaches into, so a lookup meets about two
+    rows however many successors a word has, and no slot is hot.
     """
-    sizes = table.groupBy("word").agg(F.max("members").alias("next_members"))
-    rows = lookup(
-        table, sizes.withColumnRenamed("word", "next_word"), ["next_word"], "left"
-    )
-    members = F.col("members")
-    first = F.floor(F.col("low_p") * members)
-    last = F.least(F.floor(F.col("cum_p") * members), members - 1)
+    slots = slot_count(pairs)
+    sizes = table.select(F.col("word").alias("next_word"), slots.alias("next_slots"), "low_p")
+    sizes = sizes.where("low_p = 0").drop("low_p")  # one row per word: its first
+    rows = lookup(table, sizes, ["next_word"], "left")
+    first = F.floor(F.col("low_p") * slots)
+    last = F.least(F.floor(F.col("cum_p") * slots), slots - 1)
     return rows.select(
-        "word", "next_word", "low_p", "cum_p", "next_members",
+        "word", "next_word", "low_p", "cum_p", "next_slots",
         F.explode(F.sequence(F.least(first, last), last)).alias("slot"),
     )
 
@@ -73,37 +86,46 @@ def random_walks(table: DataFrame, walks: DataFrame, walk: str, steps: int,
     """Generate one text per walk id: a first word, then ``steps`` more.
 
     Every walk starts after a full stop. A word without successors restarts the
-    sentence. All walks advance together, one equi-join per step.
+    sentence. All walks advance together, one equi-join per step; the index is
+    placed by its key once, so that a step moves only the walks.
     """
-    session.checkpoint_dir(table.sparkSession)
-    index = guide(table).checkpoint()
-    start = table.where(F.col("word") == START).select("members").first()
+    spark = table.sparkSession
+    session.checkpoint_dir(spark)
+    kept = table.checkpoint()
+    pairs = kept.agg(F.sum("count")).first()[0]
+    start = kept.where(F.col("word") == START).select(slot_count(pairs or 1)).first()
     if start is None:
         raise ValueError("no transition starts at a full stop")
-    start_members = F.lit(start["members"])
+    start_slots = F.lit(start[0])
+    places = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # A cached table keeps its placement and order, so steps join it in place.
+    index = (
+        guide(kept, pairs).repartition(places, "word", "slot")
+        .sortWithinPartitions("word", "slot").persist()
+    )
 
     state = walks.select(
-        F.col(walk).alias("walk"), F.lit(START).alias("word"), start_members.alias("members"),
+        F.col(walk).alias("walk"), F.lit(START).alias("word"), start_slots.alias("slots"),
         F.lit("").alias("text"),
     )
     for step in range(steps + 1):
         # A dead end has no successors of its own and draws from the start state.
-        dead = F.col("members").isNull()
-        state = (
-            state.withColumn("_dead", dead)
-            .withColumn("word", F.when(dead, F.lit(START)).otherwise(F.col("word")))
-            .withColumn("members", F.coalesce("members", start_members))
-            .withColumn("_u", uniform(seed, F.col("walk"), step))
-            .withColumn("slot", F.floor(F.col("_u") * F.col("members")))
-            .join(index, ["word", "slot"])
-            .where((F.col("_u") <= F.col("cum_p"))
-                   & ((F.col("_u") > F.col("low_p")) | (F.col("low_p") == 0) & (F.col("_u") == 0)))
-            .select("walk", F.col("next_word").alias("word"),
-                    F.col("next_members").alias("members"),
-                    _extend(F.col("text"), F.col("next_word"), F.col("_dead"), step).alias("text"))
+        dead = F.col("slots").isNull()
+        draw = uniform(seed, F.col("walk"), step)
+        drawn = state.select(
+            "walk", "text", dead.alias("_dead"), draw.alias("_u"),
+            F.when(dead, F.lit(START)).otherwise(F.col("word")).alias("word"),
+            F.floor(draw * F.coalesce("slots", start_slots)).alias("slot"),
+        )
+        hit = (F.col("_u") <= F.col("cum_p")) & (
+            (F.col("_u") > F.col("low_p")) | ((F.col("low_p") == 0) & (F.col("_u") == 0)))
+        state = drawn.join(index, ["word", "slot"]).where(hit).select(
+            "walk", F.col("next_word").alias("word"), F.col("next_slots").alias("slots"),
+            _extend(F.col("text"), F.col("next_word"), F.col("_dead"), step).alias("text"),
         )
-        if step % checkpoint_every == checkpoint_every - 1 and step < steps:
+        if step % checkpoint_every == checkpoint_every - 1 or step == steps:
             state = state.checkpoint()
+    index.unpersist()
     return state.select(F.col("walk").alias(walk), "text")
 
 

@@ -9,7 +9,7 @@ from millrace.operators import betting
 from millrace.plans import query, traffic
 from millrace.sinks import keyed, output
 from millrace.sources import files, kafka
-from millrace.sources.tables import load
+from millrace.sources.tables import load, texts
 from millrace.streaming import run
 
 
@@ -27,7 +27,7 @@ WITH lines AS (SELECT unnest(string_split(text, chr(10))) AS line FROM documents
 SELECT line, count(*) AS copies FROM lines GROUP BY 1""")
 def io_lines(spark, sf_dir):
     place = session.scratch_path(spark, "lines")
-    output.write_lines(load(spark, sf_dir, "documents"), place, "text")
+    output.write_lines(texts(spark, sf_dir), place, "text")
     return files.lines(spark, place).groupBy(F.col("value").alias("line")).agg(F.count("*").alias("copies"))
 
 
@@ -64,7 +64,7 @@ def io_word_index(spark, sf_dir):
     """A JSON dictionary per line, each with one word, read back with its code moved up."""
     place = session.scratch_path(spark, "dictionary")
     counts = (
-        load(spark, sf_dir, "documents").select(F.explode(words(F.col("text"))).alias("word"))
+        texts(spark, sf_dir).select(F.explode(words(F.col("text"))).alias("word"))
         .where(F.col("word") != "").groupBy("word").agg(F.count("*").cast("int").alias("n")))
     output.write_lines(counts.select(F.to_json(F.create_map("word", "n")).alias("value")), place)
     return files.word_index(spark, place, whole_files=False)

@@ -8,7 +8,7 @@ from millrace import schemas
 from millrace.functions.text import words
 from millrace.operators import scoring
 from millrace.plans import query
-from millrace.sources.tables import load
+from millrace.sources.tables import load, texts
 
 DICTIONARY = 10_000
 
@@ -30,13 +30,9 @@ encoded AS (SELECT doc_id, list_resize([1] || codes, 256, 0) AS codes FROM coded
 """
 
 
-def documents(spark, sf_dir):
-    return load(spark, sf_dir, "documents").select("doc_id", "text")
-
-
 def encoded(spark, sf_dir):
-    texts = documents(spark, sf_dir)
-    return scoring.encode_reviews(texts, "doc_id", "text", scoring.frequent_words(texts, size=DICTIONARY))
+    reviews = texts(spark, sf_dir)
+    return scoring.encode_reviews(reviews, "doc_id", "text", scoring.frequent_words(reviews, size=DICTIONARY))
 
 
 @query("review_encode", f"WITH {ENCODED_SQL} SELECT doc_id, array_to_string(codes, ',') AS codes FROM encoded")
@@ -68,7 +64,7 @@ SELECT doc_id, (length(text) % 101) / 100.0::DOUBLE AS rating FROM documents""")
 def score_async(spark, sf_dir):
     """One call per text, 16 at a time; the stand-in service answers by length."""
     return scoring.map_with_async_service(
-        documents(spark, sf_dir), "length_service", lambda: (lambda text: len(text) % 101 / 100.0),
+        texts(spark, sf_dir), "length_service", lambda: (lambda text: len(text) % 101 / 100.0),
         lambda service, text: service(text), "text", "rating", T.DoubleType()).select("doc_id", "rating")
 
 
@@ -88,7 +84,7 @@ def embedding_class(spark, sf_dir):
 
 
 def labelled(spark, sf_dir):
-    return documents(spark, sf_dir).join(load(spark, sf_dir, "labels"), "doc_id")
+    return texts(spark, sf_dir).join(load(spark, sf_dir, "labels"), "doc_id")
 
 
 @query("gbt_match")

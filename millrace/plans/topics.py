@@ -6,7 +6,7 @@ from millrace import schemas
 from millrace.functions.times import epoch_ms
 from millrace.operators import sentiment, topics, windows
 from millrace.plans import query
-from millrace.sources.tables import load
+from millrace.sources.tables import load, texts
 
 SLIDE = schemas.WINDOW_SLIDE_MS
 EVENT_TYPES = ["click", "error", "purchase", "refund", "signup", "view"]
@@ -48,7 +48,7 @@ def scored_events(spark, sf_dir):
 SELECT doc_id, topic, lower(text) AS lowered
 FROM documents JOIN (VALUES {_marker_rows()}) m(topic, marker) ON contains(lower(text), lower(marker))""")
 def coin_mentions(spark, sf_dir):
-    tagged = topics.tag_topics(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    tagged = topics.tag_topics(texts(spark, sf_dir))
     return tagged.withColumnRenamed("text", "lowered")
 
 
@@ -127,7 +127,7 @@ def document_scores(documents):
 
 @query("sentiment_rollup", ROLLUP_SQL)
 def sentiment_rollup(spark, sf_dir):
-    return document_scores(load(spark, sf_dir, "documents"))
+    return document_scores(texts(spark, sf_dir))
 
 
 @query("topic_sentiment", f"""
@@ -138,7 +138,7 @@ tagged AS (
 SELECT topic, round(avg(score), 8) AS avg_score, count(*) AS mentions
 FROM tagged JOIN scores USING (doc_id) GROUP BY topic""")
 def topic_sentiment(spark, sf_dir):
-    documents = load(spark, sf_dir, "documents").select("doc_id", "text")
+    documents = texts(spark, sf_dir)
     tagged = topics.tag_topics(documents).select("doc_id", "topic")
     return tagged.join(document_scores(documents), "doc_id").groupBy("topic").agg(
         F.round(F.avg("score"), 8).alias("avg_score"), F.count("*").alias("mentions"))

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators import wordchain
 from millrace.plans import query
-from millrace.sources.tables import load
+from millrace.sources.tables import load, texts
 
 PAIRS_SQL = r"""
 lines AS (SELECT unnest(string_split(text, chr(10))) AS line FROM documents),
@@ -58,12 +58,12 @@ def _walk_sql(steps):
 
 
 def _transitions(spark, sf_dir):
-    return wordchain.transitions(wordchain.pair_counts(load(spark, sf_dir, "documents")))
+    return wordchain.transitions(wordchain.pair_counts(texts(spark, sf_dir)))
 
 
 @query("markov_pairs", f"WITH {PAIRS_SQL} SELECT word, next_word, n AS pair_count FROM pairs")
 def markov_pairs(spark, sf_dir):
-    pairs = wordchain.pair_counts(load(spark, sf_dir, "documents"))
+    pairs = wordchain.pair_counts(texts(spark, sf_dir))
     return pairs.withColumnRenamed("count", "pair_count")
 
 
