@@ -43,7 +43,7 @@ def events(spark: SparkSession, path: str) -> DataFrame:
 def word_index(spark: SparkSession, path: str, whole_files: bool = True) -> DataFrame:
     """Dictionary rows (word, code) from JSON maps, one per file or one per line;
     codes move up past the reserved ones."""
-    raw = spark.read.option("wholetext", whole_files).text(path)
+    raw = spark.read.text(path, wholetext=whole_files)
     entries = F.explode(F.from_json("value", "map<string,int>")).alias("word", "code")
     return raw.select(entries).select("word", (F.col("code") + schemas.RESERVED_CODES).alias("code"))
 
