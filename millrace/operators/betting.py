@@ -11,6 +11,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from millrace import schemas
 from millrace.functions.records import first_winner
 from millrace.operators.lookup import group_lists, lookup
+from millrace.operators.ordered import number_rows
+
+STARTING_VERSION = -1
 
 
 def flatten_bets(users: DataFrame) -> DataFrame:
@@ -35,8 +38,8 @@ def single_bets(users: DataFrame) -> DataFrame:
 def single_legs(legs: DataFrame, bet: str, columns: list[str]) -> DataFrame:
     """The only leg of each one-leg bet, from flat legs."""
     return (
-        legs.groupBy(bet).agg(F.count("*").alias("_legs"), F.first(F.struct(*columns)).alias("_leg"))
-        .where(F.col("_legs") == 1).select(bet, "_leg.*")
+        legs.groupBy(bet).agg(F.count("*").alias("_legs"), *[F.first(c).alias(c) for c in columns])
+        .where(F.col("_legs") == 1).select(bet, *columns)
     )
 
 
@@ -125,15 +128,33 @@ def events_won(winners: DataFrame, winner: str, event: str, list_rows: int = 100
     return group_lists(winners.select(winner, event), winner, event, "events", list_rows)
 
 
+def runners(events: DataFrame) -> DataFrame:
+    """One row per runner of every race of the event records, under its file id."""
+    return (
+        events.select(F.col("name").alias("event"), F.explode("races").alias("race"))
+        .select("event", F.col("race.id").alias("race"), F.col("race.winner.id").alias("_winner"),
+                F.col("race.currentVersion.odds").alias("_odds"),
+                F.explode("race.currentVersion.runners").alias("runner"))
+        .select("event", "race", F.col("runner.id").alias("horse"), F.col("runner.name").alias("horse_name"),
+                F.try_element_at("_odds", F.col("runner.id").cast("string")).alias("odds"),
+                F.coalesce(F.col("_winner") == F.col("runner.id"), F.lit(False)).alias("won"))
+    )
+
+
 def resolve_names(horses: DataFrame, horse: str, name: str) -> DataFrame:
-    """File id to surrogate id: the lowest id carrying the same name."""
-    canonical = horses.groupBy(name).agg(F.min(horse).alias("resolved"))
-    return lookup(horses.select(horse, name), canonical, [name], "inner")
+    """(file id, name, resolved): one id per name, its rank among the names.
+
+    A file id that two names share gives two horses; a name under two file ids
+    is one horse.
+    """
+    names = number_rows(horses.select(name).distinct(), [name], "resolved")
+    return lookup(horses.select(horse, name).distinct(), names, [name], "inner")
 
 
-def remap_horses(rows: DataFrame, mapping: DataFrame, horse: str) -> DataFrame:
-    """Replace file ids by resolved ids in a table keyed by horse."""
-    return lookup(rows, mapping.select(horse, "resolved"), [horse], "inner").drop(horse)
+def remap_horses(rows: DataFrame, mapping: DataFrame, on: list[str]) -> DataFrame:
+    """Replace file ids by resolved ids; ``on`` is the file id, and the name where
+    rows carry it."""
+    return lookup(rows, mapping.select(*on, "resolved"), on, "inner").drop(on[0])
 
 
 def latest_odds(versions: DataFrame) -> DataFrame:
@@ -146,15 +167,14 @@ def latest_odds(versions: DataFrame) -> DataFrame:
 def odds_of_legs(legs: DataFrame, versions: DataFrame) -> DataFrame:
     """Odds per leg: the leg's own version under fixed odds, else the latest.
 
-    A horse missing from the version asked for has NULL odds.
+    The latest odds join the versions under number -1, which starting-price legs
+    carry, so one join serves both. A horse missing from the version asked for
+    has NULL odds.
     """
-    fixed = versions.select("race", "horse", F.col("version").alias("odds_version"),
-                            F.col("odds").alias("_fixed"))
-    latest = latest_odds(versions).drop("version")
-    return (
-        legs.join(fixed, ["race", "horse", "odds_version"], "left")
-        .join(latest, ["race", "horse"], "left")
-        .withColumn("odds", F.when(F.col("odds_type") == "FIXED_ODDS", F.col("_fixed"))
-                    .otherwise(F.col("latest_odds")))
-        .drop("_fixed", "latest_odds")
-    )
+    # With the same filter on both uses, the grouped versions are shuffled once.
+    versions = versions.where("race IS NOT NULL AND horse IS NOT NULL AND version IS NOT NULL")
+    asked = F.when(F.col("odds_type") == "FIXED_ODDS", F.col("odds_version")).otherwise(F.lit(STARTING_VERSION))
+    starting = latest_odds(versions).select(
+        "race", "horse", F.lit(STARTING_VERSION).alias("version"), F.col("latest_odds").alias("odds"))
+    book = versions.select("race", "horse", "version", "odds").unionByName(starting)
+    return legs.withColumn("version", asked).join(book, ["race", "horse", "version"], "left").drop("version")

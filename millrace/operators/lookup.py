@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from millrace import session
 
@@ -28,18 +28,17 @@ def group_lists(df: DataFrame, key: str, item: str, name: str,
     """Sorted item lists per key, as (key, page, size, list).
 
     A key with at most ``list_rows`` items has one list on page 0. A larger one
-    is spread over several pages, so no task holds a hot key whole.
+    is spread by item over as many pages as it needs, so no task holds a hot key
+    whole. There are few such keys, and only they are looked up.
     """
-    pages = df.count() // list_rows + 1
-    parts = (
-        df.withColumn("_slot", F.pmod(F.xxhash64(item), F.lit(pages)))
-        .groupBy(key, "_slot")
-        .agg(F.collect_list(item).alias("_items"), F.count("*").alias("_size"))
-    )
-    sized = parts.withColumn("size", F.sum("_size").over(Window.partitionBy(key)))
-    page = F.when(F.col("size") <= list_rows, F.lit(0)).otherwise(F.col("_slot"))
+    session.checkpoint_dir(df.sparkSession)
+    kept = df.checkpoint()
+    large = kept.groupBy(key).agg(F.count("*").alias("_size")).where(F.col("_size") > list_rows)
+    pages = F.ceil(F.col("_size") / list_rows)
+    page = F.coalesce(F.pmod(F.xxhash64(item), pages), F.lit(0)).cast("int")
     return (
-        sized.withColumn("page", page.cast("int"))
-        .groupBy(key, "page", "size")
-        .agg(F.array_sort(F.flatten(F.collect_list("_items"))).alias(name))
+        lookup(kept, large, [key], "left")
+        .groupBy(key, page.alias("page"))
+        .agg(F.coalesce(F.max("_size"), F.count("*")).alias("size"),
+             F.array_sort(F.collect_list(item)).alias(name))
     )

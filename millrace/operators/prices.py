@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from millrace import session
 from millrace.functions.text import key_value_line, starts_with_ignoring_case
 from millrace.operators.lookup import lookup
 from millrace.operators.ordered import newest
@@ -51,11 +52,13 @@ def change_notices(changes: DataFrame, table: str, key: str, value: str, order:
 
 def listing(latest: DataFrame, key: str, value: str) -> DataFrame:
     """Printed table: a line per key in key order, then the number of entries."""
-    lines = latest.select(
+    session.checkpoint_dir(latest.sparkSession)
+    kept = latest.checkpoint()  # listed and counted from one state
+    lines = kept.select(
         F.lit(0).alias("part"), F.col(key).cast("string").alias("key"),
         F.format_string("    -> '%s' -> %s", key, value).alias("line"),
     )
-    entries = latest.agg(F.count("*").alias("n")).select(
+    entries = kept.agg(F.count("*").alias("n")).select(
         F.lit(1).alias("part"), F.lit(None).cast("string").alias("key"),
         F.concat(F.lit("["), F.col("n").cast("string"), F.lit(" entr"),
                  F.when(F.col("n") == 1, F.lit("y")).otherwise(F.lit("ies")), F.lit("]")).alias("line"),

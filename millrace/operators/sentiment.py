@@ -10,9 +10,9 @@ CLASSES = 5
 NEUTRAL = 2
 
 
-def lexicon_sentences(texts: DataFrame, key: str, text: str, positive: list[str],
+def lexicon_sentences(texts: DataFrame, keys: list[str], text: str, positive: list[str],
                       negative: list[str]) -> DataFrame:
-    """Stand-in sentence scorer: (key, class 0..4, five probabilities).
+    """Stand-in sentence scorer: (keys, class 0..4, five probabilities).
 
     The class moves from neutral by the balance of lexicon words; probabilities
     fall off with the distance from the class. Any scorer giving these columns
@@ -24,16 +24,16 @@ def lexicon_sentences(texts: DataFrame, key: str, text: str, positive: list[str]
         F.filter(tokens, lambda w: w.isin(negative))
     )
     scored = (
-        texts.select(key, sentence.alias("_sentence"))
+        texts.select(*keys, sentence.alias("_sentence"))
         .where(F.trim("_sentence") != "")
-        .select(key, F.least(F.greatest(balance + NEUTRAL, F.lit(0)), F.lit(CLASSES - 1)).alias("class"))
+        .select(*keys, F.least(F.greatest(balance + NEUTRAL, F.lit(0)), F.lit(CLASSES - 1)).alias("class"))
     )
     weights = [1.0 / (1 + F.abs(F.lit(c) - F.col("class"))) for c in range(CLASSES)]
     whole = sum(weights[1:], weights[0])
-    return scored.select(key, "class", F.array(*[w / whole for w in weights]).alias("probs"))
+    return scored.select(*keys, "class", F.array(*[w / whole for w in weights]).alias("probs"))
 
 
-def sentiment_rollup(sentences: DataFrame, key: str) -> DataFrame:
+def sentiment_rollup(sentences: DataFrame, keys: list[str]) -> DataFrame:
     """Score per text from its non-neutral sentences; NaN if there are none.
 
     overall = (mean class - 2) / 2; the score is overall times the mean
@@ -44,7 +44,7 @@ def sentiment_rollup(sentences: DataFrame, key: str) -> DataFrame:
     def mean_prob(index: int) -> Column:
         return F.avg(F.when(F.col("class") != NEUTRAL, F.col("probs")[index]))
 
-    means = sentences.groupBy(key).agg(
+    means = sentences.groupBy(*keys).agg(
         F.avg(voiced).alias("_mean"),
         *[mean_prob(i).alias(f"_p{i}") for i in range(CLASSES) if i != NEUTRAL],
     )
@@ -53,4 +53,4 @@ def sentiment_rollup(sentences: DataFrame, key: str) -> DataFrame:
         F.when(overall < -0.5, F.col("_p0")).when(overall < 0.0, F.col("_p1"))
         .when(overall < 0.5, F.col("_p3")).otherwise(F.col("_p4"))
     )
-    return means.select(key, F.coalesce(overall * share, F.lit(float("nan"))).alias("score"))
+    return means.select(*keys, F.coalesce(overall * share, F.lit(float("nan"))).alias("score"))

@@ -20,6 +20,12 @@ def tag_topics(texts: DataFrame, text: str = "text",
     return texts.withColumn("topic", hits).withColumn(text, F.lower(text))
 
 
+def mentioning(texts: DataFrame, text: str = "text",
+               markers: dict[str, list[str]] = schemas.COIN_MARKERS) -> DataFrame:
+    """Only the texts with a marker, so that scoring leaves the others out."""
+    return texts.where(F.size(topic_hits(F.col(text), markers)) > 0)
+
+
 def marker_terms(markers: dict[str, list[str]] = schemas.COIN_MARKERS) -> list[str]:
     """All markers as one list of search terms."""
     return [marker for topic_markers in markers.values() for marker in topic_markers]

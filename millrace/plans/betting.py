@@ -151,13 +151,13 @@ def winners_events(spark, sf_dir):
 
 
 @query("horse_resolve", """
-WITH names AS (SELECT p_name, min(p_partkey) AS resolved FROM part GROUP BY 1)
+WITH names AS (SELECT p_partkey, dense_rank() OVER (ORDER BY p_name) AS resolved FROM part)
 SELECT resolved, count(*) AS legs, round(sum(l_quantity), 2) AS stakes
-FROM lineitem JOIN part ON p_partkey = l_partkey JOIN names USING (p_name) GROUP BY 1""")
+FROM lineitem JOIN names ON p_partkey = l_partkey GROUP BY 1""")
 def horse_resolve(spark, sf_dir):
     horses = load(spark, sf_dir, "part").select(F.col("p_partkey").alias("horse"), "p_name")
     mapping = betting.resolve_names(horses, "horse", "p_name")
-    remapped = betting.remap_horses(legs(spark, sf_dir).select("horse", "stake"), mapping, "horse")
+    remapped = betting.remap_horses(legs(spark, sf_dir).select("horse", "stake"), mapping, ["horse"])
     return remapped.groupBy("resolved").agg(
         F.count("*").alias("legs"), F.round(F.sum("stake"), 2).alias("stakes"))
 

@@ -90,3 +90,12 @@ FROM labels""")
 def scalar_labels(spark, sf_dir):
     letter = F.when(F.col("quality") == 1, "b").when(F.col("toxic") == 1, "M").otherwise("x")
     return load(spark, sf_dir, "labels").select("doc_id", text.tumour_type(letter).alias("tumour"))
+
+
+@query("table_scan", """
+SELECT o_orderkey AS id, o_totalprice AS price FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 100000""")
+def table_scan(spark, sf_dir):
+    """Predicate and projection reach the file scan."""
+    wanted = (F.col("o_orderstatus") == "F") & (F.col("o_totalprice") > 100_000)
+    return load(spark, sf_dir, "orders").where(wanted).select(
+        F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("price"))

@@ -113,13 +113,17 @@ def stream_price_latest(spark, sf_dir):
 
 @query("stream_price_history", price_plans.HISTORY_SQL)
 def stream_price_history(spark, sf_dir):
-    """One stream into the latest prices and the journal; the journal is read back."""
+    """One stream into the latest prices and the journal; a second stream reads the
+    journal from its oldest change and keeps the lines of interest."""
     place = session.scratch_path(spark, "history")
     both = output.fan_out(keyed.upsert(f"{place}/latest", ["metal"], ["event_id"]),
                           keyed.append_batch(f"{place}/journal"))
     run.run_through(price_stream(spark, sf_dir), both, f"{place}/checkpoint")
-    kept = prices.journal(keyed.read_journal(spark, f"{place}/journal"), ["event_id"])
-    return prices.history_lines(kept, "metal", "price").select("event_id", "line")
+    kept = prices.journal(keyed.read_journal(spark, f"{place}/journal"), ["event_id"]).select("event_id")
+    followed = prices.history_lines(keyed.journal_stream(spark, f"{place}/journal"), "metal", "price")
+    run.run_through(followed.select("event_id", "line"), keyed.append_batch(f"{place}/lines"), f"{place}/lines-checkpoint")
+    lines = keyed.read_journal(spark, f"{place}/lines").drop("batch")
+    return lines.join(kept, "event_id", "left_semi")  # the journal holds its newest changes only
 
 
 @query("stream_cdc_current", change_plans.CURRENT_SQL)

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from millrace import schemas
+from millrace.functions.text import topic_hits
 from millrace.functions.times import epoch_ms
 from millrace.operators import sentiment, topics, windows
 from millrace.plans import query
@@ -119,15 +120,15 @@ SELECT doc_id, round(overall * CASE WHEN overall < -0.5 THEN p0 WHEN overall < 0
 FROM means"""
 
 
-def document_scores(documents):
-    sentences = sentiment.lexicon_sentences(documents, "doc_id", "text", POSITIVE, NEGATIVE)
-    scores = topics.finite_scores(sentiment.sentiment_rollup(sentences, "doc_id"))
-    return scores.select("doc_id", F.round("score", 9).alias("score"))
+def document_scores(documents, keys):
+    sentences = sentiment.lexicon_sentences(documents, keys, "text", POSITIVE, NEGATIVE)
+    scores = topics.finite_scores(sentiment.sentiment_rollup(sentences, keys))
+    return scores.select(*keys, F.round("score", 9).alias("score"))
 
 
 @query("sentiment_rollup", ROLLUP_SQL)
 def sentiment_rollup(spark, sf_dir):
-    return document_scores(texts(spark, sf_dir))
+    return document_scores(texts(spark, sf_dir), ["doc_id"])
 
 
 @query("topic_sentiment", f"""
@@ -138,7 +139,8 @@ tagged AS (
 SELECT topic, round(avg(score), 8) AS avg_score, count(*) AS mentions
 FROM tagged JOIN scores USING (doc_id) GROUP BY topic""")
 def topic_sentiment(spark, sf_dir):
-    documents = texts(spark, sf_dir)
-    tagged = topics.tag_topics(documents).select("doc_id", "topic")
-    return tagged.join(document_scores(documents), "doc_id").groupBy("topic").agg(
+    documents = topics.mentioning(texts(spark, sf_dir))
+    tagged = documents.withColumn("topics", topic_hits(F.col("text"), schemas.COIN_MARKERS))
+    scores = document_scores(tagged, ["doc_id", "topics"])
+    return scores.select(F.explode("topics").alias("topic"), "score").groupBy("topic").agg(
         F.round(F.avg("score"), 8).alias("avg_score"), F.count("*").alias("mentions"))

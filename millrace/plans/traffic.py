@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from millrace import session
 from millrace.functions.times import epoch_ms
 from millrace.operators import trend
 from millrace.plans import query
@@ -48,7 +49,8 @@ SELECT location, t + 900000 AS time_ms,
                    FOR i IN range(0, 8)], ',') AS predicted_counts
 FROM joined""")
 def traffic_predict(spark, sf_dir):
-    cars = counts(spark, sf_dir)
+    session.checkpoint_dir(spark)
+    cars = counts(spark, sf_dir).checkpoint()  # read twice, so the events are scanned once
     return trend.forecast(cars, trend.linear_trend(cars)).select(
         "location", epoch_ms(F.col("time")).alias("time_ms"),
         F.array_join(F.col("predicted_counts").cast("array<string>"), ",").alias("predicted_counts"))

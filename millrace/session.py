@@ -24,7 +24,9 @@ def build(app: str = "millrace", master: str | None = None, **conf: str) -> Spar
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    for key, value in {**RUNTIME_CONF, **conf}.items():
+    # Checkpoint files go when nothing refers to them any more.
+    start_conf = {"spark.cleaner.referenceTracking.cleanCheckpoints": "true"}
+    for key, value in {**RUNTIME_CONF, **start_conf, **conf}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 

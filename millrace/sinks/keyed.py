@@ -36,6 +36,11 @@ def read_journal(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def journal_stream(spark: SparkSession, path: str) -> DataFrame:
+    """The batches of a table from the oldest, as a stream."""
+    return spark.readStream.schema(read_journal(spark, path).schema).parquet(path)
+
+
 def read_latest(spark: SparkSession, path: str, keys: list[str], order: list[str]) -> DataFrame:
     """The table as of now; on equal order the later batch wins."""
     return latest_by_key(read_journal(spark, path), keys, [*order, "batch"]).drop("batch")

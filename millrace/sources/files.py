@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from millrace import schemas
 from millrace.functions.records import parse_event
-from millrace.functions.text import topic_hits, unquoted
+from millrace.functions.text import unquoted
 from millrace.operators.prices import latest_by_key
+from millrace.operators.topics import mentioning
 
 
 def lines(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
@@ -85,5 +86,4 @@ def table_stream(spark: SparkSession, folder: str, glob: str, files_per_batch: i
 def tracked_posts(posts: DataFrame, raw: str = "value",
                   markers: dict[str, list[str]] = schemas.COIN_MARKERS) -> DataFrame:
     """Posts (JSON with ``text``) that mention any of the tracked terms."""
-    text: Column = F.get_json_object(raw, "$.text")
-    return posts.withColumn("text", text).where(F.size(topic_hits(F.col("text"), markers)) > 0)
+    return mentioning(posts.withColumn("text", F.get_json_object(raw, "$.text")), "text", markers)

@@ -9,11 +9,11 @@ from millrace import schemas
 from millrace.functions import numbers, records, text, times
 from millrace.operators import (betting, changes, gps, prices, scoring, sentiment, topics, trend, wordchain)
 
-CHELTENHAM = (
-    '{"id":1,"name":"CHELTENHAM 1924-03-14","date":{"year":1924,"month":"MARCH","dayOfMonth":14,"monthValue":3},'
-    '"races":[{"id":1,"hasRun":true,"currentVersion":{"odds":{"1":6.0,"2":3.0},"raceTime":{"nano":0,"hour":12,'
-    '"minute":30,"second":0,"year":1924,"dayOfMonth":14,"monthValue":3},"version":0,"runners":[{"name":"Red Splash",'
-    '"id":1},{"name":"Not Red Splash","id":2}]},"winner":{"name":"Red Splash","id":1}}]}')
+ASCOT = (
+    '{"id":1,"name":"ASCOT 2001-06-20","date":{"year":2001,"monthValue":6,"dayOfMonth":20},"races":[{"id":1,'
+    '"hasRun":true,"currentVersion":{"odds":{"1":6.0,"2":3.0},"raceTime":{"year":2001,"monthValue":6,"dayOfMonth":20,'
+    '"hour":14,"minute":45,"second":0},"version":0,"runners":[{"name":"Red Kite","id":1},{"name":"Blue Kite","id":2}]},'
+    '"winner":{"name":"Red Kite","id":1}}]}')
 
 
 def one(spark, column, **values):
@@ -110,11 +110,11 @@ def sentences(spark, classes, probs=(0.1, 0.2, 0.3, 0.4, 0.5)):
     ([4, 2], 1.0 * 0.5), ([3], 0.5 * 0.5), ([3, 3, 1], (7 / 3 - 2) / 2 * 0.4), ([1, 3], 0.0), ([1, 1, 2], -0.5 * 0.2), ([0], -1.0 * 0.1),
 ])
 def test_rollup_picks_the_column_by_band(spark, classes, expected):
-    assert sentiment.sentiment_rollup(sentences(spark, classes), "id").first().score == pytest.approx(expected)
+    assert sentiment.sentiment_rollup(sentences(spark, classes), ["id"]).first().score == pytest.approx(expected)
 
 
 def test_neutral_text_scores_nan_and_is_dropped(spark):
-    scores = sentiment.sentiment_rollup(sentences(spark, [2, 2]), "id")
+    scores = sentiment.sentiment_rollup(sentences(spark, [2, 2]), ["id"])
     assert math.isnan(scores.first().score)
     assert topics.finite_scores(scores).count() == 0
 
@@ -193,29 +193,36 @@ def test_worst_list_is_ascending_and_empty_loss_is_zero(spark):
 
 
 def test_event_record_and_its_winner(spark):
-    frame = spark.createDataFrame([(CHELTENHAM,)], "value string").select(records.parse_event(F.col("value")).alias("e")).select("e.*")
-    assert [tuple(r) for r in betting.event_winners(frame).collect()] == [("CHELTENHAM 1924-03-14", 1, "Red Splash")]
+    frame = spark.createDataFrame([(ASCOT,)], "value string").select(records.parse_event(F.col("value")).alias("e")).select("e.*")
+    assert [tuple(r) for r in betting.event_winners(frame).collect()] == [("ASCOT 2001-06-20", 1, "Red Kite")]
     row = frame.select(times.date_from_parts(F.col("date")).alias("d"),
                        times.time_from_parts(F.col("races")[0]["currentVersion"]["raceTime"]).alias("t"),
                        records.long_keys(F.col("races")[0]["currentVersion"]["odds"]).alias("odds")).first()
-    assert (str(row.d), str(row.t), row.odds) == ("1924-03-14", "1924-03-14 12:30:00", {1: 6.0, 2: 3.0})
+    assert (str(row.d), str(row.t), row.odds) == ("2001-06-20", "2001-06-20 14:45:00", {1: 6.0, 2: 3.0})
 
 
 def test_races_without_a_winner_share_the_sentinel(spark):
     lines = ['{"id":%d,"name":"e%d","races":[{"id":1,"hasRun":false}]}' % (i, i) for i in range(3)] + [
-        '{"id":9,"name":"none","races":[]}', CHELTENHAM]
+        '{"id":9,"name":"none","races":[]}', ASCOT]
     frame = spark.createDataFrame([(v,) for v in lines], "value string").select(records.parse_event(F.col("value")).alias("e")).select("e.*")
     winners = betting.event_winners(frame)
     assert [tuple(r) for r in betting.multiple_winners(winners).collect()] == [(schemas.NO_WINNER_ID, 4)]
     lists = {r.winner: r.events for r in betting.events_won(winners, "winner", "event").collect()}
-    assert lists == {schemas.NO_WINNER_ID: ["e0", "e1", "e2", "none"], 1: ["CHELTENHAM 1924-03-14"]}
+    assert lists == {schemas.NO_WINNER_ID: ["e0", "e1", "e2", "none"], 1: ["ASCOT 2001-06-20"]}
 
 
 def test_names_resolve_to_one_id(spark):
-    horses = spark.createDataFrame([(1, "Red"), (5, "Red"), (2, "Blue")], "horse long, name string")
+    horses = spark.createDataFrame([(1, "Red"), (5, "Red"), (5, "Blue")], "horse long, name string")
     mapping = betting.resolve_names(horses, "horse", "name")
-    rows = spark.createDataFrame([(5, 3.0), (2, 4.0)], "horse long, odds double")
-    assert sorted(tuple(r) for r in betting.remap_horses(rows, mapping, "horse").select("resolved", "odds").collect()) == [(1, 3.0), (2, 4.0)]
+    rows = spark.createDataFrame([(5, "Red", 3.0), (5, "Blue", 4.0), (1, "Red", 6.0)], "horse long, name string, odds double")
+    remapped = betting.remap_horses(rows, mapping, ["horse", "name"])
+    assert sorted(tuple(r) for r in remapped.select("resolved", "odds").collect()) == [(1, 4.0), (2, 3.0), (2, 6.0)]
+
+
+def test_runners_carry_odds_and_the_winner(spark):
+    frame = spark.createDataFrame([(ASCOT,)], "value string").select(records.parse_event(F.col("value")).alias("e")).select("e.*")
+    assert sorted(tuple(r) for r in betting.runners(frame).collect()) == [
+        ("ASCOT 2001-06-20", 1, 1, "Red Kite", 6.0, True), ("ASCOT 2001-06-20", 1, 2, "Blue Kite", 3.0, False)]
 
 
 def test_fixed_odds_win_and_a_missing_runner_is_null(spark):

@@ -161,12 +161,12 @@ def test_tail_reads_appended_whole_lines(spark, tmp_path):
     spark.dataSource.register(LineTailSource)
     folder = f"{tmp_path}/in"
     os.makedirs(folder)
-    log = f"{folder}/beam-output-0"
+    log = f"{folder}/output-0"
     with open(log, "w") as file:
         file.write("one\ntwo\nhal")
 
     def drain():
-        stream = spark.readStream.format("line_tail").option("path", folder).option("glob", "beam-output-*").load()
+        stream = spark.readStream.format("line_tail").option("path", folder).option("glob", "output-*").load()
         query = (stream.writeStream.foreachBatch(keyed.append_batch(f"{tmp_path}/out"))
                  .option("checkpointLocation", f"{tmp_path}/cp").start())
         try:
