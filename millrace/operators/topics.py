@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from millrace import schemas
 from millrace.functions.numbers import is_finite, per_minute
 from millrace.functions.text import topic_hits
-from millrace.operators.windows import latest_window, sliding_segments
+from millrace.operators.windows import latest_windows, pane_sums
 
 
 def tag_topics(texts: DataFrame, text: str = "text",
@@ -37,18 +37,12 @@ def finite_scores(scored: DataFrame, score: str = "score") -> DataFrame:
 
 def latest_topic_stats(scored: DataFrame, topic: str, time_ms: str, score: str,
                        windows: dict[str, int] = schemas.WINDOW_SIZES,
-                       slide_ms: int = schemas.WINDOW_SLIDE_MS) -> DataFrame:
+                       slide_ms: int = schemas.WINDOW_SLIDE_MS,
+                       as_of_ms: int | None = None) -> DataFrame:
     """Last average, count and rate per (topic, window name), all windows in one table."""
-    tables = [
-        latest_window(sliding_segments(scored, topic, time_ms, score, size, slide_ms), topic)
-        .withColumn("window", F.lit(name))
-        .withColumn("per_minute", per_minute(F.col("count"), F.lit(size)))
-        for name, size in windows.items()
-    ]
-    merged = tables[0]
-    for table in tables[1:]:
-        merged = merged.unionByName(table)
-    return merged
+    panes = pane_sums(scored, topic, time_ms, score, slide_ms)
+    return latest_windows(panes, topic, windows, slide_ms, as_of_ms).withColumn(
+        "per_minute", per_minute(F.col("count"), F.col("size_ms")))
 
 
 def dense_stats(stats: DataFrame, topic: str, topics: list[str],

@@ -9,7 +9,7 @@ shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 CHUNK_PANES = 20_000
 
@@ -91,13 +91,38 @@ def unfold_segments(segments: DataFrame, slide_ms: int) -> DataFrame:
     return segments.select(*others, F.explode(ends).alias("window_end"))
 
 
-def latest_window(segments: DataFrame, key: str) -> DataFrame:
-    """The last window with data per key: what a keyed upsert ends up holding."""
-    return segments.groupBy(key).agg(
-        F.max("last_end").alias("window_end"),
-        F.max_by("avg", "last_end").alias("avg"),
-        F.max_by("count", "last_end").alias("count"),
-    )
+def latest_windows(panes: DataFrame, key: str, sizes: dict[str, int], slide_ms: int,
+                   as_of_ms: int | None = None) -> DataFrame:
+    """The last window with data per key and window name: what a keyed upsert holds.
+
+    Of the windows that end by ``as_of_ms`` that is the one ending there, if it
+    has data; by default, and for a key silent since, it is the one that its last
+    pane leaves last, holding only that pane. One pass over the panes.
+    """
+    pane = F.col("pane")
+    end = None if as_of_ms is None else as_of_ms // slide_ms
+    known = panes if end is None else panes.where(pane < end)
+
+    def within(column: str, size: int) -> Column:
+        return F.sum(F.when(pane >= end - size // slide_ms, F.col(column)))
+
+    sums = [F.max(pane).alias("_last"), F.max_by("sum", "pane").alias("_sum"), F.max_by("count", "pane").alias("_count")]
+    for name, size in sizes.items():
+        if end is not None:
+            sums += [within("sum", size).alias(f"_sum_{name}"), within("count", size).alias(f"_count_{name}")]
+
+    def window(name: str, size: int) -> Column:
+        last = (F.col("_last") + size // slide_ms) * slide_ms
+        total, count = F.col("_sum"), F.col("_count")
+        if end is not None:
+            last = F.least(last, F.lit(end * slide_ms))
+            total = F.coalesce(f"_sum_{name}", total)
+            count = F.coalesce(f"_count_{name}", count)
+        return F.struct(F.lit(name).alias("window"), F.lit(size).cast("long").alias("size_ms"),
+                        last.cast("long").alias("window_end"), (total / count).alias("avg"), count.alias("count"))
+
+    windows = F.array(*[window(name, size) for name, size in sizes.items()])
+    return known.groupBy(key).agg(*sums).select(key, F.inline(windows))
 
 
 def tumbling_best(df: DataFrame, time: str, width: str, score: str, ties: list[str],

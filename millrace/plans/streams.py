@@ -74,7 +74,8 @@ def _closed_latest(size, name):
     return f"""SELECT coin, '{name}' AS win, max(window_end) AS window_end,
   round(arg_max(a, window_end), 8) AS avg_score, arg_max(n, window_end) AS mentions
 FROM (SELECT coin, (pane + i) * {SLIDE} AS window_end, sum(s) / sum(n) AS a, sum(n)::BIGINT AS n
-      FROM panes, range(1, {size // SLIDE + 1}) AS r(i) GROUP BY 1, 2) GROUP BY coin"""
+      FROM panes, range(1, {size // SLIDE + 1}) AS r(i) GROUP BY 1, 2)
+WHERE window_end <= (SELECT (max(pane) + 1) * {SLIDE} FROM panes) GROUP BY coin"""
 
 
 @query("stream_coin_latest", f"""
@@ -84,18 +85,16 @@ WITH panes AS (
   HAVING (pane + 1) * {SLIDE} <= (SELECT (max(epoch_us(ts)) - 1000000) // 1000 FROM events))
 """ + " UNION ALL ".join(_closed_latest(size, name) for name, size in schemas.WINDOW_SIZES.items()))
 def stream_coin_latest(spark, sf_dir):
+    """Closed panes are stored as they come; the windows are those ending with the last one."""
     place = session.scratch_path(spark, "coins")
     scored = replay(spark, sf_dir, "events").select(F.col("event_type").alias("coin"), "ts", "value")
     panes = stream_windows.pane_stream(scored, "coin", "ts", "value", SLIDE)
     run.run_through(panes, keyed.append_batch(f"{place}/panes"), f"{place}/checkpoint")
     stored = keyed.read_journal(spark, f"{place}/panes").drop("batch")
-    tables = [
-        windows.latest_window(windows.segments_of_panes(stored, "coin", size, SLIDE), "coin")
-        .withColumn("win", F.lit(name))
-        for name, size in schemas.WINDOW_SIZES.items()
-    ]
-    return tables[0].unionByName(tables[1]).select(
-        "coin", "win", "window_end", F.round("avg", 8).alias("avg_score"), F.col("count").alias("mentions"))
+    as_of = (stored.agg(F.max("pane")).first()[0] + 1) * SLIDE
+    return windows.latest_windows(stored, "coin", schemas.WINDOW_SIZES, SLIDE, as_of).select(
+        "coin", F.col("window").alias("win"), "window_end", F.round("avg", 8).alias("avg_score"),
+        F.col("count").alias("mentions"))
 
 
 def price_stream(spark, sf_dir):

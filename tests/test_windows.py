@@ -42,8 +42,27 @@ def test_same_as_the_built_in_window(spark):
 
 def test_latest_window_holds_only_the_last_pane(spark):
     frame = spark.createDataFrame([("a", 0, 1.0), ("a", 150, 3.0), ("a", 900, 5.0)], "k string, ms long, v double")
-    last = windows.latest_window(windows.sliding_segments(frame, "k", "ms", "v", 1000, 200), "k").first()
-    assert (last.window_end, last.avg, last["count"]) == (1800, 5.0, 1)
+    panes = windows.pane_sums(frame, "k", "ms", "v", 200)
+    last = windows.latest_windows(panes, "k", {"s": 1000}, 200).first()
+    assert (last.window, last.window_end, last.avg, last["count"]) == ("s", 1800, 5.0, 1)
+
+
+@pytest.mark.parametrize("as_of", [None, 20_000, 30_050, 41_000, 70_000])
+def test_latest_windows_are_the_last_of_all_windows(spark, as_of):
+    draw = random.Random(5)
+    rows = [(draw.choice("abc"), draw.randint(0, 40_000), draw.random()) for _ in range(120)]
+    rows.append(("late", 39_990, 1.0))
+    rows.append(("early", 10, 2.0))
+    frame = spark.createDataFrame(rows, "k string, ms long, v double")
+    panes = windows.pane_sums(frame, "k", "ms", "v", 200)
+    sizes = {"short": 3000, "long": 12_000}
+    found = windows.latest_windows(panes, "k", sizes, 200, as_of).collect()
+    for name, size in sizes.items():
+        last = {}
+        for (key, end), result in brute_force(rows, size, 200).items():
+            if as_of is None or end <= as_of:
+                last[key] = max(last.get(key, (0,)), (end, result), key=lambda item: item[0])
+        assert {r.k: (r.window_end, (r.avg, r["count"])) for r in found if r.window == name} == last
 
 
 def test_slide_must_divide_the_size(spark):
