@@ -11,8 +11,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-CHUNK_PANES = 20_000
-
 
 def pane_sums(df: DataFrame, key: str, time_ms: str, value: str, slide_ms: int) -> DataFrame:
     """Sum and count per key and pane (``floor(time / slide)``)."""
@@ -24,60 +22,58 @@ def pane_sums(df: DataFrame, key: str, time_ms: str, value: str, slide_ms: int)
 
 
 def sliding_segments(df: DataFrame, key: str, time_ms: str, value: str, size_ms: int,
-                     slide_ms: int, chunk_panes: int = CHUNK_PANES) -> DataFrame:
+                     slide_ms: int) -> DataFrame:
     """Average and count over sliding windows, from rows; see ``segments_of_panes``."""
-    panes = pane_sums(df, key, time_ms, value, slide_ms)
-    return segments_of_panes(panes, key, size_ms, slide_ms, chunk_panes)
+    return segments_of_panes(pane_sums(df, key, time_ms, value, slide_ms), key, size_ms, slide_ms)
 
 
-def segments_of_panes(panes: DataFrame, key: str, size_ms: int, slide_ms: int,
-                      chunk_panes: int = CHUNK_PANES) -> DataFrame:
+def segments_of_panes(panes: DataFrame, key: str, size_ms: int, slide_ms: int) -> DataFrame:
     """Average and count over sliding windows, as (key, first_end, last_end, avg, count).
 
     All windows ending at ``first_end``, ``first_end + slide``, .. ``last_end``
-    (epoch ms) share the result; empty windows are left out. Work is split by
-    (key, stretch of time), at most ``2 * chunk_panes + panes per window`` rows each.
+    (epoch ms) share the result; empty windows are left out.
+
+    Time is cut into blocks one window long. A window then holds what has entered
+    so far in its own block and what has not left yet from the block before: two
+    running sums, without subtraction, over at most three rows per pane and block.
     """
     if size_ms % slide_ms:
         raise ValueError("the slide must divide the window size")
-    panes_per_window = size_ms // slide_ms
-    chunk = max(chunk_panes, panes_per_window)
+    length = size_ms // slide_ms
+    pane, block = F.col("pane"), F.floor(F.col("pane") / length)
+    none, zero = F.lit(0.0), F.lit(0).cast("long")
 
-    def mark(position, total, count, home=None):
-        home = position if home is None else home
+    def mark(of_block, position, entering, leaving):
         return F.struct(
-            F.floor(home / chunk).alias("_chunk"), position.alias("_pos"),
-            total.alias("_sum"), count.alias("_count"),
+            of_block.alias("_block"), position.alias("_pos"),
+            entering[0].alias("_in_sum"), entering[1].alias("_in_count"),
+            leaving[0].alias("_out_sum"), leaving[1].alias("_out_count"),
         )
 
-    pane, last = F.col("pane"), F.col("pane") + (panes_per_window - 1)
-    none, zero = F.lit(0.0), F.lit(0).cast("long")
-    # The pane enters at its own position and leaves one window later. If the
-    # windows holding it run into the next chunk, that chunk gets a copy and a
-    # change point at its own start.
-    enter, leave = [mark(pane, F.col("sum"), F.col("count")), mark(last + 1, none, zero)]
-    carried = [
-        mark(pane, F.col("sum"), F.col("count"), home=last),
-        mark(F.floor(last / chunk) * chunk, none, zero),
-    ]
-    crosses = F.floor(pane / chunk) != F.floor(last / chunk)
-    marks = panes.select(
-        key,
-        F.inline(F.when(crosses, F.array(enter, leave, *carried)).otherwise(F.array(enter, leave))),
-    )
-    by_time = Window.partitionBy(key, "_chunk").orderBy("_pos")
-    in_window = by_time.rangeBetween(-(panes_per_window - 1), 0)
-    chunk_end = (F.col("_chunk") + 1) * chunk
+    content, nothing = (F.col("sum"), F.col("count")), (none, zero)
+    marks = panes.select(key, F.inline(F.array(
+        mark(block, pane, content, nothing),
+        mark(block + 1, pane + length, nothing, content),
+        mark(block + 1, (block + 1) * length, nothing, nothing),  # windows run on into the block
+    )))
+    part = Window.partitionBy(key, "_block")
+    entered = part.orderBy("_pos").rangeBetween(Window.unboundedPreceding, 0)
+    staying = part.orderBy(F.desc("_pos")).rangeBetween(Window.unboundedPreceding, -1)
+
+    def held(name: str) -> Column:
+        return F.sum(f"_in_{name}").over(entered) + F.coalesce(F.sum(f"_out_{name}").over(staying), zero)
+
+    block_end = (F.col("_block") + 1) * length
+    following = F.coalesce(F.lead("_pos").over(part.orderBy("_pos")), block_end)
     return (
-        marks.withColumn("_total", F.sum("_sum").over(in_window))
-        .withColumn("count", F.sum("_count").over(in_window))
-        .withColumn("_next", F.coalesce(F.lead("_pos").over(by_time), chunk_end))
-        .where((F.col("count") > 0) & (F.col("_next") > F.col("_pos"))
-               & (F.col("_pos") >= F.col("_chunk") * chunk))
+        marks.withColumn("_total", held("sum"))
+        .withColumn("count", held("count"))
+        .withColumn("_next", following)
+        .where((F.col("count") > 0) & (F.col("_next") > F.col("_pos")))
         .select(
             key,
             ((F.col("_pos") + 1) * slide_ms).alias("first_end"),
-            (F.least("_next", chunk_end) * slide_ms).alias("last_end"),
+            (F.col("_next") * slide_ms).alias("last_end"),
             (F.col("_total") / F.col("count")).alias("avg"),
             "count",
         )
