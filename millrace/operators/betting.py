@@ -16,11 +16,16 @@ from millrace.operators.ordered import number_rows
 STARTING_VERSION = -1
 
 
+def bet_type(kind: Column, legs: Column) -> Column:
+    """The type given, else SINGLE for one leg and ACCUM for more."""
+    return F.coalesce(kind, F.when(F.size(legs) == 1, F.lit("SINGLE")).otherwise(F.lit("ACCUM")))
+
+
 def flatten_bets(users: DataFrame) -> DataFrame:
     """One row per leg of every known bet."""
     return (
         users.select(F.col("id").alias("user"), F.explode("knownBets").alias("bet"))
-        .select("user", F.col("bet.id").alias("bet"), F.col("bet.type").alias("type"),
+        .select("user", F.col("bet.id").alias("bet"), bet_type(F.col("bet.type"), F.col("bet.legs")).alias("type"),
                 F.col("bet.stake").alias("bet_stake"), F.size("bet.legs").alias("legs"),
                 F.explode("bet.legs").alias("leg"))
         .select("user", "bet", "type", "bet_stake", "legs", "leg.*")
@@ -28,10 +33,14 @@ def flatten_bets(users: DataFrame) -> DataFrame:
 
 
 def single_bets(users: DataFrame) -> DataFrame:
-    """(race, horse, odds, stake) of every bet that has exactly one leg."""
+    """(race, horse, odds, stake) of every bet that has exactly one leg.
+
+    A one-leg bet that claims another type has no projected payout: NULL odds.
+    """
     one = F.filter(F.col("knownBets"), lambda bet: F.size(bet["legs"]) == 1)
     return flatten_bets(users.withColumn("knownBets", one)).select(
-        "race", F.col("backing").alias("horse"), "odds", "stake"
+        "race", F.col("backing").alias("horse"),
+        F.when(F.col("type") == "SINGLE", F.col("odds")).alias("odds"), "stake",
     )
 
 
@@ -85,7 +94,8 @@ def settle_nested(bets: DataFrame) -> DataFrame:
     """Payout per bet record whose legs carry (race_time, odds, won, stake).
 
     One leg pays its own stake; more legs pass the bet's stake on from race to
-    race. NULL while any race has not been run.
+    race. NULL while any race has not been run, and for a type that does not fit
+    the number of legs.
     """
     in_order = F.array_sort(F.transform("legs", lambda leg: F.struct(
         leg["race_time"].alias("race_time"), leg["odds"].alias("odds"), leg["won"].alias("won"),
@@ -95,7 +105,10 @@ def settle_nested(bets: DataFrame) -> DataFrame:
         in_order, start.cast("double"),
         lambda out, leg: out * F.when(leg["won"], leg["odds"]).when(~leg["won"], F.lit(0.0)),
     )
-    return bets.withColumn("payout", paid)
+    fits = F.lit(True)
+    if "type" in bets.columns:
+        fits = bet_type(F.col("type"), F.col("legs")) == bet_type(F.lit(None).cast("string"), F.col("legs"))
+    return bets.withColumn("payout", F.when(fits, paid))
 
 
 def settle(legs: DataFrame, bet: str) -> DataFrame:

@@ -61,9 +61,9 @@ def map_with_async_service(df: DataFrame, name: str, load: Callable[[], Any],
     return df.mapInPandas(run, schema)
 
 
-def attach_file(spark: SparkSession, path: str) -> str:
-    """Ship a file with the job; tasks open it by ``SparkFiles.get(<returned name>)``."""
-    spark.sparkContext.addFile(path)
+def attach(spark: SparkSession, path: str, folder: bool = False) -> str:
+    """Ship a file or a folder with the job; tasks open it by ``SparkFiles.get(<returned name>)``."""
+    spark.sparkContext.addFile(path, recursive=folder)
     return path.rstrip("/").rsplit("/", 1)[-1]
 
 
@@ -107,6 +107,10 @@ def encode_reviews(texts: DataFrame, key: str, text: str, dictionary: DataFrame,
     )
 
 
+def rating_line(review: Column, rating: Column) -> Column:
+    return F.format_string('Sentiment rating for review "%s" is %.2f', review, rating)
+
+
 # --- Tumour labels -----------------------------------------------------------
 
 def match_line(actual: Column, predicted: Column, probabilities: list[Column]) -> Column:
@@ -126,6 +130,11 @@ def match_diagnoses(scored: DataFrame) -> DataFrame:
         "line", match_line(actual, predicted, chances))
 
 
+def match_rate(matches: DataFrame) -> DataFrame:
+    """Share of rows whose prediction matched."""
+    return matches.agg(F.avg(F.col("matched").cast("double")).alias("accuracy"))
+
+
 def train_boosted_trees(train: DataFrame, features: list[str], label: str, trees: int = 100,
                         depth: int = 4, rate: float = 0.1, seed: int = 42) -> PipelineModel:
     """Binary gradient-boosted trees with the established settings as defaults."""

@@ -60,12 +60,15 @@ def score_batch(spark, sf_dir):
 
 
 @query("score_async", """
-SELECT doc_id, (length(text) % 101) / 100.0::DOUBLE AS rating FROM documents""")
+SELECT doc_id, (length(text) % 101) / 100.0::DOUBLE AS rating,
+  'Sentiment rating for review "' || text || '" is ' || printf('%.2f', (length(text) % 101) / 100.0::DOUBLE) AS line
+FROM documents""")
 def score_async(spark, sf_dir):
     """One call per text, 16 at a time; the stand-in service answers by length."""
-    return scoring.map_with_async_service(
+    rated = scoring.map_with_async_service(
         texts(spark, sf_dir), "length_service", lambda: (lambda text: len(text) % 101 / 100.0),
-        lambda service, text: service(text), "text", "rating", T.DoubleType()).select("doc_id", "rating")
+        lambda service, text: service(text), "text", "rating", T.DoubleType())
+    return rated.select("doc_id", "rating", scoring.rating_line(F.col("text"), F.col("rating")).alias("line"))
 
 
 @query("embedding_class", """
@@ -101,9 +104,11 @@ def gbt_match(spark, sf_dir):
         F.length(F.regexp_replace(text, r"\D", "")).cast("double").alias("digits"))
     train, test = rows.randomSplit([0.8, 0.2], seed=42)
     model = scoring.train_boosted_trees(train, ["chars", "words", "distinct_words", "lines", "digits"], "label")
-    scored = scoring.score_binary(test, model).withColumn(
-        "predicted", F.when(F.col("prediction") == 1.0, "B").otherwise("M"))
-    return scoring.match_diagnoses(scored).select("doc_id", "matched", "line")
+    letter = F.when(F.col("prediction") == 1.0, "B").otherwise("M")
+    return (
+        test.transform(scoring.score_binary, model).withColumn("predicted", letter)
+        .transform(scoring.match_diagnoses).select("doc_id", "matched", "line")
+    )
 
 
 @query("text_classifier")

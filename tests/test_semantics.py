@@ -183,6 +183,14 @@ def test_single_bet_pays_its_leg_stake(spark):
     assert betting.settle_nested(bets).first().payout == 12.0
 
 
+def test_a_type_that_does_not_fit_pays_null(spark):
+    leg = (1, 6.0, True, 2.0)
+    rows = [(1, "SINGLE", [leg]), (2, "ACCUM", [leg]), (3, None, [leg]), (4, "SINGLE", [leg, leg]), (5, None, [leg, leg])]
+    bets = spark.createDataFrame(rows, "id long, type string, legs array<struct<race_time:long,odds:double,won:boolean,stake:double>>")
+    paid = betting.settle_nested(bets.withColumn("stake", F.lit(1.0)))
+    assert {r.id: r.payout for r in paid.collect()} == {1: 12.0, 2: None, 3: 12.0, 4: None, 5: 36.0}
+
+
 def test_worst_list_is_ascending_and_empty_loss_is_zero(spark):
     worst = spark.createDataFrame([(r, r, float(30 - r)) for r in range(30)], "race long, horse long, exposure double")
     listed = betting.by_exposure(worst)
@@ -340,6 +348,7 @@ def test_match_line_format(spark):
     assert lines[0] == "Match: Actual: BENIGN         Prediction: BENIGN              0.75                     0.25                     "
     assert lines[1].startswith("Miss: Actual: BENIGN         Prediction: MALIGNENT")
     assert lines[2].startswith("Match: Actual: null ")
+    assert scoring.match_rate(scoring.match_diagnoses(scored)).first().accuracy == pytest.approx(2 / 3)
 
 
 def test_services_load_once_and_keep_row_order(spark):
@@ -354,6 +363,21 @@ def test_services_load_once_and_keep_row_order(spark):
     assert [r.out for r in answers.collect()] == [2 * i for i in range(100)]
 
 
+def test_frames_are_classified_and_the_best_kept(spark):
+    import pandas as pd
+    from millrace.operators import windows
+    frames = spark.createDataFrame([(100, bytearray([1, 9])), (900, bytearray([7, 2])), (1500, bytearray([3, 4]))], "ms long, image binary")
+
+    def classify(labels, batch):
+        scores = [list(image) for image in batch["image"]]
+        return pd.DataFrame({"ms": batch["ms"], "score": [float(max(s)) for s in scores],
+                             "category": [labels[s.index(max(s))] for s in scores]})
+
+    scored = scoring.map_with_service(frames, "labels", lambda: ["cat", "dog"], classify, "ms long, score double, category string")
+    best = windows.tumbling_best(scored.withColumn("ts", F.timestamp_millis("ms")), "ts", "1 second", "score", ["ms"], ["category", "score"])
+    assert [(r.category, r.score) for r in best.orderBy("window_end").collect()] == [("dog", 9.0), ("dog", 4.0)]
+
+
 def test_boosted_trees_separate_two_classes(spark):
     rows = spark.range(200).select((F.col("id") % 2).cast("double").alias("label"), (F.col("id") % 2 * 5 + F.col("id") / 1000).alias("x"))
     model = scoring.train_boosted_trees(rows, ["x"], "label", trees=3)

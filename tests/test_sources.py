@@ -59,10 +59,14 @@ def test_checkpoint_folder_is_the_one_the_session_names(spark):
 
 def test_attached_file_is_found_by_tasks(spark, tmp_path):
     from pyspark import SparkFiles
-    from millrace.operators.scoring import attach_file
+    from millrace.operators.scoring import attach
     (tmp_path / "model.txt").write_text("weights")
-    name = attach_file(spark, str(tmp_path / "model.txt"))
+    name = attach(spark, str(tmp_path / "model.txt"))
     assert open(SparkFiles.get(name)).read() == "weights"
+    (tmp_path / "folder").mkdir()
+    (tmp_path / "folder" / "index.json").write_text("{}")
+    folder = attach(spark, str(tmp_path / "folder"), folder=True)
+    assert open(SparkFiles.get(folder) + "/index.json").read() == "{}"
 
 
 def test_cluster_without_shared_folder_is_refused(monkeypatch):
