@@ -16,8 +16,9 @@ from pyspark.ml.feature import HashingTF, IDF, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
-from millrace import schemas, session
+from millrace import schemas
 from millrace.functions.text import left_aligned, padded_codes, tumour_type, words
+from millrace.operators.lookup import lookup
 
 # The helpers below travel with the job, also to workers without the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -83,22 +84,16 @@ def frequent_words(texts: DataFrame, text: str = "text", size: int = 10_000) ->
     return top.select("word", (rank + schemas.RESERVED_CODES).cast("int").alias("code"))
 
 
-def encode_reviews(texts: DataFrame, key: str, text: str, dictionary: DataFrame,
-                   dictionary_rows: int = 200_000) -> DataFrame:
+def encode_reviews(texts: DataFrame, key: str, text: str, dictionary: DataFrame) -> DataFrame:
     """Add ``codes``: start code, then word codes, cut or padded to 256 floats.
 
-    Only the words that fit are looked up. The dictionary has a fixed size, which
-    is checked before it is broadcast. A text's codes meet again by its key.
+    Only the words that fit are looked up; a text's codes meet again by its key.
     """
-    session.checkpoint_dir(texts.sparkSession)
-    kept = dictionary.checkpoint()
-    if kept.limit(dictionary_rows + 1).count() > dictionary_rows:
-        raise ValueError(f"dictionary has over {dictionary_rows} words")
     fitting = F.slice(words(F.col(text)), 1, schemas.REVIEW_LENGTH - 1)
+    placed = texts.select(key, F.posexplode_outer(fitting).alias("pos", "word"))
     code = F.coalesce("code", F.lit(schemas.UNKNOWN_CODE))
     return (
-        texts.select(key, F.posexplode_outer(fitting).alias("pos", "word"))
-        .join(F.broadcast(kept), "word", "left")
+        lookup(placed, dictionary, ["word"], "left")
         .groupBy(key)
         .agg(F.array_sort(F.collect_list(
             F.when(F.col("pos").isNotNull(), F.struct("pos", code.alias("code")))
