@@ -50,6 +50,20 @@ def stream_traffic_trend(spark, sf_dir):
         F.round(F.col("slope") * float(trend.STEP_MS), 8).alias("slope_per_step"))
 
 
+@query("stream_traffic_chain", f"""WITH {traffic.TRENDS_SQL}
+SELECT location, window_end AS window_end_ms, round(slope * 900000, 8) AS slope_per_step FROM trends
+WHERE window_end <= (SELECT max(epoch_us(ts)) // 1000 FROM events) - 300 * 60000""")
+def stream_traffic_chain(spark, sf_dir):
+    """Counts and their trend in one query with two windows, straight from the events."""
+    place = session.scratch_path(spark, "chain")
+    counts = stream_windows.count_stream(replay(spark, sf_dir, "events"), "event_type", "ts")
+    keys = ["location", "window_end"]
+    run.run_through(trend.linear_trend(counts), keyed.upsert(f"{place}/trends", keys, keys), f"{place}/checkpoint")
+    return keyed.read_latest(spark, f"{place}/trends", keys, []).select(
+        "location", epoch_ms(F.col("window_end")).alias("window_end_ms"),
+        F.round(F.col("slope") * float(trend.STEP_MS), 8).alias("slope_per_step"))
+
+
 @query("stream_traffic_predict", f"""WITH {CLOSED_TRENDS},
 joined AS (
   SELECT c.location, c.t, c.n, coalesce(s.slope, 0.0) AS slope
@@ -91,7 +105,8 @@ def stream_coin_latest(spark, sf_dir):
     panes = stream_windows.pane_stream(scored, "coin", "ts", "value", SLIDE)
     run.run_through(panes, keyed.append_batch(f"{place}/panes"), f"{place}/checkpoint")
     stored = keyed.read_journal(spark, f"{place}/panes").drop("batch")
-    as_of = (stored.agg(F.max("pane")).first()[0] + 1) * SLIDE
+    newest = stored.agg(F.max("pane")).first()[0]
+    as_of = None if newest is None else (newest + 1) * SLIDE
     return windows.latest_windows(stored, "coin", schemas.WINDOW_SIZES, SLIDE, as_of).select(
         "coin", F.col("window").alias("win"), "window_end", F.round("avg", 8).alias("avg_score"),
         F.col("count").alias("mentions"))

@@ -15,6 +15,18 @@ def trend_stream(counts: DataFrame, lag: str = TRAFFIC_LAG) -> DataFrame:
     return trend.linear_trend(counts.withWatermark("time", lag))
 
 
+def count_stream(events: DataFrame, location: str, time: str, width: str = "15 minutes",
+                 lag: str = TRAFFIC_LAG) -> DataFrame:
+    """Rows per location and closed interval, stamped within the interval, so that a
+    further window can follow in the same query."""
+    return (
+        events.withWatermark(time, lag)
+        .groupBy(F.col(location).alias("location"), F.window(time, width))
+        .agg(F.count("*").cast("int").alias("count"))
+        .select("location", F.window_time("window").alias("time"), "count")
+    )
+
+
 def pane_stream(scored: DataFrame, key: str, time: str, value: str, slide_ms: int,
                 lag: str = POST_LAG) -> DataFrame:
     """Sums per key and pane, from which sliding windows of any size are combined.

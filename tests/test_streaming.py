@@ -202,3 +202,21 @@ def test_tracked_posts_and_line_stream(spark, tmp_path):
 
 def test_ingestion_time_is_one_instant_per_batch(spark):
     assert stream_windows.stamped_now(spark.range(5)).select("ingested").distinct().count() == 1
+
+
+def test_processing_time_trigger(spark, tmp_path):
+    stream = land(spark, f"{tmp_path}/in", [[(1,)], [(2,)]], "id long")
+    query = run.start(stream, keyed.append_batch(f"{tmp_path}/out"), f"{tmp_path}/cp", every="1 second")
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    assert sorted((r.id, r.batch) for r in keyed.read_journal(spark, f"{tmp_path}/out").collect()) == [(1, 0), (2, 1)]
+
+
+def test_journal_is_followed_from_its_oldest_change(spark, tmp_path):
+    write = keyed.append_batch(f"{tmp_path}/journal")
+    write(spark.createDataFrame([("a", 1)], "k string, v long"), 0)
+    write(spark.createDataFrame([("a", 2)], "k string, v long"), 1)
+    run.run_through(keyed.journal_stream(spark, f"{tmp_path}/journal"), keyed.append_batch(f"{tmp_path}/out"), f"{tmp_path}/cp")
+    assert sorted(r.v for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [1, 2]
