@@ -24,8 +24,8 @@ SPLIT_BYTES = 64 * 1024 * 1024
 class FileRange(InputPartition):
     """Bytes of one file; a line belongs to the range it starts in."""
 
-    def __init__(self, path: str, start: int, end: int, stop: int):
-        self.path, self.start, self.end, self.stop = path, start, end, stop
+    def __init__(self, path: str, start: int, end: int):
+        self.path, self.start, self.end = path, start, end
 
 
 class LineTailSource(DataSource):
@@ -56,7 +56,7 @@ class LineTailReader(DataSourceStreamReader):
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
         """New bytes per file, large ones cut into several ranges."""
         return [
-            FileRange(path, at, min(at + SPLIT_BYTES, stop), stop)
+            FileRange(path, at, min(at + SPLIT_BYTES, stop))
             for path, stop in end.items()
             for at in range(start.get(path, 0), stop, SPLIT_BYTES)
         ]
