@@ -194,7 +194,8 @@ def search(
     once. Rows that ``usable`` leaves out are neither queries nor candidates. With k
     candidates or fewer all are returned.
     """
-    schema = "query_id long, vec_id long, score double"
+    ddl = "query_id long, vec_id long, score double"
+    schema = arrow_schema(ddl)
     fine = keep(usable(rows, key, vector), "vectors")
     # No more than the k + 1 smallest ids of equal vectors can be among the k nearest.
     in_class = Window.partitionBy("vector").orderBy("id")
@@ -203,7 +204,7 @@ def search(
         .groupBy("vector").agg(F.sort_array(F.collect_list("id")).alias("ids")), "classes")
     sample = classes.orderBy(F.xxhash64("vector")).limit(SAMPLE_ROWS).select("vector").toArrow()
     if not sample.num_rows:
-        return rows.sparkSession.createDataFrame([], f"query_id long, rank int, vec_id long, score double")
+        return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     curves = fit(_matrix(sample.column("vector")), **curve_options)
 
     queries = _spread_out(fine.filter(is_query).distinct(), curves, 1)
@@ -226,10 +227,9 @@ def search(
                 _matrix(right.column("vector")), right.column("id").to_numpy(), _matrix(left.column("vector")),
                 left.column("ids").to_pylist(), k)
         columns = zip(*found, strict=True) if found else [[], [], []]
-        out = arrow_schema(schema)
-        return pa.Table.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, out, strict=True)], schema=out)
+        return pa.Table.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
-    found = dealt_members.groupBy(*groups).cogroup(dealt_queries.groupBy(*groups)).applyInArrow(compare, schema)
+    found = dealt_members.groupBy(*groups).cogroup(dealt_queries.groupBy(*groups)).applyInArrow(compare, ddl)
     merged = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return merged.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -40,9 +40,12 @@ def _identity(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 def numbered_lines(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(doc, k1, k2, at, line, h1, h2, words): lines with a word, and after each document a gap without h1."""
-    rows = _identity(docs, key, text).select(
+    numbered = _identity(docs, key, text).select(
         F.monotonically_increasing_id().alias("doc"), F.col("__k1").alias("k1"), F.col("__k2").alias("k2"),
-        F.posexplode(F.array_append(F.split(text, "\n"), F.lit(None).cast("string"))).alias("at", "content"))
+        F.col(text).alias("whole"))
+    rows = numbered.select(
+        "doc", "k1", "k2",
+        F.posexplode(F.array_append(F.split("whole", "\n"), F.lit(None).cast("string"))).alias("at", "content"))
     lines = rows.withColumn("words", F.regexp_count("content", F.lit(WORD))).filter("words > 0 OR content IS NULL")
     digests = [F.when(F.col("content").isNotNull(), F.xxhash64(*x)) for x in (["content"], [F.lit("line"), "content"])]
     return lines.select(
@@ -96,7 +99,7 @@ def removed_stretches(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
     # The interval of each run: the ranks of its first and of its last 2^level lines.
     runs = _runs(repeated, min_words).withColumn("level", (F.length(F.bin("t")) - 1).cast("int"))
-    last = F.col("line") + F.col("t") - F.shiftleft(F.lit(1), F.col("level"))
+    last = F.col("line") + F.col("t") - F.expr("shiftleft(1, level)")
     heads = ranks.withColumnRenamed("rank", "head")
     tails = ranks.select("level", F.col("line").alias("last"), F.col("rank").alias("tail"))
     intervals = keep(

@@ -11,12 +11,12 @@ from millrace.llm.registry import query, table
 SQL = r"""
 WITH split AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
-    generate_subscripts(string_split(text, chr(10)), 1) - 1 AS at
+    generate_subscripts(string_split(text, chr(10)), 1) - 1 AS n
   FROM documents),
 counted AS (SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words FROM split),
 lines AS (
-  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY at) AS i,
-    sum(words) OVER (PARTITION BY doc_id ORDER BY at) AS upto
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n) AS i,
+    sum(words) OVER (PARTITION BY doc_id ORDER BY n) AS upto
   FROM counted WHERE words > 0),
 runs AS (
   SELECT a.doc_id, a.i AS first, count(*) AS t, string_agg(b.line, chr(10) ORDER BY b.i) AS run
@@ -30,12 +30,12 @@ runs AS (
 placed AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id, first) AS place FROM runs),
 gone AS (SELECT DISTINCT doc_id, unnest(range(first, first + t)) AS i FROM placed WHERE place > 1),
 marked AS (
-  SELECT doc_id, at, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS island FROM gone JOIN lines USING (doc_id, i)),
-stretches AS (SELECT doc_id, min(at) AS a, max(at) AS b FROM marked GROUP BY doc_id, island),
+  SELECT doc_id, n, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS island FROM gone JOIN lines USING (doc_id, i)),
+stretches AS (SELECT doc_id, min(n) AS a, max(n) AS b FROM marked GROUP BY doc_id, island),
 cut AS (
-  SELECT split.doc_id, split.at, split.line, bool_or(split.at BETWEEN s.a AND s.b) IS TRUE AS removed
+  SELECT split.doc_id, split.n, split.line, bool_or(split.n BETWEEN s.a AND s.b) IS TRUE AS removed
   FROM split LEFT JOIN stretches s ON split.doc_id = s.doc_id GROUP BY ALL)
-SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY at) FILTER (NOT removed), '') AS text,
+SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (NOT removed), '') AS text,
   count(*) FILTER (removed) AS lines_removed
 FROM cut GROUP BY doc_id
 """
