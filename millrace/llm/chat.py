@@ -15,6 +15,7 @@ begins only where the template says so, and the text is read back exactly.
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -105,9 +106,15 @@ def paths(kind: DataType, hollow: bool = False) -> str:
 
 
 def fingerprint(form: Column) -> Column:
+    """Hash of a canonical form, for each row."""
     return F.xxhash64(form)
 
 
+def hashed(form: str) -> int:
+    """Hash of the canonical form of a whole table."""
+    return int.from_bytes(hashlib.blake2b(form.encode(), digest_size=8).digest())
+
+
 def record_paths(record: Column) -> Column:
     """The same canonical form for a JSON text, row by row; null if it is no JSON."""
     known = F.schema_of_variant(F.try_parse_json(record))
@@ -146,11 +153,10 @@ def turns_of_table(rows: DataFrame, layouts: tuple[Table, ...] = TABLES) -> Data
     The table's fingerprint is that of its columns, so pass only those of the layout.
     Equal places are ordered by role and text; rows with a null key are one conversation.
     """
-    mine = paths(rows.schema)
-    prints = {paths(StructType.fromDDL(t.fields)): t for t in layouts}
-    if mine not in prints:
-        raise ValueError(f"no layout for the fields {mine}")
-    layout = prints[mine]
+    prints = {hashed(paths(StructType.fromDDL(t.fields))): t for t in layouts}
+    layout = prints.get(hashed(paths(rows.schema)))
+    if layout is None:
+        raise ValueError(f"no layout for the fields {paths(rows.schema)}")
     turn = F.struct(
         F.col(layout.order).alias("order"), F.coalesce(layout.role, F.lit("")).alias("role"),
         F.coalesce(layout.text, F.lit("")).alias("text"))
