@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from millrace import schemas
 from millrace.functions.records import first_winner
-from millrace.operators.lookup import group_lists, lookup
+from millrace.operators.lookup import PAGE_ROWS, group_lists
 from millrace.operators.ordered import number_rows
 
 STARTING_VERSION = -1
@@ -64,10 +64,10 @@ def exposure(singles: DataFrame, decimals: int = 2) -> DataFrame:
     )
 
 
-def exposure_maps(exposures: DataFrame, list_rows: int = 100_000) -> DataFrame:
-    """Exposures as a map per race; a race with very many horses spans pages."""
+def exposure_maps(exposures: DataFrame, page_rows: int = PAGE_ROWS) -> DataFrame:
+    """Exposures as maps per race, in pages of bounded size."""
     pairs = exposures.select("race", F.struct("horse", "exposure").alias("_entry"))
-    return group_lists(pairs, "race", "_entry", "_entries", list_rows).select(
+    return group_lists(pairs, "race", "_entry", "_entries", page_rows).select(
         "race", "page", "size", F.map_from_entries("_entries").alias("exposures")
     )
 
@@ -136,9 +136,9 @@ def multiple_winners(winners: DataFrame, winner: str = "winner") -> DataFrame:
     return winners.groupBy(winner).agg(F.count("*").alias("wins")).where("wins > 1")
 
 
-def events_won(winners: DataFrame, winner: str, event: str, list_rows: int = 100_000) -> DataFrame:
-    """Winner to the sorted list of events won."""
-    return group_lists(winners.select(winner, event), winner, event, "events", list_rows)
+def events_won(winners: DataFrame, winner: str, event: str, page_rows: int = PAGE_ROWS) -> DataFrame:
+    """Winner to the sorted list of events won, in pages of bounded size."""
+    return group_lists(winners, winner, event, "events", page_rows)
 
 
 def runners(events: DataFrame) -> DataFrame:
@@ -161,13 +161,13 @@ def resolve_names(horses: DataFrame, horse: str, name: str) -> DataFrame:
     is one horse.
     """
     names = number_rows(horses.select(name).distinct(), [name], "resolved")
-    return lookup(horses.select(horse, name).distinct(), names, [name], "inner")
+    return horses.select(horse, name).distinct().join(names, name)
 
 
 def remap_horses(rows: DataFrame, mapping: DataFrame, on: list[str]) -> DataFrame:
     """Replace file ids by resolved ids; ``on`` is the file id, and the name where
-    rows carry it."""
-    return lookup(rows, mapping.select(*on, "resolved"), on, "inner").drop(on[0])
+    rows carry it. A row whose id has no mapping stays, with a NULL id."""
+    return rows.join(mapping.select(*on, "resolved"), on, "left").drop(on[0])
 
 
 def latest_odds(versions: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ def replay(points: DataFrame, start_ms: int, ms_per_unit: int = 250) -> DataFram
 
 
 def point_json(points: DataFrame) -> DataFrame:
-    """The point as a JSON line with fixed spacing and quoted values."""
+    """The point as a JSON line; its spacing and quotes are fixed values."""
     return points.withColumn("line", F.format_string(
         '{ "input-point": "%d", "latitude": "%s", "longitude": "%s", "timestamp": "%d", "timeprint": "%s" }',
         "input_point", "lat", "lon", "replay_ms", clock_text(F.col("replay_ms"))))

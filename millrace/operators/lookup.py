@@ -1,44 +1,28 @@
-"""Lookups against another table, and bounded group lists."""
+"""Bounded lists per group."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from millrace import session
+from millrace.operators.ordered import number_rows
 
-BROADCAST_ROWS = 200_000
-LIST_ROWS = 100_000
+PAGE_ROWS = 100_000
 
 
-def lookup(facts: DataFrame, dimension: DataFrame, on: list[str], how: str = "left",
-           broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Join a derived dimension, broadcasting it only once its size is known.
-
-    The dimension is checkpointed and counted. Beyond ``broadcast_rows`` the
-    join shuffles, and hot keys are split at run time (``session.tune``).
-    """
-    session.checkpoint_dir(facts.sparkSession)
-    kept = dimension.checkpoint()
-    small = kept.limit(broadcast_rows + 1).count() <= broadcast_rows
-    return facts.join(F.broadcast(kept) if small else kept, on, how)
-
-
-def group_lists(df: DataFrame, key: str, item: str, name: str,
-                list_rows: int = LIST_ROWS) -> DataFrame:
+def group_lists(df: DataFrame, key: str, item: str, name: str, page_rows: int = PAGE_ROWS) -> DataFrame:
     """Sorted item lists per key, as (key, page, size, list).
 
-    A key with at most ``list_rows`` items has one list on page 0. A larger one
-    is spread by item over as many pages as it needs, so no task holds a hot key
-    whole. There are few such keys, and only they are looked up.
+    Items are numbered within their key in item order; a page holds ``page_rows`` of
+    them, the last one the rest. The pages of a key in order are its whole sorted
+    list, and no task holds more than a page, equal items included. ``size`` is the
+    number of items of the key.
     """
-    session.checkpoint_dir(df.sparkSession)
-    kept = df.checkpoint()
-    large = kept.groupBy(key).agg(F.count("*").alias("_size")).where(F.col("_size") > list_rows)
-    pages = F.ceil(F.col("_size") / list_rows)
-    page = F.coalesce(F.pmod(F.xxhash64(item), pages), F.lit(0)).cast("int")
+    numbered = number_rows(df.select(key, item), [key, item], "_number")
+    firsts = numbered.groupBy(F.col(key).alias("_key")).agg(
+        F.min("_number").alias("_first"), F.count("*").alias("size"))
+    page = F.floor((F.col("_number") - F.col("_first")) / page_rows).cast("int")
     return (
-        lookup(kept, large, [key], "left")
+        numbered.join(firsts, F.col(key).eqNullSafe(F.col("_key")))
         .groupBy(key, page.alias("page"))
-        .agg(F.coalesce(F.max("_size"), F.count("*")).alias("size"),
-             F.array_sort(F.collect_list(item)).alias(name))
+        .agg(F.max("size").alias("size"), F.array_sort(F.collect_list(item)).alias(name))
     )

@@ -17,21 +17,27 @@ CHUNK_ROWS = 1_000_000
 _PLACE_BITS = 33  # monotonically_increasing_id: partition number above 33 row bits
 
 
-def number_rows(df: DataFrame, order: list, name: str = "row_number") -> DataFrame:
-    """Number all rows from 1 in the given total order.
+def _placed(df: DataFrame, order: list) -> DataFrame:
+    """Rows with ``_part`` and ``_index``: their partition in the total order, and their place in it.
 
-    One range shuffle. The placed rows are checkpointed, so that row counts and
-    row places come from the same placement even when executors are lost.
+    One range shuffle. The placed rows are checkpointed, so that what is counted and
+    what is numbered come from the same placement even when executors are lost.
     """
     session.checkpoint_dir(df.sparkSession)
-    placed = (
+    return (
         df.repartitionByRange(*order)
         .sortWithinPartitions(*order)
         .withColumn("_place", F.monotonically_increasing_id())
         .checkpoint()
         .withColumn("_part", F.shiftright("_place", _PLACE_BITS))
         .withColumn("_index", F.col("_place").bitwiseAND(2 ** _PLACE_BITS - 1))
+        .drop("_place")
     )
+
+
+def number_rows(df: DataFrame, order: list, name: str = "row_number") -> DataFrame:
+    """Number all rows from 1 in the given total order."""
+    placed = _placed(df, order)
     # One row per shuffle partition: small whatever the data size.
     per_part = placed.groupBy("_part").agg((F.max("_index") + 1).alias("_rows"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
@@ -41,7 +47,7 @@ def number_rows(df: DataFrame, order: list, name: str = "row_number") -> DataFra
     return (
         placed.join(F.broadcast(offsets), "_part")
         .withColumn(name, F.col("_offset") + F.col("_index") + 1)
-        .drop("_place", "_part", "_index", "_offset")
+        .drop("_part", "_index", "_offset")
     )
 
 
@@ -84,40 +90,34 @@ def moving_average(df: DataFrame, keys: list[str], order: list, value: str, rows
     )
 
 
-def running_total(df: DataFrame, keys: list[str], order: list, value: str,
-                  chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+def running_total(df: DataFrame, keys: list[str], order: list, value: str) -> DataFrame:
     """Add ``running`` (cumulative sum within the keys), ``total`` (key sum) and
-    ``members`` (rows of the key)."""
-    numbered = number_rows(df, [*keys, *order], "_number")
-    chunked = in_chunks(numbered, "_number", 0, chunk_rows).drop("_own")
-    group = Window.partitionBy("_chunk", *keys)
-    so_far = group.orderBy("_number").rowsBetween(Window.unboundedPreceding, 0)
+    ``members`` (rows of the key).
+
+    Sums run within a partition of the total order. A key that goes on into the next
+    partition is the last of its own, so there are fewer of them than partitions: what
+    they hold in each partition is carried forward from a table of that size.
+    """
+    placed = _placed(df, [*keys, *order])
+    group = Window.partitionBy("_part", *keys)
+    so_far = group.orderBy("_index").rowsBetween(Window.unboundedPreceding, 0)
     local = (
-        chunked.withColumn("_running", F.sum(value).over(so_far))
+        placed.withColumn("_running", F.sum(value).over(so_far))
         .withColumn("_local", F.sum(value).over(group))
         .withColumn("_rows", F.count("*").over(group))
     )
-    # A key is in several chunks only where chunk borders cut it, so this table
-    # has at most two rows per chunk and is safe to broadcast.
-    of_key = Window.partitionBy(*keys)
-    earlier = of_key.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    cut = (
-        chunked.groupBy("_chunk", *keys).agg(F.sum(value).alias("_part"), F.count("*").alias("_n"))
-        .withColumn("_pieces", F.count("*").over(of_key))
-        .withColumn("_before", F.sum("_part").over(earlier))
-        .withColumn("_whole", F.sum("_part").over(of_key))
-        .withColumn("_all", F.sum("_n").over(of_key))
-        .where("_pieces > 1")
-        .select(F.col("_chunk").alias("_c"), *[F.col(k).alias(f"_k_{k}") for k in keys],
-                "_before", "_whole", "_all")
-    )
-    same: Column = reduce(
-        lambda a, b: a & b,
-        [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys],
-        F.col("_chunk") == F.col("_c"),
-    )
+    borders = placed.groupBy("_part").agg(F.max_by(F.struct(*keys), "_index").alias("_last"))
+    last = borders.select(*[F.col("_last")[k].alias(f"_k_{k}") for k in keys]).distinct()
+    same_key: Column = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys])
+    pieces = placed.join(F.broadcast(last), same_key).groupBy("_part", *[f"_k_{k}" for k in keys]).agg(
+        F.sum(value).alias("_sum"), F.count("*").alias("_n"))
+    of_key = Window.partitionBy(*[f"_k_{k}" for k in keys])
+    earlier = of_key.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = pieces.select(
+        F.col("_part").alias("_p"), *[f"_k_{k}" for k in keys], F.sum("_sum").over(earlier).alias("_before"),
+        F.sum("_sum").over(of_key).alias("_whole"), F.sum("_n").over(of_key).alias("_all"))
     return (
-        local.join(F.broadcast(cut), same, "left")
+        local.join(F.broadcast(carried), same_key & (F.col("_part") == F.col("_p")), "left")
         .withColumn("running", F.col("_running") + F.coalesce("_before", F.lit(0)))
         .withColumn("total", F.coalesce("_whole", "_local"))
         .withColumn("members", F.coalesce("_all", "_rows"))
@@ -125,19 +125,50 @@ def running_total(df: DataFrame, keys: list[str], order: list, value: str,
     )
 
 
-def newest(df: DataFrame, order: list, rows: int, spread: int = 256) -> DataFrame:
-    """The ``rows`` last rows of a total order, as a two-step exact top-n.
+CUT_BUCKETS = 200
+
 
-    Each scan task keeps its own best ``rows``; ``spread`` tasks merge those.
-    Which group a row falls into does not change the result.
+def cut_off(values: DataFrame, value: str, rows: int, rounds: int = 8) -> float | None:
+    """A value that at least ``rows`` rows reach or exceed, and few more; None if there are fewer.
+
+    Each round counts the rows in equal steps of the range in question and goes on in
+    the step that the row falls into. Only these counts come to the driver.
     """
-    latest_first = [F.desc(c) if isinstance(c, str) else c.desc() for c in order]
-    by_group = Window.partitionBy("_group").orderBy(*latest_first)
-    return (
-        df.withColumn("_group", F.pmod(F.spark_partition_id(), F.lit(spread)))
-        .withColumn("_rank", F.row_number().over(by_group))
-        .where(F.col("_rank") <= rows)
-        .drop("_group", "_rank")
-        .orderBy(*latest_first)
-        .limit(rows)
-    )
+    numbers = values.select(F.col(value).cast("double").alias("v")).where("v IS NOT NULL")
+    low, high, total = numbers.agg(F.min("v"), F.max("v"), F.count("*")).first()
+    if total < rows or low is None:
+        return None
+    above, inside = 0, numbers
+    for _ in range(rounds):
+        width = (high - low) / CUT_BUCKETS
+        slack = 1e-12 * max(abs(low), abs(high))
+        if not width > 2 * slack:
+            break
+        step = F.least(F.floor((F.col("v") - low) / width), F.lit(CUT_BUCKETS - 1)).cast("int")
+        counts = dict(inside.groupBy(step.alias("s")).count().collect())
+        taken, last = CUT_BUCKETS, 0
+        while above < rows and taken > 0:
+            taken -= 1
+            last = counts.get(taken, 0)
+            above += last
+        # Rounding may leave a row at a border uncounted, which only takes in more rows.
+        low, high = low + taken * width - slack, low + (taken + 1) * width - slack
+        if above <= 2 * rows:
+            break
+        above -= last
+        inside = numbers.where((F.col("v") >= low) & (F.col("v") < high))
+    return low
+
+
+def newest(df: DataFrame, order: list, rows: int) -> DataFrame:
+    """The ``rows`` last rows of a total order that begins with a number or a time.
+
+    A few narrow passes find a value of the first order column beyond which hardly
+    more than ``rows`` rows lie; only these are sorted, in ranges. Exact for any number.
+    """
+    name = "_order"
+    first = F.col(order[0]) if isinstance(order[0], str) else order[0]
+    bound = cut_off(df.select(first.alias(name)), name, rows)
+    near = df if bound is None else df.where(first.cast("double") >= F.lit(bound))
+    latest_first = [(F.col(c) if isinstance(c, str) else c).desc() for c in order]
+    return number_rows(near, latest_first, "_rank").where(F.col("_rank") <= rows).drop("_rank")

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from millrace import session
 from millrace.functions.text import key_value_line, starts_with_ignoring_case
-from millrace.operators.lookup import lookup
 from millrace.operators.ordered import newest
 
 JOURNAL_ROWS = 10_000
@@ -34,20 +33,37 @@ def history_lines(history: DataFrame, key: str, value: str, prefix: str = "p") -
     )
 
 
-def change_notices(changes: DataFrame, table: str, key: str, value: str, order: str) -> DataFrame:
+# Fixed value: the text of a change notice.
+NOTICE = "%s event, map '{table}', key '%s', new value '%s'"
+
+
+def notice_line(table: str, kind: Column, key: str, value: str) -> Column:
+    """The text of a change; NULL keys and values read ``null``."""
+    texts = [F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in (key, value)]
+    return F.format_string(NOTICE.format(table=table), kind, *texts)
+
+
+def change_notices(changes: DataFrame, table: str, key: str, value: str, order: str,
+                   known: DataFrame | None = None) -> DataFrame:
     """A text per change: ADDED for the first of its key, else UPDATED.
 
-    The first change per key is a small aggregate, so no key is sorted whole.
+    The first change per key is a small aggregate, so no key is sorted whole. Of equal
+    smallest orders the smaller value came first, and of fully equal changes one.
+    A NULL key is a key. ``known`` lists keys that were there before: they are only
+    updated.
     """
-    firsts = changes.groupBy(key).agg(F.min(order).alias("_first"))
-    kind = F.when(F.col(order) == F.col("_first"), F.lit("ADDED")).otherwise(F.lit("UPDATED"))
-    return (
-        lookup(changes, firsts, [key], "inner")
-        .withColumn("kind", kind)
-        .withColumn("line", F.format_string(
-            f"%s event, map '{table}', key '%s', new value '%s'", "kind", key, value))
-        .drop("_first")
-    )
+    firsts = changes.groupBy(F.col(key).alias("_key")).agg(F.min(F.struct(order, value)).alias("_first"))
+    if known is not None:
+        there = known.select(F.col(key).alias("_there")).distinct()
+        firsts = firsts.join(there, F.col("_key").eqNullSafe(F.col("_there")), "left_anti")
+    marked = changes.join(firsts, F.col(key).eqNullSafe(F.col("_key")), "left")
+    is_first = F.coalesce(F.struct(order, value) == F.col("_first"), F.lit(False))
+    # Only the candidates for ADDED are numbered: one per key but for equal changes.
+    candidates = marked.where(is_first).withColumn(
+        "_place", F.row_number().over(Window.partitionBy("_key", order, value).orderBy(F.lit(0))))
+    added = candidates.withColumn("kind", F.when(F.col("_place") == 1, "ADDED").otherwise("UPDATED")).drop("_place")
+    updated = marked.where(~is_first).withColumn("kind", F.lit("UPDATED"))
+    return added.unionByName(updated).withColumn("line", notice_line(table, F.col("kind"), key, value)).drop("_first", "_key")
 
 
 def listing(latest: DataFrame, key: str, value: str) -> DataFrame:

@@ -8,22 +8,25 @@ from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from typing import Any
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import HashingTF, IDF, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from millrace import schemas
 from millrace.functions.text import left_aligned, padded_codes, tumour_type, words
-from millrace.operators.lookup import lookup
 
 # The helpers below travel with the job, also to workers without the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-MAX_CLASSES = 1_000
+#: Vectors and classes that one task compares.
+PIECE_VECTORS, BLOCK_CLASSES = 50_000, 1_000
 
 
 def worker_service(name: str, load: Callable[[], Any]) -> Any:
@@ -84,30 +87,32 @@ def frequent_words(texts: DataFrame, text: str = "text", size: int = 10_000) ->
     return top.select("word", (rank + schemas.RESERVED_CODES).cast("int").alias("code"))
 
 
-def encode_reviews(texts: DataFrame, key: str, text: str, dictionary: DataFrame) -> DataFrame:
+def encode_reviews(texts: DataFrame, text: str, dictionary: DataFrame) -> DataFrame:
     """Add ``codes``: start code, then word codes, cut or padded to 256 floats.
 
-    Only the words that fit are looked up; a text's codes meet again by its key.
+    The dictionary is bounded by its size parameter and goes to every task once; each
+    row is encoded where it is.
     """
+    codes = texts.sparkSession.sparkContext.broadcast({r["word"]: r["code"] for r in dictionary.collect()})
+    unknown = schemas.UNKNOWN_CODE
+
+    def encode(fitting: pa.Array) -> pa.Array:
+        known = codes.value
+        return pa.array([[known.get(w, unknown) for w in row or ()] for row in fitting.to_pylist()], pa.list_(pa.int32()))
+
     fitting = F.slice(words(F.col(text)), 1, schemas.REVIEW_LENGTH - 1)
-    placed = texts.select(key, F.posexplode_outer(fitting).alias("pos", "word"))
-    code = F.coalesce("code", F.lit(schemas.UNKNOWN_CODE))
-    return (
-        lookup(placed, dictionary, ["word"], "left")
-        .groupBy(key)
-        .agg(F.array_sort(F.collect_list(
-            F.when(F.col("pos").isNotNull(), F.struct("pos", code.alias("code")))
-        )).alias("_coded"))
-        .select(key, padded_codes(F.col("_coded.code")).alias("codes"))
-    )
+    return texts.withColumn("codes", padded_codes(F.arrow_udf(encode, "array<int>")(fitting)))
 
 
+# Fixed value: the text of a rating.
 def rating_line(review: Column, rating: Column) -> Column:
     return F.format_string('Sentiment rating for review "%s" is %.2f', review, rating)
 
 
 # --- Tumour labels -----------------------------------------------------------
 
+# The words and widths of a verdict line.
+
 def match_line(actual: Column, predicted: Column, probabilities: list[Column]) -> Column:
     """``Match:``/``Miss:`` line; two unknown labels count as a match."""
     verdict = F.when(actual.eqNullSafe(predicted), F.lit("Match")).otherwise(F.lit("Miss"))
@@ -164,30 +169,56 @@ def classify_texts(texts: DataFrame, text: str, model: PipelineModel) -> DataFra
 
 # --- Image classes -----------------------------------------------------------
 
-def class_centroids(vectors: DataFrame, vector: str, label: str) -> dict[int, list[float]]:
-    """Mean vector per class: the model. Small, as classes and dimensions are few."""
-    means = (
-        vectors.select(label, F.posexplode(vector).alias("pos", "x"))
-        .groupBy(label, "pos").agg(F.avg("x").alias("mean"))
-        .groupBy(label).agg(F.array_sort(F.collect_list(F.struct("pos", "mean"))).alias("means"))
-        .select(label, F.col("means.mean").alias("means"))
-        .limit(MAX_CLASSES + 1).collect()
-    )
-    if len(means) > MAX_CLASSES:
-        raise ValueError(f"over {MAX_CLASSES} classes")
-    return {row[label]: row["means"] for row in sorted(means, key=lambda r: r[label])}
-
+def class_centroids(vectors: DataFrame, vector: str, label: str) -> DataFrame:
+    """The model: (label, centre) with the mean vector of each class."""
+    means = vectors.groupBy(label).agg(
+        Summarizer.mean(array_to_vector(F.col(vector).cast("array<double>"))).alias("mean"))
+    return means.select(F.col(label).alias("label"), vector_to_array("mean").alias("centre"))
 
-def nearest_class(vectors: DataFrame, vector: str, centroids: dict[int, list[float]]) -> DataFrame:
-    """Add the ``predicted`` class with the smallest squared ``distance``."""
 
-    def distance(centre: list[float]) -> Column:
-        squares = F.zip_with(vector, F.array(*[F.lit(c) for c in centre]),
-                             lambda x, c: (x.cast("double") - c) * (x.cast("double") - c))
-        return F.aggregate(squares, F.lit(0.0), lambda total, square: total + square)
+def nearest_class(vectors: DataFrame, key: str, vector: str, centroids: DataFrame,
+                  piece_vectors: int = PIECE_VECTORS, block_classes: int = BLOCK_CLASSES) -> DataFrame:
+    """(key, predicted, distance): the class with the smallest squared distance, ties to the smaller label.
 
-    best = F.array_min(F.array(*[
-        F.struct(distance(centre).alias("distance"), F.lit(label).alias("predicted"))
-        for label, centre in centroids.items()
-    ]))
-    return vectors.withColumn("_best", best).select(*vectors.columns, "_best.predicted", "_best.distance")
+    Blocks of classes meet pieces of vectors, each pair in a group of bounded size, as one
+    matrix product; the best of the blocks wins. ``key`` tells the rows apart.
+    """
+    blocks = max(1, -(-centroids.count() // block_classes))
+    pieces = max(1, -(-vectors.count() // piece_vectors))
+
+    def every(n: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+    dealt = vectors.select(
+        F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("vector"),
+        F.pmod(F.xxhash64(key), F.lit(pieces)).cast("int").alias("piece"), every(blocks).alias("block"))
+    model = centroids.select(
+        F.col("label").cast("long").alias("label"), "centre",
+        F.pmod(F.xxhash64("label"), F.lit(blocks)).cast("int").alias("block"), every(pieces).alias("piece"))
+    key_type = vectors.schema[key].dataType.simpleString()
+
+    def matrix(column: pa.ChunkedArray) -> np.ndarray:
+        flat = column.combine_chunks()
+        flat = flat.combine_chunks() if isinstance(flat, pa.ChunkedArray) else flat
+        return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1)
+
+    def compare(rows: pa.Table, classes: pa.Table) -> pa.Table:
+        if not rows.num_rows or not classes.num_rows:
+            return pa.table({"key": rows["key"].slice(0, 0), "distance": pa.array([], pa.float64()),
+                             "predicted": pa.array([], pa.int64())})
+        order = np.argsort(classes["label"].to_numpy())
+        centres, labels = matrix(classes["centre"])[order], classes["label"].to_numpy()[order]
+        best, found = [], matrix(rows["vector"])
+        for at in range(0, len(found), 1024):
+            part = found[at:at + 1024]
+            rough = (centres ** 2).sum(1)[None, :] - 2 * part @ centres.T
+            nearest = rough.argmin(1)
+            best.append((((part - centres[nearest]) ** 2).sum(1), labels[nearest]))
+        distance, predicted = (np.concatenate(x) for x in zip(*best))
+        return pa.table({"key": rows["key"], "distance": distance, "predicted": predicted})
+
+    groups = ["block", "piece"]
+    found = dealt.groupBy(*groups).cogroup(model.groupBy(*groups)).applyInArrow(
+        compare, f"key {key_type}, distance double, predicted long")
+    return found.groupBy(F.col("key").alias(key)).agg(
+        F.min_by("predicted", F.struct("distance", "predicted")).alias("predicted"), F.min("distance").alias("distance"))

@@ -15,7 +15,7 @@ def interval_counts(events: DataFrame, location: str, time: str, width: str = "1
     """Rows per location and interval, stamped with the interval start."""
     return (
         events.groupBy(F.col(location).alias("location"), F.window(time, width))
-        .agg(F.count("*").cast("int").alias("count"))
+        .agg(F.count("*").alias("count"))
         .select("location", F.col("window.start").alias("time"), "count")
     )
 
@@ -56,7 +56,7 @@ def forecast(counts: DataFrame, trends: DataFrame, steps: int = 8, step_ms: int
 
 
 def forecast_line(predictions: DataFrame) -> DataFrame:
-    """Predictions as text lines for a file sink."""
+    """Predictions as text lines for a file sink. The line's layout is a fixed value."""
     local = F.date_format("time", "yyyy-MM-dd'T'HH:mm")
     counts = F.array_join(F.col("predicted_counts").cast("array<string>"), ", ")
     return predictions.select(

@@ -87,6 +87,29 @@ def unfold_segments(segments: DataFrame, slide_ms: int) -> DataFrame:
     return segments.select(*others, F.explode(ends).alias("window_end"))
 
 
+DAY_MS = 86_400_000
+
+
+def windows_per_day(segments: DataFrame, key: str, slide_ms: int) -> DataFrame:
+    """(key, day, windows, total, most, mean) of the windows ending on each day.
+
+    A segment is cut at the day border and its windows are counted by arithmetic; a
+    segment is shorter than a day, as a window is.
+    """
+    day = F.floor(F.col("first_end") / DAY_MS)
+    border = (day + 1) * DAY_MS
+
+    def ends(first: Column, last: Column) -> Column:
+        return F.floor((last - first) / slide_ms) + 1
+
+    cut = segments.select(key, "avg", "count", F.inline(F.array(
+        F.struct(day.alias("day"), ends(F.col("first_end"), F.least("last_end", border - slide_ms)).alias("windows")),
+        F.struct((day + 1).alias("day"), F.greatest(ends(border, F.col("last_end")), F.lit(0).cast("long")).alias("windows")))))
+    return cut.where("windows > 0").groupBy(key, "day").agg(
+        F.sum("windows").alias("windows"), F.sum(F.col("count") * F.col("windows")).alias("total"),
+        F.max("count").alias("most"), (F.sum(F.col("avg") * F.col("windows")) / F.sum("windows")).alias("mean"))
+
+
 def latest_windows(panes: DataFrame, key: str, sizes: dict[str, int], slide_ms: int,
                    as_of_ms: int | None = None) -> DataFrame:
     """The last window with data per key and window name: what a keyed upsert holds.

@@ -3,9 +3,12 @@ horse a part. Odds are 1 + discount, the stake is the quantity."""
 
 from pyspark.sql import functions as F
 
-from millrace import schemas
+from millrace import schemas, session
+from millrace.functions import records
 from millrace.operators import betting
 from millrace.plans import query
+from millrace.sinks import output
+from millrace.sources import files
 from millrace.sources.tables import load
 
 NOBODY = f"({schemas.NO_WINNER_ID + 1}::BIGINT - 1)"
@@ -150,6 +153,20 @@ def winners_events(spark, sf_dir):
     return lists.withColumn("events", F.array_join(F.col("events").cast("array<string>"), ","))
 
 
+PAGE = 2
+
+
+@query("winners_pages", f"""WITH {WINNERS_SQL},
+numbered AS (SELECT winner, event, (row_number() OVER (PARTITION BY winner ORDER BY event) - 1) // {PAGE} AS page FROM winners)
+SELECT winner, page::INTEGER AS page, (sum(count(*)) OVER (PARTITION BY winner))::BIGINT AS size,
+  string_agg(event::VARCHAR, ',' ORDER BY event) AS events
+FROM numbered GROUP BY winner, page""")
+def winners_pages(spark, sf_dir):
+    """The same lists in short pages: several per winner, in order."""
+    lists = betting.events_won(winners(spark, sf_dir), "winner", "event", PAGE)
+    return lists.withColumn("events", F.array_join(F.col("events").cast("array<string>"), ","))
+
+
 @query("horse_resolve", """
 WITH names AS (SELECT p_partkey, dense_rank() OVER (ORDER BY p_name) AS resolved FROM part)
 SELECT resolved, count(*) AS legs, round(sum(l_quantity), 2) AS stakes
@@ -199,3 +216,81 @@ def leg_dimensions(spark, sf_dir):
                 F.col("p_name").alias("horse_name"), F.col("s_name").alias("race_name"),
                 F.col("l_quantity").alias("stake"))
     )
+
+
+NESTED_SQL = """
+legs AS (
+  SELECT l_orderkey * 10 + l_linenumber AS user, l_suppkey AS race, l_partkey AS horse, l_quantity AS stake,
+    1 + l_discount AS odds, 1 + l_tax AS other_odds
+  FROM lineitem),
+bets AS (
+  SELECT user, 1 AS bet, 'SINGLE' AS type, 1 AS legs,
+    CASE horse % 3 WHEN 1 THEN stake * odds WHEN 2 THEN 0.0 END AS payout FROM legs
+  UNION ALL
+  SELECT user, 2, 'ACCUM', 2,
+    CASE WHEN horse % 3 = 0 OR (horse + 1) % 3 = 0 THEN NULL WHEN horse % 3 = 1 AND (horse + 1) % 3 = 1 THEN stake * other_odds * odds
+      ELSE 0.0 END FROM legs
+  UNION ALL
+  SELECT user, 3, 'ACCUM', 2, CASE horse % 3 WHEN 1 THEN stake * other_odds * odds WHEN 2 THEN 0.0 END FROM legs)
+"""
+
+
+def users(spark, sf_dir):
+    """A user per line with three bets made of the line's own columns, as JSON and read back.
+
+    One single bet, and two of two legs that are listed against the order of their races.
+    """
+    place = session.scratch_path(spark, "users")
+    line = load(spark, sf_dir, "lineitem")
+    odds, other, stake = 1 + F.col("l_discount"), 1 + F.col("l_tax"), F.col("l_quantity")
+
+    def leg(race, horse, price, own_stake=None):
+        parts = [race.alias("race"), horse.alias("backing"), price.alias("odds")]
+        return F.struct(*parts, (own_stake if own_stake is not None else F.lit(None).cast("double")).alias("stake"))
+
+    def bet(number, kind, *bet_legs):
+        return F.struct(F.lit(number).alias("id"), stake.alias("stake"), F.lit(kind).alias("type"), F.array(*bet_legs).alias("legs"))
+
+    race, horse = F.col("l_suppkey"), F.col("l_partkey")
+    bets = F.array(
+        bet(1, "SINGLE", leg(race, horse, odds, stake)),
+        bet(2, "ACCUM", leg(race + 1, horse + 1, odds), leg(race, horse, other)),
+        bet(3, "ACCUM", leg(race + 1, horse, odds), leg(race, horse, other)))
+    user = F.struct((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), bets.alias("knownBets"))
+    output.write_lines(line.select(F.to_json(user).alias("value")), place)
+    return files.lines(spark, place).select(records.parse(F.col("value"), schemas.USER).alias("u")).select("u.*")
+
+
+@query("bet_nested_settle", f"WITH {NESTED_SQL} SELECT user, bet, type, legs, round(payout, 6) AS payout FROM bets")
+def bet_nested_settle(spark, sf_dir):
+    """Accumulators pass their stake on from race to race; one with a race not run is open."""
+    bets = users(spark, sf_dir).select(F.col("id").alias("user"), F.explode("knownBets").alias("b")).select("user", "b.*")
+    won = {1: True, 2: False}
+
+    def run(leg):
+        result = F.when(leg["backing"] % 3 == 1, F.lit(won[1])).when(leg["backing"] % 3 == 2, F.lit(won[2]))
+        return F.struct(leg["race"].alias("race_time"), leg["odds"].alias("odds"), result.alias("won"), leg["stake"].alias("stake"))
+
+    settled = betting.settle_nested(bets.withColumn("legs", F.transform("legs", run)))
+    return settled.select(
+        "user", F.col("id").cast("int").alias("bet"), "type", F.size("legs").alias("legs"), F.round("payout", 6).alias("payout"))
+
+
+@query("bet_nested_legs", """
+SELECT l_orderkey * 10 + l_linenumber AS user, 3 AS bets, 5 AS legs, round(l_quantity, 2) AS single_stake,
+  round((1 + l_discount) * l_quantity, 4) AS single_loss FROM lineitem""")
+def bet_nested_legs(spark, sf_dir):
+    """Every leg of every bet flat, and the loss of the single bets, per user."""
+    known = users(spark, sf_dir)
+    legs = betting.flatten_bets(known).groupBy("user").agg(
+        F.count_distinct("bet").cast("int").alias("bets"), F.count("*").cast("int").alias("legs"),
+        F.round(F.sum(F.when(F.col("type") == "SINGLE", F.col("stake"))), 2).alias("single_stake"),
+        F.round(F.sum(F.when(F.col("type") == "SINGLE", F.col("odds") * F.col("stake"))), 4).alias("single_loss"))
+    return legs
+
+
+@query("bet_nested_exposure", """
+SELECT l_suppkey AS race, l_partkey AS horse, round(sum((1 + l_discount) * l_quantity), 2) AS exposure
+FROM lineitem GROUP BY 1, 2""")
+def bet_nested_exposure(spark, sf_dir):
+    return betting.exposure(betting.single_bets(users(spark, sf_dir)))

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators import changes
 from millrace.plans import query
-from millrace.sources.tables import load, spread
+from millrace.sources.tables import load
 
 # Order status -> operation.
 OPERATIONS = {"F": "c", "O": "u", "P": "d"}
@@ -43,7 +43,7 @@ def envelopes(spark, sf_dir):
     )
     key = F.struct(F.struct(F.col("o_custkey").alias("id")).alias("payload"))
     orders = load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
-    return spread(orders, "o_orderkey").select(
+    return orders.select(
         F.to_json(key).alias("key"), F.to_json(F.struct(event.alias("payload"))).alias("value"),
         F.col("o_orderkey").alias("pos"))
 

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from millrace import session
+from millrace import schemas, session
 from millrace.functions.text import words
 from millrace.functions.times import epoch_ms
 from millrace.operators import betting
@@ -11,9 +11,10 @@ from millrace.sinks import keyed, output
 from millrace.sources import files, kafka
 from millrace.sources.tables import load, texts
 from millrace.streaming import run
+from millrace.streaming import windows as stream_windows
 
 
-@query("io_car_counts", f"WITH {traffic.COUNTS_SQL} SELECT location, t AS time_ms, n::INTEGER AS cars FROM counts")
+@query("io_car_counts", f"WITH {traffic.COUNTS_SQL} SELECT location, t AS time_ms, n::BIGINT AS cars FROM counts")
 def io_car_counts(spark, sf_dir):
     place = session.scratch_path(spark, "csv")
     line = F.concat_ws(",", F.date_format("time", "yyyy-MM-dd'T'HH:mm"), "location", F.col("count").cast("string"))
@@ -59,13 +60,13 @@ def io_race_events(spark, sf_dir):
 
 @query("io_word_index", r"""
 WITH words AS (SELECT unnest(string_split_regex(text, '\W+')) AS word FROM documents)
-SELECT word, CAST(count(*) + 3 AS INTEGER) AS code FROM words WHERE word <> '' GROUP BY 1""")
+SELECT word, count(*) + 3 AS code FROM words WHERE word <> '' GROUP BY 1""")
 def io_word_index(spark, sf_dir):
     """A JSON dictionary per line, each with one word, read back with its code moved up."""
     place = session.scratch_path(spark, "dictionary")
     counts = (
         texts(spark, sf_dir).select(F.explode(words(F.col("text"))).alias("word"))
-        .where(F.col("word") != "").groupBy("word").agg(F.count("*").cast("int").alias("n")))
+        .where(F.col("word") != "").groupBy("word").agg(F.count("*").alias("n")))
     output.write_lines(counts.select(F.to_json(F.create_map("word", "n")).alias("value")), place)
     return files.word_index(spark, place, whole_files=False)
 
@@ -82,4 +83,32 @@ def io_topic_records(spark, sf_dir):
     records = kafka.json_records(files.table_stream(spark, f"{place}/topic", "*.parquet"),
                                  "struct<id:bigint>", "struct<kind:string,price:double>")
     run.run_through(records, keyed.append_batch(f"{place}/out"), f"{place}/checkpoint")
-    return keyed.read_journal(spark, f"{place}/out").select(F.col("key.id").alias("key"), "value.kind", "value.price")
+    return keyed.read_batches(spark, f"{place}/out").select(F.col("key.id").alias("key"), "value.kind", "value.price")
+
+
+@query("io_posts", """
+SELECT text FROM documents
+WHERE """ + " OR ".join(
+    f"contains(lower(text), '{m.lower()}')" for markers in schemas.COIN_MARKERS.values() for m in markers))
+def io_posts(spark, sf_dir):
+    """Posts arrive as JSON lines in new files; those that mention a tracked topic are kept."""
+    place = session.scratch_path(spark, "posts")
+    posts = texts(spark, sf_dir)
+    for i in range(3):
+        lines = posts.where(F.col("doc_id") % 3 == i).select(F.to_json(F.struct("text")).alias("value"))
+        output.write_lines(lines, f"{place}/in", mode="append")
+        tracked = files.tracked_posts(files.line_stream(spark, f"{place}/in"))
+        run.run_through(tracked, keyed.append_batch(f"{place}/out"), f"{place}/checkpoint")
+    return keyed.read_batches(spark, f"{place}/out").select("text")
+
+
+@query("io_stamped", "SELECT event_id, true AS stamped FROM events")
+def io_stamped(spark, sf_dir):
+    """Events get the instant they come in: one for each batch."""
+    place = session.scratch_path(spark, "stamped")
+    load(spark, sf_dir, "events").select("event_id").write.parquet(f"{place}/in")
+    stream = stream_windows.stamped_now(files.table_stream(spark, f"{place}/in", "*.parquet"))
+    run.run_through(stream, keyed.append_batch(f"{place}/out"), f"{place}/checkpoint")
+    kept = keyed.read_batches(spark, f"{place}/out")
+    instants = kept.groupBy("batch").agg(F.min("ingested").alias("first"))
+    return kept.join(instants, "batch").select("event_id", (F.col("ingested") == F.col("first")).alias("stamped"))

@@ -39,16 +39,29 @@ def price_journal(spark, sf_dir):
     return prices.journal(changes(spark, sf_dir), ["event_id"])
 
 
-@query("price_changes", f"""
+CHANGES_SQL = f"""
 SELECT event_id, CASE WHEN row_number() OVER (PARTITION BY event_type ORDER BY event_id) = 1
     THEN 'ADDED' ELSE 'UPDATED' END || ' event, map ''precious'', key ''' || event_type
   || ''', new value ''' || {PRICE} || '''' AS line
-FROM events""")
+FROM events"""
+
+
+@query("price_changes", CHANGES_SQL)
 def price_changes(spark, sf_dir):
     return prices.change_notices(changes(spark, sf_dir), "precious", "metal", "price", "event_id").select(
         "event_id", "line")
 
 
+SMALL_JOURNAL = 500
+
+
+@query("price_journal_small", f"""
+SELECT event_id, event_type AS metal, {PRICE} AS price FROM events ORDER BY event_id DESC LIMIT {SMALL_JOURNAL}""")
+def price_journal_small(spark, sf_dir):
+    """A journal smaller than its table."""
+    return prices.journal(changes(spark, sf_dir), ["event_id"], SMALL_JOURNAL)
+
+
 @query("price_listing", f"""
 WITH latest AS (SELECT event_type AS metal, arg_max({PRICE}, event_id) AS price FROM events GROUP BY 1)
 SELECT 0 AS part, metal AS key, '    -> ''' || metal || ''' -> ' || price AS line FROM latest

@@ -4,10 +4,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F, types as T
 
-from millrace import schemas
-from millrace.functions.text import words
+from millrace import schemas, session
+from millrace.functions.text import tumour_type, words
 from millrace.operators import scoring
 from millrace.plans import query
+from millrace.sources import files
 from millrace.sources.tables import load, texts
 
 DICTIONARY = 10_000
@@ -32,7 +33,7 @@ encoded AS (SELECT doc_id, list_resize([1] || codes, 256, 0) AS codes FROM coded
 
 def encoded(spark, sf_dir):
     reviews = texts(spark, sf_dir)
-    return scoring.encode_reviews(reviews, "doc_id", "text", scoring.frequent_words(reviews, size=DICTIONARY))
+    return scoring.encode_reviews(reviews, "text", scoring.frequent_words(reviews, size=DICTIONARY)).drop("text")
 
 
 @query("review_encode", f"WITH {ENCODED_SQL} SELECT doc_id, array_to_string(codes, ',') AS codes FROM encoded")
@@ -80,19 +81,37 @@ distances AS (
 SELECT vec_id, label, arg_min(predicted, d) AS predicted, round(min(d), 6) AS distance
 FROM distances GROUP BY 1, 2""")
 def embedding_class(spark, sf_dir):
-    vectors = load(spark, sf_dir, "embeddings")
+    vectors = load(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.col("label").cast("long").alias("label"))
     centroids = scoring.class_centroids(vectors, "embedding", "label")
-    return scoring.nearest_class(vectors, "embedding", centroids).select(
-        "vec_id", "label", "predicted", F.round("distance", 6).alias("distance"))
+    nearest = scoring.nearest_class(vectors, "vec_id", "embedding", centroids)
+    return vectors.select("vec_id", F.col("label").cast("int").alias("label")).join(nearest, "vec_id").select(
+        "vec_id", "label", F.col("predicted").cast("int").alias("predicted"), F.round("distance", 6).alias("distance"))
+
+
+# A row is tested on if its id's hash says so, whatever the partitions.
+TEST_SQL = "('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::BIGINT % 5 = 0"
+
+
+def is_test():
+    return F.conv(F.substring(F.md5(F.col("doc_id").cast("string")), 1, 8), 16, 10).cast("long") % 5 == 0
 
 
 def labelled(spark, sf_dir):
     return texts(spark, sf_dir).join(load(spark, sf_dir, "labels"), "doc_id")
 
 
-@query("gbt_match")
+LABELLED_SQL = "labelled AS (SELECT doc_id, text, quality, toxic FROM documents JOIN labels USING (doc_id))"
+
+
+@query("gbt_match", f"""WITH {LABELLED_SQL}
+SELECT doc_id, CASE WHEN quality = 1 THEN 'BENIGN' ELSE 'MALIGNENT' END AS actual, true AS line_agrees, true AS chances_fit
+FROM labelled WHERE {TEST_SQL}""")
 def gbt_match(spark, sf_dir):
-    """Boosted trees on text measures; quality 1 plays the benign diagnosis."""
+    """Boosted trees on text measures; quality 1 plays the benign diagnosis.
+
+    Trained numbers differ between engines, so the columns say what must hold: the
+    rows, the actual type, and that line, prediction and chances agree.
+    """
     text = F.col("text")
     tokens = words(text)
     rows = labelled(spark, sf_dir).select(
@@ -102,19 +121,67 @@ def gbt_match(spark, sf_dir):
         F.size(F.array_distinct(tokens)).cast("double").alias("distinct_words"),
         F.size(F.split(text, "\n")).cast("double").alias("lines"),
         F.length(F.regexp_replace(text, r"\D", "")).cast("double").alias("digits"))
-    train, test = rows.randomSplit([0.8, 0.2], seed=42)
-    model = scoring.train_boosted_trees(train, ["chars", "words", "distinct_words", "lines", "digits"], "label")
+    measures = ["chars", "words", "distinct_words", "lines", "digits"]
+    model = scoring.train_boosted_trees(rows.where(~is_test()), measures, "label")
     letter = F.when(F.col("prediction") == 1.0, "B").otherwise("M")
-    return (
-        test.transform(scoring.score_binary, model).withColumn("predicted", letter)
-        .transform(scoring.match_diagnoses).select("doc_id", "matched", "line")
-    )
-
-
-@query("text_classifier")
+    matched = (
+        rows.where(is_test()).transform(scoring.score_binary, model).withColumn("predicted", letter)
+        .transform(scoring.match_diagnoses))
+    chances = F.col("probabilities")
+    verdict = F.when(F.col("diagnosis") == F.col("predicted"), "Match").otherwise("Miss")
+    return matched.select(
+        "doc_id", tumour_type(F.col("diagnosis")).alias("actual"),
+        (F.startswith("line", F.concat(verdict, F.lit(":"))) & (F.col("matched") == (verdict == "Match"))).alias("line_agrees"),
+        ((F.abs(chances[0] + chances[1] - 1) < 1e-9)
+         & ((chances[1] > chances[0]) == (F.col("prediction") == 1.0))).alias("chances_fit"))
+
+
+@query("text_classifier", f"""WITH {LABELLED_SQL}
+SELECT doc_id, toxic::DOUBLE AS label, true AS chance_fits FROM labelled WHERE {TEST_SQL}""")
 def text_classifier(spark, sf_dir):
     rows = labelled(spark, sf_dir).withColumn("label", F.col("toxic").cast("double"))
-    train, test = rows.randomSplit([0.8, 0.2], seed=42)
-    model = scoring.train_text_classifier(train, "text", "label")
-    return scoring.classify_texts(test, "text", model).select(
-        "doc_id", "label", "prediction", F.round(F.col("probabilities")[1], 6).alias("toxic_probability"))
+    model = scoring.train_text_classifier(rows.where(~is_test()), "text", "label")
+    scored = scoring.classify_texts(rows.where(is_test()), "text", model)
+    chance = F.col("probabilities")[1]
+    return scored.select(
+        "doc_id", "label",
+        (chance.between(0, 1) & ((chance > 0.5) == (F.col("prediction") == 1.0))).alias("chance_fits"))
+
+
+def _tumour_sql():
+    """The CSV's text of a measure and what is read back from it."""
+    return f"""WITH {LABELLED_SQL},
+scored AS (
+  SELECT doc_id, CASE WHEN quality = 1 THEN 'BENIGN' ELSE 'MALIGNENT' END AS actual,
+    least(length(text), 10000) / 10000.0::DOUBLE AS chance FROM labelled),
+verdicts AS (SELECT *, CASE WHEN chance >= 0.1 THEN 'BENIGN' ELSE 'MALIGNENT' END AS predicted FROM scored)
+SELECT doc_id, actual = predicted AS matched,
+  CASE WHEN actual = predicted THEN 'Match' ELSE 'Miss' END || ': Actual: ' || rpad(actual, 15, ' ')
+  || 'Prediction: ' || rpad(predicted, 20, ' ') || rpad(printf('%.4f', 1 - chance), 25, ' ')
+  || rpad(printf('%.4f', chance), 25, ' ') AS line
+FROM verdicts"""
+
+
+@query("tumour_match", _tumour_sql())
+def tumour_match(spark, sf_dir):
+    """A CSV of the tumour layout, read, scored by a service with a fixed rule, and matched line by line."""
+    place = session.scratch_path(spark, "tumours")
+    share = F.least(F.length("text"), F.lit(10_000)) / 10_000.0
+    cells = {"id": F.col("doc_id"), "diagnosis": F.when(F.col("quality") == 1, "B").otherwise("M")}
+    names = [f.name for f in schemas.TUMOUR.fields]
+    columns = [cells.get(n, share if i == 2 else F.lit(0.0)).alias(n) for i, n in enumerate(names)]
+    labelled(spark, sf_dir).select(*columns).write.option("header", True).option("quoteAll", True).csv(place)
+    rows = files.tumours(spark, place)
+    measure = names[2]
+
+    def rate(rule, batch: pd.DataFrame) -> pd.DataFrame:
+        chance = batch[measure]
+        return pd.DataFrame({
+            names[0]: batch[names[0]], "diagnosis": batch["diagnosis"], "predicted": chance.map(rule),
+            "probabilities": [[f"{1 - c:.4f}", f"{c:.4f}"] for c in chance]})
+
+    scored = scoring.map_with_service(
+        rows.select(names[0], "diagnosis", measure), "tumour_rule", lambda: (lambda c: "B" if c >= 0.1 else "M"), rate,
+        f"{names[0]} {rows.schema[names[0]].dataType.simpleString()}, diagnosis string, predicted string, probabilities array<string>")
+    return scored.transform(scoring.match_diagnoses).select(
+        F.col(names[0]).cast("long").alias("doc_id"), "matched", "line")

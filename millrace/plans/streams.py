@@ -12,29 +12,45 @@ from millrace.plans import prices as price_plans
 from millrace.plans import tracks, traffic
 from millrace.sinks import keyed, output
 from millrace.sources import files
-from millrace.sources.tables import with_utc_time
+from millrace.sources.tables import load
 from millrace.streaming import numbering, run
 from millrace.streaming import windows as stream_windows
 
 SLIDE = schemas.WINDOW_SLIDE_MS
+LATE_MS = 86_400_000
 
 
-def replay(spark, sf_dir, table):
-    return with_utc_time(files.table_stream(spark, sf_dir, f"{table}.parquet"))
+SLICES = 3
 
 
-def landed_counts(spark, sf_dir, place):
-    """Car counts as CSV files, as the traffic stream reads them."""
+def in_slices(spark, sf_dir, name, order, place, process, slices=SLICES):
+    """Land a table in ``slices`` parts by the ``order`` column, one write after another.
+
+    After each part ``process`` is called with the stream of what has landed; with one
+    checkpoint a call goes on where the last one ended, with the state it left.
+    """
+    table = load(spark, sf_dir, name)
+    low, high = table.agg(F.min(order), F.max(order)).first()
+    part = F.least(F.floor((F.col(order) - F.lit(low)) * slices / F.lit(max(1, high - low))), F.lit(slices - 1))
+    for i in range(slices):
+        table.where(part == i).write.mode("append").parquet(f"{place}/landed")
+        process(files.table_stream(spark, f"{place}/landed", "*.parquet"))
+
+
+def count_slices(spark, sf_dir, place, process):
+    """Car counts land as CSV files in order of time, as the traffic stream reads them."""
+    counts = traffic.counts(spark, sf_dir).checkpoint() if session.checkpoint_dir(spark) else None
+    low, high = counts.agg(F.min(epoch_ms(F.col("time"))), F.max(epoch_ms(F.col("time")))).first()
+    part = F.least(F.floor((epoch_ms(F.col("time")) - low) * SLICES / max(1, high - low)), F.lit(SLICES - 1))
     line = F.concat_ws(",", F.date_format("time", "yyyy-MM-dd'T'HH:mm"), "location", F.col("count").cast("string"))
-    output.write_lines(traffic.counts(spark, sf_dir).withColumn("value", line), f"{place}/counts")
-    return spark.readStream.schema(schemas.CAR_COUNT).csv(f"{place}/counts")
+    for i in range(SLICES):
+        output.write_lines(counts.where(part == i).withColumn("value", line), f"{place}/counts", mode="append")
+        process(spark.readStream.schema(schemas.CAR_COUNT).csv(f"{place}/counts"))
 
 
-def stored_trends(spark, sf_dir, place):
-    trends = stream_windows.trend_stream(landed_counts(spark, sf_dir, place))
+def store_trends(counts, place):
     keys = ["location", "window_end"]
-    run.run_through(trends, keyed.upsert(f"{place}/trends", keys, keys), f"{place}/trends-checkpoint")
-    return keyed.read_latest(spark, f"{place}/trends", keys, [])
+    run.run_through(stream_windows.trend_stream(counts), keyed.upsert(f"{place}/trends", keys, keys), f"{place}/trends-checkpoint")
 
 
 CLOSED_TRENDS = f"""{traffic.TRENDS_SQL},
@@ -45,7 +61,8 @@ closed AS (SELECT * FROM trends WHERE window_end <= (SELECT max(t) FROM counts)
 SELECT location, window_end AS window_end_ms, round(slope * 900000, 8) AS slope_per_step FROM closed""")
 def stream_traffic_trend(spark, sf_dir):
     place = session.scratch_path(spark, "traffic")
-    return stored_trends(spark, sf_dir, place).select(
+    count_slices(spark, sf_dir, place, lambda counts: store_trends(counts, place))
+    return keyed.read_latest(spark, f"{place}/trends", ["location", "window_end"], []).select(
         "location", epoch_ms(F.col("window_end")).alias("window_end_ms"),
         F.round(F.col("slope") * float(trend.STEP_MS), 8).alias("slope_per_step"))
 
@@ -56,9 +73,13 @@ WHERE window_end <= (SELECT max(epoch_us(ts)) // 1000 FROM events) - 300 * 60000
 def stream_traffic_chain(spark, sf_dir):
     """Counts and their trend in one query with two windows, straight from the events."""
     place = session.scratch_path(spark, "chain")
-    counts = stream_windows.count_stream(replay(spark, sf_dir, "events"), "event_type", "ts")
     keys = ["location", "window_end"]
-    run.run_through(trend.linear_trend(counts), keyed.upsert(f"{place}/trends", keys, keys), f"{place}/checkpoint")
+
+    def process(events):
+        counts = stream_windows.count_stream(events, "event_type", "ts")
+        run.run_through(trend.linear_trend(counts), keyed.upsert(f"{place}/trends", keys, keys), f"{place}/checkpoint")
+
+    in_slices(spark, sf_dir, "events", "event_id", place, process)
     return keyed.read_latest(spark, f"{place}/trends", keys, []).select(
         "location", epoch_ms(F.col("window_end")).alias("window_end_ms"),
         F.round(F.col("slope") * float(trend.STEP_MS), 8).alias("slope_per_step"))
@@ -76,11 +97,20 @@ predicted AS (
 SELECT 'Prediction{{location=''' || location || ''', time=' || strftime(make_timestamp(t * 1000), '%Y-%m-%dT%H:%M')
   || ' (' || t || '), predictedCounts=[' || counts || ']}}' AS line FROM predicted""")
 def stream_traffic_predict(spark, sf_dir):
+    """Trends and forecasts run together: each batch of counts meets the trends stored by then."""
     place = session.scratch_path(spark, "predict")
-    trends = stored_trends(spark, sf_dir, place)
-    counts = spark.readStream.schema(schemas.CAR_COUNT).csv(f"{place}/counts")
-    lines = trend.forecast_line(trend.forecast(counts, trends))
-    run.run_through(lines, output.line_files(f"{place}/lines", "value"), f"{place}/lines-checkpoint")
+    keys = ["location", "window_end"]
+    write = output.line_files(f"{place}/lines", "value")
+
+    def forecast(batch, batch_id):
+        trends = keyed.read_latest(spark, f"{place}/trends", keys, [])
+        write(trend.forecast_line(trend.forecast(batch, trends)), batch_id)
+
+    def process(counts):
+        store_trends(counts, place)
+        run.run_through(counts, forecast, f"{place}/lines-checkpoint")
+
+    count_slices(spark, sf_dir, place, process)
     return files.lines(spark, f"{place}/lines").select(F.col("value").alias("line"))
 
 
@@ -101,10 +131,14 @@ WITH panes AS (
 def stream_coin_latest(spark, sf_dir):
     """Closed panes are stored as they come; the windows are those ending with the last one."""
     place = session.scratch_path(spark, "coins")
-    scored = replay(spark, sf_dir, "events").select(F.col("event_type").alias("coin"), "ts", "value")
-    panes = stream_windows.pane_stream(scored, "coin", "ts", "value", SLIDE)
-    run.run_through(panes, keyed.append_batch(f"{place}/panes"), f"{place}/checkpoint")
-    stored = keyed.read_journal(spark, f"{place}/panes").drop("batch")
+
+    def process(events):
+        scored = events.select(F.col("event_type").alias("coin"), "ts", "value")
+        panes = stream_windows.pane_stream(scored, "coin", "ts", "value", SLIDE)
+        run.run_through(panes, keyed.append_batch(f"{place}/panes"), f"{place}/checkpoint")
+
+    in_slices(spark, sf_dir, "events", "event_id", place, process)
+    stored = keyed.read_batches(spark, f"{place}/panes").drop("batch")
     newest = stored.agg(F.max("pane")).first()[0]
     as_of = None if newest is None else (newest + 1) * SLIDE
     return windows.latest_windows(stored, "coin", schemas.WINDOW_SIZES, SLIDE, as_of).select(
@@ -112,60 +146,103 @@ def stream_coin_latest(spark, sf_dir):
         F.col("count").alias("mentions"))
 
 
-def price_stream(spark, sf_dir):
-    return replay(spark, sf_dir, "events").select(
-        "event_id", F.col("event_type").alias("metal"), F.format_string("%.2f", "value").alias("price"))
+def priced(events):
+    return events.select("event_id", F.col("event_type").alias("metal"), F.format_string("%.2f", "value").alias("price"))
 
 
 @query("stream_price_latest", price_plans.LATEST_SQL)
 def stream_price_latest(spark, sf_dir):
     place = session.scratch_path(spark, "prices")
     writer = keyed.upsert(f"{place}/latest", ["metal"], ["event_id"])
-    run.run_through(price_stream(spark, sf_dir), writer, f"{place}/checkpoint")
+    in_slices(spark, sf_dir, "events", "event_id", place,
+              lambda events: run.run_through(priced(events), writer, f"{place}/checkpoint"))
+    return keyed.read_latest(spark, f"{place}/latest", ["metal"], ["event_id"])
+
+
+@query("stream_price_compacted", price_plans.LATEST_SQL)
+def stream_price_compacted(spark, sf_dir):
+    """The table is compacted between batches, and the stream writes on."""
+    place = session.scratch_path(spark, "compacted")
+    writer = keyed.upsert(f"{place}/latest", ["metal"], ["event_id"])
+
+    def process(events):
+        run.run_through(priced(events), writer, f"{place}/checkpoint")
+        keyed.compact(spark, f"{place}/latest", ["metal"], ["event_id"])
+
+    in_slices(spark, sf_dir, "events", "event_id", place, process, slices=4)
     return keyed.read_latest(spark, f"{place}/latest", ["metal"], ["event_id"])
 
 
 @query("stream_price_history", price_plans.HISTORY_SQL)
 def stream_price_history(spark, sf_dir):
-    """One stream into the latest prices and the journal; a second stream reads the
+    """One stream into the journal and the latest prices; a second stream follows the
     journal from its oldest change and keeps the lines of interest."""
     place = session.scratch_path(spark, "history")
-    both = output.fan_out(keyed.upsert(f"{place}/latest", ["metal"], ["event_id"]),
-                          keyed.append_batch(f"{place}/journal"))
-    run.run_through(price_stream(spark, sf_dir), both, f"{place}/checkpoint")
+    both = output.fan_out(keyed.upsert(f"{place}/latest", ["metal"], ["event_id"]), keyed.append_batch(f"{place}/copy"))
+
+    def process(events):
+        keyed.write_journal(priced(events), f"{place}/journal", f"{place}/journal-checkpoint").awaitTermination()
+        run.run_through(priced(events), both, f"{place}/checkpoint")
+        followed = prices.history_lines(keyed.journal_stream(spark, f"{place}/journal"), "metal", "price")
+        run.run_through(followed.select("event_id", "line"), keyed.append_batch(f"{place}/lines"), f"{place}/lines-checkpoint")
+
+    in_slices(spark, sf_dir, "events", "event_id", place, process)
     kept = prices.journal(keyed.read_journal(spark, f"{place}/journal"), ["event_id"]).select("event_id")
-    followed = prices.history_lines(keyed.journal_stream(spark, f"{place}/journal"), "metal", "price")
-    run.run_through(followed.select("event_id", "line"), keyed.append_batch(f"{place}/lines"), f"{place}/lines-checkpoint")
-    lines = keyed.read_journal(spark, f"{place}/lines").drop("batch")
+    lines = keyed.read_batches(spark, f"{place}/lines").drop("batch")
     return lines.join(kept, "event_id", "left_semi")  # the journal holds its newest changes only
 
 
+@query("stream_price_changes", price_plans.CHANGES_SQL)
+def stream_price_changes(spark, sf_dir):
+    """Notices of each batch, told apart by the keys stored before it."""
+    place = session.scratch_path(spark, "notices")
+    store = keyed.upsert(f"{place}/latest", ["metal"], ["event_id"])
+    write = keyed.append_batch(f"{place}/lines")
+
+    def notify(batch, batch_id):
+        batch.persist()
+        known = keyed.read_before(spark, f"{place}/latest", batch_id)
+        write(prices.change_notices(batch, "precious", "metal", "price", "event_id", known).select("event_id", "line"), batch_id)
+        store(batch, batch_id)
+        batch.unpersist()
+
+    in_slices(spark, sf_dir, "events", "event_id", place,
+              lambda events: run.run_through(priced(events), notify, f"{place}/checkpoint"))
+    return keyed.read_batches(spark, f"{place}/lines").drop("batch")
+
+
 @query("stream_cdc_current", change_plans.CURRENT_SQL)
 def stream_cdc_current(spark, sf_dir):
     """Envelopes land as key/value files; each batch keeps the last change per key."""
     place = session.scratch_path(spark, "changes")
-    change_plans.envelopes(spark, sf_dir).write.parquet(f"{place}/topic")
-    parsed = changes.parse_changes(files.table_stream(spark, f"{place}/topic", "*.parquet"), change_plans.ROW)
-    run.run_through(parsed, keyed.upsert(f"{place}/log", ["key"], changes.ORDER), f"{place}/checkpoint")
+    envelopes = change_plans.envelopes(spark, sf_dir)
+    for i in range(SLICES):
+        envelopes.where(F.col("pos") % SLICES == i).write.mode("append").parquet(f"{place}/topic")
+        parsed = changes.parse_changes(files.table_stream(spark, f"{place}/topic", "*.parquet"), change_plans.ROW)
+        run.run_through(parsed, keyed.upsert(f"{place}/log", ["key"], changes.ORDER), f"{place}/checkpoint")
     latest = keyed.read_latest(spark, f"{place}/log", ["key"], changes.ORDER)
     return changes.current_rows(latest).drop("key")
 
 
-@query("stream_gps_lines", f"WITH {tracks.LINES_SQL} SELECT line FROM lines")
+@query("stream_gps_lines", f"""WITH {tracks.LINES_SQL}
+SELECT strftime(make_timestamp(t // 1000 * 1000000), '%Y-%m-%d %H:%M:%S') AS "window", line FROM lines""")
 def stream_gps_lines(spark, sf_dir):
     place = session.scratch_path(spark, "track")
-    track = replay(spark, sf_dir, "events").select(
-        "event_id", F.col("user_id").cast("string").alias("lat"), F.format_string("%.2f", "value").alias("lon"),
-        F.floor((epoch_ms(F.col("ts")) - tracks.START_MS) / 1000).alias("offset"))
 
     def write(batch, batch_id):
         lines = gps.point_json(gps.replay(batch, tracks.START_MS))
-        start = F.window(F.timestamp_millis("replay_ms"), "1 day")["start"]
-        output.windowed_line_files(f"{place}/lines", "line", start, shards=8)(lines, batch_id)
+        start = F.window(F.timestamp_millis("replay_ms"), "1 second")["start"]
+        output.windowed_line_files(f"{place}/lines", "line", start)(lines, batch_id)
 
-    run.run_through(track, numbering.numbered(write, f"{place}/counts", ["event_id"], "input_point"),
-                    f"{place}/checkpoint")
-    return spark.read.text(f"{place}/lines").select(F.col("value").alias("line"))
+    def process(events):
+        track = events.select(
+            "event_id", F.col("user_id").cast("string").alias("lat"), F.format_string("%.2f", "value").alias("lon"),
+            F.floor((epoch_ms(F.col("ts")) - tracks.START_MS) / 1000).alias("offset"))
+        run.run_through(track, numbering.numbered(write, f"{place}/counts", ["event_id"], "input_point"), f"{place}/checkpoint")
+
+    in_slices(spark, sf_dir, "events", "event_id", place, process)
+    return spark.read.option("recursiveFileLookup", False).text(f"{place}/lines").select(
+        F.col("window").cast("string").alias("window"), F.col("value").alias("line"))
 
 
 CLOSED = "epoch_us(ts) // {us} * {us} + {us} <= (SELECT max(epoch_us(ts)) - 1000000 FROM events) // 1000 * 1000"
@@ -176,11 +253,15 @@ SELECT user_id, min(event_id) AS event_id, arg_min(value, event_id) AS value
 FROM events WHERE {CLOSED.format(us=500000)} GROUP BY user_id, epoch_us(ts) // 500000""")
 def stream_downsample(spark, sf_dir):
     place = session.scratch_path(spark, "slots")
-    events = replay(spark, sf_dir, "events").select("user_id", "event_id", "ts", "value")
-    slots = stream_windows.downsample_stream(
-        events, ["user_id"], "ts", "500 milliseconds", ["event_id"], stream_windows.POST_LAG)
-    run.run_through(slots, keyed.append_batch(f"{place}/out"), f"{place}/checkpoint")
-    return keyed.read_journal(spark, f"{place}/out").drop("batch", "ts")
+
+    def process(events):
+        slots = stream_windows.downsample_stream(
+            events.select("user_id", "event_id", "ts", "value"), ["user_id"], "ts", "500 milliseconds", ["event_id"],
+            stream_windows.POST_LAG)
+        run.run_through(slots, keyed.append_batch(f"{place}/out"), f"{place}/checkpoint")
+
+    in_slices(spark, sf_dir, "events", "event_id", place, process)
+    return keyed.read_batches(spark, f"{place}/out").drop("batch", "ts")
 
 
 @query("stream_tumbling_best", f"""
@@ -189,12 +270,15 @@ SELECT (epoch_us(ts) // 1000000 + 1) * 1000 AS window_end_ms,
 FROM events WHERE {CLOSED.format(us=1000000)} GROUP BY 1""")
 def stream_tumbling_best(spark, sf_dir):
     place = session.scratch_path(spark, "best")
-    frames = replay(spark, sf_dir, "events").select(
-        "ts", "event_id", F.col("value").alias("score"), (-F.col("event_id")).alias("tie"))
-    best = stream_windows.best_stream(
-        frames, "ts", "1 second", "score", ["tie"], ["event_id", "score"], stream_windows.POST_LAG)
-    run.run_through(best, keyed.append_batch(f"{place}/out"), f"{place}/checkpoint")
-    return keyed.read_journal(spark, f"{place}/out").select(
+
+    def process(events):
+        frames = events.select("ts", "event_id", F.col("value").alias("score"), (-F.col("event_id")).alias("tie"))
+        best = stream_windows.best_stream(
+            frames, "ts", "1 second", "score", ["tie"], ["event_id", "score"], stream_windows.POST_LAG)
+        run.run_through(best, keyed.append_batch(f"{place}/out"), f"{place}/checkpoint")
+
+    in_slices(spark, sf_dir, "events", "event_id", place, process)
+    return keyed.read_batches(spark, f"{place}/out").select(
         epoch_ms(F.col("window_end")).alias("window_end_ms"), "event_id", "score")
 
 
@@ -202,7 +286,32 @@ def stream_tumbling_best(spark, sf_dir):
 SELECT event_id, epoch_us(ts) // 1000000 * 1000 AS window_start_ms FROM events""")
 def stream_fixed_windows(spark, sf_dir):
     place = session.scratch_path(spark, "fixed")
-    rows = stream_windows.in_time_rows(replay(spark, sf_dir, "events").select("event_id", "ts"), "event_id", "ts")
-    run.run_through(rows, keyed.append_batch(f"{place}/out"), f"{place}/checkpoint")
-    return keyed.read_journal(spark, f"{place}/out").select(
+
+    def process(events):
+        rows = stream_windows.in_time_rows(events.select("event_id", "ts"), "event_id", "ts")
+        run.run_through(rows, keyed.append_batch(f"{place}/out"), f"{place}/checkpoint")
+
+    in_slices(spark, sf_dir, "events", "event_id", place, process)
+    return keyed.read_batches(spark, f"{place}/out").select(
+        "event_id", epoch_ms(F.col("window.start")).alias("window_start_ms"))
+
+
+@query("stream_late_rows", f"""
+WITH parts AS (SELECT event_id, ts, event_id % {SLICES} AS part FROM events),
+seen AS (SELECT part, max(ts) AS latest FROM parts GROUP BY part),
+marks AS (
+  SELECT part, max(latest) OVER (ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS latest FROM seen)
+SELECT event_id, epoch_us(ts) // 1000000 * 1000 AS window_start_ms FROM parts JOIN marks USING (part)
+WHERE latest IS NULL OR epoch_us(ts) > (epoch_us(latest) // 1000 - {LATE_MS}) * 1000""")
+def stream_late_rows(spark, sf_dir):
+    """Every third event lands together, so the later parts are mostly late: they are
+    dropped, by the time reached when the parts before them had been read."""
+    place = session.scratch_path(spark, "late")
+    events = load(spark, sf_dir, "events")
+    for i in range(SLICES):
+        events.where(F.col("event_id") % SLICES == i).write.mode("append").parquet(f"{place}/landed")
+        stream = files.table_stream(spark, f"{place}/landed", "*.parquet").select("event_id", "ts")
+        rows = stream_windows.in_time_rows(stream, "event_id", "ts", lateness=f"{LATE_MS} milliseconds")
+        run.run_through(rows, keyed.append_batch(f"{place}/out"), f"{place}/checkpoint")
+    return keyed.read_batches(spark, f"{place}/out").select(
         "event_id", epoch_ms(F.col("window.start")).alias("window_start_ms"))

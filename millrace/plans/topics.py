@@ -1,5 +1,7 @@
 """Topic tags over ``documents`` and window statistics over ``events``."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from millrace import schemas
@@ -67,12 +69,9 @@ SELECT coin, window_end // 86400000 AS day, count(*) AS windows, sum(n)::BIGINT
 FROM wins GROUP BY 1, 2""")
 def coin_sliding_5m(spark, sf_dir):
     segments = windows.sliding_segments(scored_events(spark, sf_dir), "coin", "ms", "value", 300_000, SLIDE)
-    return (
-        windows.unfold_segments(segments, SLIDE)
-        .groupBy("coin", F.floor(F.col("window_end") / 86_400_000).alias("day"))
-        .agg(F.count("*").alias("windows"), F.sum("count").alias("mentions"),
-             F.max("count").alias("most_mentions"), F.round(F.avg("avg"), 7).alias("mean_score"))
-    )
+    return windows.windows_per_day(segments, "coin", SLIDE).select(
+        "coin", "day", "windows", F.col("total").alias("mentions"), F.col("most").alias("most_mentions"),
+        F.round("mean", 7).alias("mean_score"))
 
 
 def latest_stats(spark, sf_dir):
@@ -131,6 +130,26 @@ def sentiment_rollup(spark, sf_dir):
     return document_scores(texts(spark, sf_dir), ["doc_id"])
 
 
+@query("sentiment_service", ROLLUP_SQL)
+def sentiment_service(spark, sf_dir):
+    """The same roll-up with a scorer that is loaded once per worker."""
+    positive, negative = set(POSITIVE), set(NEGATIVE)
+
+    def load_scorer():
+        def score(sentence):
+            tokens = re.split(r"\W+", sentence, flags=re.ASCII)
+            balance = sum(t in positive for t in tokens) - sum(t in negative for t in tokens)
+            found = min(max(balance + 2, 0), 4)
+            weights = [1 / (1 + abs(c - found)) for c in range(5)]
+            return found, [w / sum(weights) for w in weights]
+
+        return score
+
+    sentences = sentiment.service_sentences(texts(spark, sf_dir), ["doc_id"], "text", "lexicon", load_scorer)
+    scores = topics.finite_scores(sentiment.sentiment_rollup(sentences, ["doc_id"]))
+    return scores.select("doc_id", F.round("score", 9).alias("score"))
+
+
 @query("topic_sentiment", f"""
 WITH scores AS ({ROLLUP_SQL}),
 tagged AS (

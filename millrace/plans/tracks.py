@@ -26,7 +26,7 @@ def points(spark, sf_dir):
 
 LINES_SQL = f"""{POINTS_SQL},
 numbered AS (SELECT *, row_number() OVER (ORDER BY event_id) AS n, {START_MS} + off * 250 AS t FROM points),
-lines AS (SELECT event_id, '{{ "input-point": "' || n || '", "latitude": "' || lat || '", "longitude": "' || lon
+lines AS (SELECT event_id, t, '{{ "input-point": "' || n || '", "latitude": "' || lat || '", "longitude": "' || lon
   || '", "timestamp": "' || t || '", "timeprint": "' || strftime(make_timestamp(t * 1000), '%H:%M:%S') || '" }}' AS line
   FROM numbered)"""
 

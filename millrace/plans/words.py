@@ -6,6 +6,7 @@ from millrace.operators import wordchain
 from millrace.plans import query
 from millrace.sources.tables import load, texts
 
+# The pattern of a pair, within a line. Fixed value.
 PAIRS_SQL = r"""
 lines AS (SELECT unnest(string_split(text, chr(10))) AS line FROM documents),
 hits AS (

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
+# Record layouts with their field names. Fixed values.
 CAR_COUNT = T.StructType([
     T.StructField("time", T.TimestampType()),
     T.StructField("location", T.StringType()),
-    T.StructField("count", T.IntegerType()),
+    T.StructField("count", T.LongType()),
 ])
 
 _DATE = "struct<year:int,monthValue:int,dayOfMonth:int>"
@@ -56,6 +57,7 @@ WINDOW_SLIDE_MS = 200
 # Diagnosis text -> tumour type. Fixed values.
 TUMOUR_TYPES = {"B": "BENIGN", "M": "MALIGNENT"}
 
+# Measures of a tumour row; each comes as mean, error and worst. Fixed values.
 _MEASURES = ["radius", "texture", "perimeter", "area", "smoothness", "compactness",
              "concavity", "concave_points", "symmetry", "fractal_dimension"]
 TUMOUR_FEATURES = [f"{m}_{s}" for s in ("mean", "se", "worst") for m in _MEASURES]

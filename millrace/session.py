@@ -7,15 +7,16 @@ import uuid
 
 from pyspark.sql import SparkSession
 
-# Runtime settings: event time is UTC, hot join keys are split at run time, and
-# a per-group limit is applied before the shuffle up to journal size.
+# Runtime settings: event time is UTC, hot join keys are split at run time, state is
+# kept outside the heap, and checkpoints are compressed.
 RUNTIME_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
-    "spark.sql.optimizer.windowGroupLimitThreshold": "10000",
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
 
@@ -25,16 +26,20 @@ def build(app: str = "millrace", master: str | None = None, **conf: str) -> Spar
     if master:
         builder = builder.master(master)
     # Checkpoint files go when nothing refers to them any more.
-    start_conf = {"spark.cleaner.referenceTracking.cleanCheckpoints": "true"}
+    start_conf = {"spark.cleaner.referenceTracking.cleanCheckpoints": "true", "spark.checkpoint.compress": "true"}
     for key, value in {**RUNTIME_CONF, **start_conf, **conf}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 
 
 def tune(spark: SparkSession) -> SparkSession:
-    """Apply the runtime settings to a session someone else built."""
+    """Apply the runtime settings to a session someone else built.
+
+    What its owner has set stays, but for the time zone, which the results depend on.
+    """
     for key, value in RUNTIME_CONF.items():
-        if spark.conf.get(key, None) != value:
+        now = spark.conf.get(key, None)
+        if now is None or (key == "spark.sql.session.timeZone" and now != value):
             spark.conf.set(key, value)
     return spark
 

@@ -1,11 +1,24 @@
-"""Keyed table on plain files: each batch adds its last row per key, readers take
-the last row over all batches. A repeated batch replaces its own folder."""
+"""Keyed table and journal on plain files.
+
+A keyed table keeps, in its folder,
+
+* ``batches/batch=N``: the last row per key of batch N; a repeated batch replaces
+  its own folder;
+* ``bases/upto=N``: the whole table after batch N, made by ``compact``;
+* ``pointer``: one row per finished base.
+
+Readers take the newest finished base and the batches after it. A base is named in
+the pointer only once it is written, and batches keep their numbers and their place,
+so a stream writes on while the table is compacted.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from millrace.operators.prices import latest_by_key
 
@@ -13,7 +26,7 @@ BatchWriter = Callable[[DataFrame, int], None]
 
 
 def append_batch(path: str) -> BatchWriter:
-    """Keep all rows of every batch: a change journal."""
+    """Keep all rows of every batch. For tables read whole; followers need ``write_journal``."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
@@ -21,9 +34,31 @@ def append_batch(path: str) -> BatchWriter:
     return write
 
 
+def read_batches(spark: SparkSession, path: str) -> DataFrame:
+    """All batches of ``append_batch``, with their ``batch`` number."""
+    return spark.read.parquet(path)
+
+
+def write_journal(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Keep all changes of a stream, each once: the file sink logs the files of a batch,
+    and a repeated batch adds none."""
+    return (stream.writeStream.format("parquet").option("path", path)
+            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+
+
+def read_journal(spark: SparkSession, path: str) -> DataFrame:
+    """All changes of a journal."""
+    return spark.read.parquet(path)
+
+
+def journal_stream(spark: SparkSession, path: str) -> DataFrame:
+    """The changes of a journal from the oldest, as a stream; only logged files are read."""
+    return spark.readStream.schema(read_journal(spark, path).schema).parquet(path)
+
+
 def upsert(path: str, keys: list[str], order: list[str]) -> BatchWriter:
     """Keep the last row per key; only that row per key and batch is stored."""
-    write_rows = append_batch(path)
+    write_rows = append_batch(f"{path}/batches")
 
     def write(batch: DataFrame, batch_id: int) -> None:
         write_rows(latest_by_key(batch, keys, order), batch_id)
@@ -31,21 +66,42 @@ def upsert(path: str, keys: list[str], order: list[str]) -> BatchWriter:
     return write
 
 
-def read_journal(spark: SparkSession, path: str) -> DataFrame:
-    """All batches of a table, with their ``batch`` number."""
-    return spark.read.parquet(path)
+def _base(spark: SparkSession, path: str) -> int | None:
+    """The batch up to which the newest finished base goes."""
+    try:
+        return spark.read.parquet(f"{path}/pointer").agg(F.max("upto")).first()[0]
+    except AnalysisException:  # never compacted
+        return None
 
 
-def journal_stream(spark: SparkSession, path: str) -> DataFrame:
-    """The batches of a table from the oldest, as a stream."""
-    return spark.readStream.schema(read_journal(spark, path).schema).parquet(path)
+def _stored(spark: SparkSession, path: str) -> DataFrame:
+    batches = spark.read.parquet(f"{path}/batches")
+    upto = _base(spark, path)
+    if upto is None:
+        return batches
+    base = spark.read.parquet(f"{path}/bases/upto={upto}").withColumn("batch", F.lit(upto).cast(batches.schema["batch"].dataType))
+    return batches.where(F.col("batch") > upto).unionByName(base)
 
 
 def read_latest(spark: SparkSession, path: str, keys: list[str], order: list[str]) -> DataFrame:
     """The table as of now; on equal order the later batch wins."""
-    return latest_by_key(read_journal(spark, path), keys, [*order, "batch"]).drop("batch")
-
-
-def compact(spark: SparkSession, path: str, target: str, keys: list[str], order: list[str]) -> None:
-    """Write the table as one batch to a new place, for readers to move to."""
-    read_latest(spark, path, keys, order).write.mode("overwrite").parquet(f"{target}/batch=0")
+    return latest_by_key(_stored(spark, path), keys, [*order, "batch"]).drop("batch")
+
+
+def read_before(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
+    """The rows stored by the batches before ``batch_id``; None if there are none."""
+    try:
+        return _stored(spark, path).where(F.col("batch") < batch_id)
+    except AnalysisException:  # nothing written yet
+        return None
+
+
+def compact(spark: SparkSession, path: str, keys: list[str], order: list[str]) -> None:
+    """Fold all batches so far into a new base. Run by one process at a time."""
+    upto = _stored(spark, path).agg(F.max("batch")).first()[0]
+    if upto is None or upto == _base(spark, path):
+        return
+    stored = _stored(spark, path).where(F.col("batch") <= upto)
+    latest = latest_by_key(stored, keys, [*order, "batch"]).drop("batch")
+    latest.write.mode("overwrite").parquet(f"{path}/bases/upto={upto}")
+    spark.range(1).select(F.lit(upto).cast("long").alias("upto")).write.mode("append").parquet(f"{path}/pointer")

@@ -26,13 +26,14 @@ def line_files(path: str, line: str = "line", shards: int | None = None) -> Batc
     return write
 
 
-def windowed_line_files(path: str, line: str, window_start: Column, shards: int = 1) -> BatchWriter:
-    """Text files per batch and window; a window's rows go to ``shards`` files."""
+def windowed_line_files(path: str, line: str, window_start: Column) -> BatchWriter:
+    """Text files per batch and window. Rows of a window are put together, and spread
+    again over as many tasks as their size asks for."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        shard = F.pmod(F.xxhash64(line), F.lit(shards))
         rows = batch.select(F.col(line).alias("value"), window_start.cast("string").alias("window"))
-        (rows.repartition("window", shard).write.mode("overwrite")
+        # A rebalancing shuffle splits a partition by its measured bytes.
+        (rows.hint("rebalance", "window").write.mode("overwrite")
          .partitionBy("window").text(f"{path}/batch={batch_id}"))
 
     return write

@@ -17,13 +17,14 @@ def lines(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
 
 
 def car_counts(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
-    """CSV lines ``time,location,count`` without a header."""
-    return spark.read.schema(schemas.CAR_COUNT).option("pathGlobFilter", glob).csv(folder)
+    """CSV lines ``time,location,count`` without a header; a malformed line fails the job."""
+    return (spark.read.schema(schemas.CAR_COUNT).option("mode", "FAILFAST").option("pathGlobFilter", glob)
+            .csv(folder))
 
 
 def tumours(spark: SparkSession, path: str) -> DataFrame:
-    """CSV with a header, 32 columns by position, the label quoted."""
-    rows = spark.read.option("header", True).schema(schemas.TUMOUR).csv(path)
+    """CSV with a header, 32 columns by position, the label quoted; a malformed line fails the job."""
+    rows = spark.read.option("header", True).option("mode", "FAILFAST").schema(schemas.TUMOUR).csv(path)
     return rows.withColumn("diagnosis", unquoted(F.col("diagnosis")))
 
 
@@ -45,7 +46,7 @@ def word_index(spark: SparkSession, path: str, whole_files: bool = True) -> Data
     """Dictionary rows (word, code) from JSON maps, one per file or one per line;
     codes move up past the reserved ones."""
     raw = spark.read.text(path, wholetext=whole_files)
-    entries = F.explode(F.from_json("value", "map<string,int>")).alias("word", "code")
+    entries = F.explode(F.from_json("value", "map<string,bigint>")).alias("word", "code")
     return raw.select(entries).select("word", (F.col("code") + schemas.RESERVED_CODES).alias("code"))
 
 
@@ -55,19 +56,19 @@ def images(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
 
 
 def sample_reviews(spark: SparkSession) -> DataFrame:
-    """The five sample reviews, keys 0 to 4. Fixed values."""
+    """Five short reviews to try a model on, keys 0 to 4."""
     texts = [
-        "the movie was good",
-        "the movie was bad",
-        "excellent movie best piece ever",
-        "absolute disaster, worst movie ever",
-        "had both good and bad parts, excellent casting, but camera was poor",
+        "a fine evening, well played",
+        "we left before the end",
+        "simply the best songs of the year",
+        "dull, loud and far too long",
+        "strong first half, weak second, lovely pictures all the same",
     ]
     return spark.createDataFrame(list(enumerate(texts)), "key long, text string")
 
 
 def line_stream(spark: SparkSession, folder: str, glob: str = "*", files_per_batch: int | None = None) -> DataFrame:
-    """Lines of files as they are added. Land files whole; see ``tail`` for growing ones."""
+    """Lines of files as they are added. Land files whole."""
     reader = spark.readStream.option("pathGlobFilter", glob)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)

@@ -12,19 +12,9 @@ def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return with_utc_time(table)
 
 
-def spread(table: DataFrame, key: str) -> DataFrame:
-    """Share rows out by ``key`` where the scan has fewer tasks than there are cores.
-
-    Meant for columns that cost much more to process than to move, such as long
-    texts in one row group. A scan with enough tasks is left as it is.
-    """
-    cores = table.sparkSession.sparkContext.defaultParallelism
-    return table.repartition(cores, key) if table.rdd.getNumPartitions() < cores else table
-
-
 def texts(spark: SparkSession, folder: str) -> DataFrame:
     """(doc_id, text) of the documents."""
-    return spread(load(spark, folder, "documents").select("doc_id", "text"), "doc_id")
+    return load(spark, folder, "documents").select("doc_id", "text")
 
 
 def with_utc_time(table: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ def count_stream(events: DataFrame, location: str, time: str, width: str = "15 m
     return (
         events.withWatermark(time, lag)
         .groupBy(F.col(location).alias("location"), F.window(time, width))
-        .agg(F.count("*").cast("int").alias("count"))
+        .agg(F.count("*").alias("count"))
         .select("location", F.window_time("window").alias("time"), "count")
     )
 

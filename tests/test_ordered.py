@@ -60,9 +60,16 @@ def test_moving_average_across_chunks(frame, rows, chunk_rows):
     assert {r.id: pytest.approx(r.moving_avg) for r in found} == expected
 
 
-@pytest.mark.parametrize("chunk_rows", [1, 13, 10_000])
-def test_running_total_across_chunks(frame, rows, chunk_rows):
-    found = ordered.running_total(frame, ["key"], ["id"], "value", chunk_rows).collect()
+@pytest.mark.parametrize("parts", [1, 4, 90])
+def test_running_total_across_partitions(spark, frame, rows, parts):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        found = ordered.running_total(frame, ["key"], ["id"], "value").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
     expected = {}
     for group in by_key(rows).values():
         upto = 0
@@ -72,31 +79,35 @@ def test_running_total_across_chunks(frame, rows, chunk_rows):
     assert {r.id: (r.running, r.total, r.members) for r in found} == expected
 
 
-def test_newest_is_exact(frame, rows):
-    kept = ordered.newest(frame, ["id"], 50).collect()
-    assert [r.id for r in kept] == sorted((r[1] for r in rows), reverse=True)[:50]
-
-
-@pytest.mark.parametrize("list_rows", [10, 100_000])
-def test_group_lists_keep_every_item(frame, rows, list_rows):
-    known = frame.where("key IS NOT NULL")
-    lists = lookup.group_lists(known, "key", "id", "ids", list_rows).collect()
-    expected = {key: [i for i, _ in group] for key, group in by_key(rows).items() if key}
-    merged = {}
-    for row in lists:
-        assert row["size"] == len(expected[row.key])
-        assert row.page == 0 or row["size"] > list_rows
-        merged.setdefault(row.key, []).extend(row.ids)
-    assert {key: sorted(ids) for key, ids in merged.items()} == expected
-    if list_rows == 10:
-        assert max(len(r.ids) for r in lists) < 100
-
-
-@pytest.mark.parametrize("broadcast_rows", [1, 1000])
-def test_lookup_is_the_same_with_and_without_broadcast(frame, broadcast_rows):
-    names = frame.where("key IS NOT NULL").groupBy("key").agg(F.min("id").alias("first"))
-    joined = lookup.lookup(frame, names, ["key"], "left", broadcast_rows)
-    assert joined.count() == frame.count()
-    assert joined.where("first IS NULL").count() == 20
-    plan = joined._jdf.queryExecution().executedPlan().toString()
-    assert ("BroadcastHashJoin" in plan) == (broadcast_rows == 1000)
+@pytest.mark.parametrize("capacity", [1, 50, 719, 720, 10_001])
+@pytest.mark.parametrize("order", [["id"], ["value", "id"]])
+def test_newest_is_exact(frame, rows, capacity, order):
+    kept = ordered.newest(frame, order, capacity).collect()
+    latest = sorted(rows, key=(lambda r: r[1]) if order == ["id"] else (lambda r: (r[2], r[1])), reverse=True)
+    assert {r.id for r in kept} == {r[1] for r in latest[:capacity]} and len(kept) == min(capacity, len(rows))
+
+
+def test_newest_with_few_extremes(spark):
+    values = [0.0] * 300 + [1e12, -1e12, 1e-9, float("inf")][:3] + [None] * 5
+    frame = spark.createDataFrame(list(enumerate(values)), "id long, v double")
+    for capacity in (1, 2, 3, 250, 303, 306):
+        kept = ordered.newest(frame, ["v", "id"], capacity).collect()
+        known = sorted(((v is not None, v if v is not None else 0.0, i) for i, v in enumerate(values)), reverse=True)
+        assert {r.id for r in kept} == {i for _, _, i in known[:capacity]}
+
+
+@pytest.mark.parametrize("page_rows", [10, 100_000])
+def test_lists_come_in_ordered_pages(spark, frame, rows, page_rows):
+    lists = lookup.group_lists(frame, "key", "id", "ids", page_rows).collect()
+    expected = {key: [i for i, _ in group] for key, group in by_key(rows).items()}
+    for key, ids in expected.items():
+        pages = sorted((r for r in lists if r.key == key), key=lambda r: r.page)
+        assert [r.page for r in pages] == list(range(len(pages)))
+        assert [len(r.ids) for r in pages[:-1]] == [page_rows] * (len(pages) - 1) and len(pages[-1].ids) <= page_rows
+        assert [i for r in pages for i in r.ids] == ids and {r["size"] for r in pages} == {len(ids)}
+
+
+def test_equal_items_fill_pages_too(spark):
+    frame = spark.createDataFrame([("k", 7)] * 25, "key string, item long")
+    pages = lookup.group_lists(frame, "key", "item", "items", 10).orderBy("page").collect()
+    assert [len(r["items"]) for r in pages] == [10, 10, 5]

@@ -36,8 +36,10 @@ def test_no_cross_join_and_no_python_in_the_hot_path(spark, name):
         assert operator not in shown
 
 
-def test_journal_is_cut_before_the_shuffle(spark):
-    assert "row_number(), 10000, Partial" in plan(spark, "price_journal")
+@pytest.mark.parametrize("name", ["price_journal", "price_journal_small", "horse_resolve", "winners_pages"])
+def test_no_limit_gathers_rows_in_one_task(spark, name):
+    shown = plan(spark, name)
+    assert "GlobalLimit" not in shown and "TakeOrdered" not in shown
 
 
 def test_bets_aggregate_before_the_shuffle(spark):

@@ -9,11 +9,17 @@ from millrace import schemas
 from millrace.functions import numbers, records, text, times
 from millrace.operators import (betting, changes, gps, prices, scoring, sentiment, topics, trend, wordchain)
 
-ASCOT = (
-    '{"id":1,"name":"ASCOT 2001-06-20","date":{"year":2001,"monthValue":6,"dayOfMonth":20},"races":[{"id":1,'
-    '"hasRun":true,"currentVersion":{"odds":{"1":6.0,"2":3.0},"raceTime":{"year":2001,"monthValue":6,"dayOfMonth":20,'
-    '"hour":14,"minute":45,"second":0},"version":0,"runners":[{"name":"Red Kite","id":1},{"name":"Blue Kite","id":2}]},'
-    '"winner":{"name":"Red Kite","id":1}}]}')
+MEETING = """
+{"id": 31, "name": "HARBOUR 2019-03-02", "date": {"year": 2019, "monthValue": 3, "dayOfMonth": 2}, "races": [
+  {"id": 4, "hasRun": true, "winner": {"name": "Slow Tide", "id": 12},
+   "currentVersion": {"version": 2, "odds": {"10": 2.25, "11": 7.5, "12": 13.0},
+     "raceTime": {"year": 2019, "monthValue": 3, "dayOfMonth": 2, "hour": 9, "minute": 5, "second": 0},
+     "runners": [{"name": "Gull", "id": 10}, {"name": "Lamp", "id": 11}, {"name": "Slow Tide", "id": 12}]}},
+  {"id": 5, "hasRun": false,
+   "currentVersion": {"version": 0, "odds": {"20": 1.75, "21": 4.5},
+     "raceTime": {"year": 2019, "monthValue": 3, "dayOfMonth": 2, "hour": 9, "minute": 50, "second": 0},
+     "runners": [{"name": "Buoy", "id": 20}, {"name": "Keel", "id": 21}]}}]}
+""".replace("\n", "")
 
 
 def one(spark, column, **values):
@@ -24,7 +30,7 @@ def one(spark, column, **values):
 # --- word pairs and walks ----------------------------------------------------
 
 @pytest.mark.parametrize("line,expected", [
-    ("The picture of Dorian Gray", ["the picture", "of dorian"]),
+    ("A kettle on Wet stones", ["a kettle", "on wet"]),
     ("end. the a .", [". the", "a ."]),
     ("one\ntwo three", ["two three"]),
     ("a  b", []),
@@ -41,7 +47,7 @@ def pair_frame(spark, pairs):
 
 
 def test_cumulative_probabilities_end_at_one(spark):
-    table = wordchain.transitions(pair_frame(spark, [("org", w, 1) for w in ["d", "b", "a", "c"]] + [("x", "y", 3), ("x", "z", 7)]), 2)
+    table = wordchain.transitions(pair_frame(spark, [("org", w, 1) for w in ["d", "b", "a", "c"]] + [("x", "y", 3), ("x", "z", 7)]))
     rows = {(r.word, r.next_word): (r.low_p, r.cum_p) for r in table.collect()}
     assert rows == {("org", "a"): (0, 0.25), ("org", "b"): (0.25, 0.5), ("org", "c"): (0.5, 0.75), ("org", "d"): (0.75, 1.0),
                     ("x", "z"): (0, 0.7), ("x", "y"): (0.7, 1.0)}
@@ -150,22 +156,22 @@ def test_halves_round_up(spark, value, expected):
 # --- betting -----------------------------------------------------------------
 
 def users(spark):
-    single = '{"id":1,"stake":2.0,"type":"SINGLE","legs":[{"race":7,"backing":3,"oddsType":"FIXED_ODDS","odds":6.0,"stake":2.0}]}'
+    single = '{"id":1,"stake":1.5,"type":"SINGLE","legs":[{"race":7,"backing":3,"oddsType":"FIXED_ODDS","odds":3.25,"stake":1.5}]}'
     double = '{"id":2,"stake":9.0,"type":"ACCUM","legs":[{"race":7,"backing":3,"odds":2.0},{"race":8,"backing":4,"odds":3.0}]}'
-    raw = f'{{"id":1,"firstName":"Ben","knownBets":[{single},{double}]}}'
+    raw = f'{{"id":1,"firstName":"Ruth","knownBets":[{single},{double}]}}'
     return spark.createDataFrame([(raw,)], "value string").select(records.parse(F.col("value"), schemas.USER).alias("u")).select("u.*")
 
 
 def test_only_single_bets_count_and_leg_stakes_are_read(spark):
     assert betting.flatten_bets(users(spark)).count() == 3
     singles = betting.single_bets(users(spark))
-    assert [tuple(r) for r in singles.collect()] == [(7, 3, 6.0, 2.0)]
-    assert [tuple(r) for r in betting.exposure(singles).collect()] == [(7, 3, 12.0)]
+    assert [tuple(r) for r in singles.collect()] == [(7, 3, 3.25, 1.5)]
+    assert [tuple(r) for r in betting.exposure(singles).collect()] == [(7, 3, 4.88)]
 
 
 def test_payout_only_if_the_backed_horse_wins(spark):
-    paid = betting.projected_payout(F.lit(6.0), F.lit(2.0), F.lit(3), F.col("h"))
-    assert one(spark, paid, h=3) == 12.0
+    paid = betting.projected_payout(F.lit(5.5), F.lit(4.0), F.lit(3), F.col("h"))
+    assert one(spark, paid, h=3) == 22.0
     assert one(spark, paid, h=4) == 0.0
 
 
@@ -201,22 +207,22 @@ def test_worst_list_is_ascending_and_empty_loss_is_zero(spark):
 
 
 def test_event_record_and_its_winner(spark):
-    frame = spark.createDataFrame([(ASCOT,)], "value string").select(records.parse_event(F.col("value")).alias("e")).select("e.*")
-    assert [tuple(r) for r in betting.event_winners(frame).collect()] == [("ASCOT 2001-06-20", 1, "Red Kite")]
+    frame = spark.createDataFrame([(MEETING,)], "value string").select(records.parse_event(F.col("value")).alias("e")).select("e.*")
+    assert [tuple(r) for r in betting.event_winners(frame).collect()] == [("HARBOUR 2019-03-02", 12, "Slow Tide")]
     row = frame.select(times.date_from_parts(F.col("date")).alias("d"),
                        times.time_from_parts(F.col("races")[0]["currentVersion"]["raceTime"]).alias("t"),
                        records.long_keys(F.col("races")[0]["currentVersion"]["odds"]).alias("odds")).first()
-    assert (str(row.d), str(row.t), row.odds) == ("2001-06-20", "2001-06-20 14:45:00", {1: 6.0, 2: 3.0})
+    assert (str(row.d), str(row.t), row.odds) == ("2019-03-02", "2019-03-02 09:05:00", {10: 2.25, 11: 7.5, 12: 13.0})
 
 
 def test_races_without_a_winner_share_the_sentinel(spark):
     lines = ['{"id":%d,"name":"e%d","races":[{"id":1,"hasRun":false}]}' % (i, i) for i in range(3)] + [
-        '{"id":9,"name":"none","races":[]}', ASCOT]
+        '{"id":9,"name":"none","races":[]}', MEETING]
     frame = spark.createDataFrame([(v,) for v in lines], "value string").select(records.parse_event(F.col("value")).alias("e")).select("e.*")
     winners = betting.event_winners(frame)
     assert [tuple(r) for r in betting.multiple_winners(winners).collect()] == [(schemas.NO_WINNER_ID, 4)]
     lists = {r.winner: r.events for r in betting.events_won(winners, "winner", "event").collect()}
-    assert lists == {schemas.NO_WINNER_ID: ["e0", "e1", "e2", "none"], 1: ["ASCOT 2001-06-20"]}
+    assert lists == {schemas.NO_WINNER_ID: ["e0", "e1", "e2", "none"], 12: ["HARBOUR 2019-03-02"]}
 
 
 def test_names_resolve_to_one_id(spark):
@@ -228,9 +234,11 @@ def test_names_resolve_to_one_id(spark):
 
 
 def test_runners_carry_odds_and_the_winner(spark):
-    frame = spark.createDataFrame([(ASCOT,)], "value string").select(records.parse_event(F.col("value")).alias("e")).select("e.*")
+    frame = spark.createDataFrame([(MEETING,)], "value string").select(records.parse_event(F.col("value")).alias("e")).select("e.*")
     assert sorted(tuple(r) for r in betting.runners(frame).collect()) == [
-        ("ASCOT 2001-06-20", 1, 1, "Red Kite", 6.0, True), ("ASCOT 2001-06-20", 1, 2, "Blue Kite", 3.0, False)]
+        ("HARBOUR 2019-03-02", 4, 10, "Gull", 2.25, False), ("HARBOUR 2019-03-02", 4, 11, "Lamp", 7.5, False),
+        ("HARBOUR 2019-03-02", 4, 12, "Slow Tide", 13.0, True), ("HARBOUR 2019-03-02", 5, 20, "Buoy", 1.75, False),
+        ("HARBOUR 2019-03-02", 5, 21, "Keel", 4.5, False)]
 
 
 def test_fixed_odds_win_and_a_missing_runner_is_null(spark):
@@ -280,16 +288,16 @@ def test_current_rows_from_changes(spark, wrapped):
     def key(i):
         return '{"payload":{"id":%d}}' % i if wrapped else '{"id":%d}' % i
 
-    rows = [(key(1001), envelope("r", 1, None, customer(1001, "Sally"), wrapped)),
-            (key(1004), envelope("u", 9, customer(1004, "Anne"), customer(1004, "Anne Marie"), wrapped)),
-            (key(1004), envelope("r", 2, None, customer(1004, "Anne"), wrapped)),
-            (key(1005), envelope("c", 10, None, customer(1005, "Jane"), wrapped)),
-            (key(1005), None),
-            (key(1006), envelope("c", 3, None, customer(1006, "Gone"), wrapped)),
-            (key(1006), envelope("d", 12, customer(1006, "Gone"), None, wrapped))]
+    rows = [(key(31), envelope("r", 1, None, customer(31, "Mona"), wrapped)),
+            (key(32), envelope("u", 9, customer(32, "Ida"), customer(32, "Ida Lou"), wrapped)),
+            (key(32), envelope("r", 2, None, customer(32, "Ida"), wrapped)),
+            (key(33), envelope("c", 10, None, customer(33, "Tess"), wrapped)),
+            (key(33), None),
+            (key(34), envelope("c", 3, None, customer(34, "Gone"), wrapped)),
+            (key(34), envelope("d", 12, customer(34, "Gone"), None, wrapped))]
     raw = spark.createDataFrame(rows, "key string, value string")
     found = changes.current_rows(changes.parse_changes(raw)).collect()
-    assert {(r.id, r.first_name) for r in found} == {(1001, "Sally"), (1004, "Anne Marie"), (1005, "Jane")}
+    assert {(r.id, r.first_name) for r in found} == {(31, "Mona"), (32, "Ida Lou"), (33, "Tess")}
     assert changes.log_lines(raw).where("line LIKE '%,null)'").count() == 1
 
 
@@ -297,14 +305,14 @@ def test_current_rows_from_changes(spark, wrapped):
 
 def test_point_line_fields(spark):
     import json
-    points = gps.parse_points(spark.createDataFrame([("123,456,789",)], "value string"))
-    line = gps.point_json(points.withColumn("input_point", F.lit(1).cast("long")).withColumn("replay_ms", F.lit(987).cast("long"))).first().line
-    assert line == '{ "input-point": "1", "latitude": "123", "longitude": "456", "timestamp": "987", "timeprint": "00:00:00" }'
-    assert json.loads(line)["latitude"] == "123"
+    points = gps.parse_points(spark.createDataFrame([("48.1,-7.25,30",)], "value string"))
+    line = gps.point_json(points.withColumn("input_point", F.lit(1).cast("long")).withColumn("replay_ms", F.lit(61_250).cast("long"))).first().line
+    assert line == '{ "input-point": "1", "latitude": "48.1", "longitude": "-7.25", "timestamp": "61250", "timeprint": "00:01:01" }'
+    assert json.loads(line)["latitude"] == "48.1"
 
 
 def test_replayed_time_adds_the_offset(spark):
-    assert one(spark, times.replay_ms(F.col("o"), 1_563_998_760_000, 1), o=789) == 1_563_998_760_789
+    assert one(spark, times.replay_ms(F.col("o"), 1_700_000_000_000, 1), o=642) == 1_700_000_000_642
     assert one(spark, times.replay_ms(F.col("o"), 1000), o=4) == 2000
 
 
@@ -317,8 +325,8 @@ def test_gaps_over_ten_only(spark):
 # --- scoring -----------------------------------------------------------------
 
 @pytest.mark.parametrize("review,expected", [
-    ("the movie was good", ["the", "movie", "was", "good"]),
-    ("worst, movie ever!", ["worst", "movie", "ever"]),
+    ("we sat in row nine", ["we", "sat", "in", "row", "nine"]),
+    ("late, but worth it!", ["late", "but", "worth", "it"]),
     ("'quoted' word", ["", "quoted", "word"]),
     ("...", []),
     ("", [""]),
@@ -328,9 +336,9 @@ def test_tokens(spark, review, expected):
 
 
 def test_review_codes(spark):
-    index = spark.createDataFrame([("movie", 17), ("the", 4)], "word string, code int")
-    reviews = spark.createDataFrame([(0, "the movie The"), (1, "..."), (2, "the " * 400)], "key long, text string")
-    codes = {r.key: r.codes for r in scoring.encode_reviews(reviews, "key", "text", index).collect()}
+    index = spark.createDataFrame([("film", 17), ("the", 4)], "word string, code int")
+    reviews = spark.createDataFrame([(0, "the film The"), (1, "..."), (2, "the " * 400)], "key long, text string")
+    codes = {r.key: r.codes for r in scoring.encode_reviews(reviews, "text", index).collect()}
     assert codes[0][:5] == [1, 4, 17, 2, 0] and len(codes[0]) == 256
     assert codes[1] == [1] + [0] * 255
     assert codes[2] == [1] + [4] * 255
@@ -390,3 +398,38 @@ def test_text_classifier_learns_a_word(spark):
     rows = spark.createDataFrame([(f"good film {i}", 1.0) for i in range(20)] + [(f"bad film {i}", 0.0) for i in range(20)], "text string, label double")
     model = scoring.train_text_classifier(rows, "text", "label")
     assert scoring.classify_texts(rows, "text", model).where("prediction <> label").count() == 0
+
+
+@pytest.mark.parametrize("pieces", [{}, {"piece_vectors": 3, "block_classes": 2}])
+def test_nearest_class_in_any_pieces(spark, pieces):
+    import numpy as np
+    rng = np.random.default_rng(1)
+    points = [(i, v.tolist(), i % 5) for i, v in enumerate(rng.normal(size=(40, 3)).round(1))]
+    frame = spark.createDataFrame(points, "id long, v array<double>, label long")
+    centres = scoring.class_centroids(frame, "v", "label")
+    means = {c: np.mean([v for _, v, l in points if l == c], axis=0) for c in range(5)}
+    assert {r.label: pytest.approx(means[r.label].tolist()) for r in centres.collect()} == {c: m.tolist() for c, m in means.items()}
+    for r in scoring.nearest_class(frame, "id", "v", centres, **pieces).collect():
+        distances = {c: float(((np.array(points[r.id][1]) - m) ** 2).sum()) for c, m in means.items()}
+        assert r.distance == pytest.approx(min(distances.values())) and distances[r.predicted] == pytest.approx(r.distance)
+
+
+def test_equal_keys_keep_their_own_texts(spark):
+    index = spark.createDataFrame([("a", 4), ("b", 5)], "word string, code int")
+    reviews = spark.createDataFrame([(1, "a a"), (1, "b"), (2, None)], "key long, text string")
+    got = sorted((r.key, r.codes[:4]) for r in scoring.encode_reviews(reviews, "text", index).collect())
+    assert got == [(1, [1, 4, 4, 0]), (1, [1, 5, 0, 0]), (2, [1, 0, 0, 0])]
+
+
+def test_notices_of_null_keys_and_equal_orders(spark):
+    rows = [(1, None, "a"), (2, None, "b"), (5, "k", "y"), (5, "k", "x"), (6, "k", "z"), (7, "old", "o")]
+    frame = spark.createDataFrame(rows, "id long, metal string, price string")
+    known = spark.createDataFrame([("old",)], "metal string")
+    got = {(r.id, r.price): r.kind for r in prices.change_notices(frame, "t", "metal", "price", "id", known).collect()}
+    assert got == {(1, "a"): "ADDED", (2, "b"): "UPDATED", (5, "x"): "ADDED", (5, "y"): "UPDATED", (6, "z"): "UPDATED", (7, "o"): "UPDATED"}
+
+
+def test_a_leg_without_mapping_stays(spark):
+    mapping = spark.createDataFrame([(1, 10)], "horse long, resolved long")
+    legs = spark.createDataFrame([(1, 2.0), (9, 3.0)], "horse long, stake double")
+    assert sorted(((r.resolved, r.stake) for r in betting.remap_horses(legs, mapping, ["horse"]).collect()), key=str) == [(10, 2.0), (None, 3.0)]

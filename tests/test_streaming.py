@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from millrace.operators import changes, gps, trend, windows
 from millrace.sinks import keyed, output
 from millrace.sources import files
-from millrace.sources.tail import LineTailSource
 from millrace.streaming import numbering, run
 from millrace.streaming import windows as stream_windows
 
@@ -37,7 +36,7 @@ def test_late_rows_are_dropped_and_the_rest_comes_once(spark, tmp_path):
     stream = land(spark, f"{tmp_path}/in", batches, "id long, ts timestamp")
     rows = stream_windows.in_time_rows(stream, "id", "ts")
     run.run_through(rows, keyed.append_batch(f"{tmp_path}/out"), f"{tmp_path}/cp")
-    out = keyed.read_journal(spark, f"{tmp_path}/out").select("id", "window.start").collect()
+    out = keyed.read_batches(spark, f"{tmp_path}/out").select("id", "window.start").collect()
     ids = sorted(r.id for r in out)
     # Lateness is judged by the watermark of the batch before: 19 s for row 5.
     assert ids == [1, 2, 3, 4, 6, 8, 9]
@@ -49,7 +48,7 @@ def test_watermarked_panes_equal_the_batch_for_closed_windows(spark, tmp_path):
     stream = land(spark, f"{tmp_path}/in", batches, "k string, ts timestamp, v double")
     panes = stream_windows.pane_stream(stream, "k", "ts", "v", 200)
     run.run_through(panes, keyed.append_batch(f"{tmp_path}/panes"), f"{tmp_path}/cp")
-    stored = keyed.read_journal(spark, f"{tmp_path}/panes").drop("batch")
+    stored = keyed.read_batches(spark, f"{tmp_path}/panes").drop("batch")
     streamed = windows.unfold_segments(windows.segments_of_panes(stored, "k", 3000, 200), 200)
     whole = spark.createDataFrame([r for b in batches for r in b], "k string, ts timestamp, v double")
     whole = whole.withColumn("ms", F.unix_millis("ts")).where(F.col("ts") < F.lit(at(18.15)))
@@ -81,7 +80,7 @@ def test_late_count_is_dropped_past_300_minutes(spark, tmp_path):
                [("x", at(900), 50)], [("x", at(90_000), 1)]]
     stream = land(spark, f"{tmp_path}/in", batches, "location string, time timestamp, count int")
     run.run_through(stream_windows.trend_stream(stream), keyed.append_batch(f"{tmp_path}/t"), f"{tmp_path}/cp")
-    slopes = [r.slope for r in keyed.read_journal(spark, f"{tmp_path}/t").collect()]
+    slopes = [r.slope for r in keyed.read_batches(spark, f"{tmp_path}/t").collect()]
     assert slopes and all(s in (None, 0.0) for s in slopes)  # the 50 at 900 s never joined the 1 at 0
 
 
@@ -93,10 +92,49 @@ def test_upsert_over_batches_and_repeats(spark, tmp_path):
     write(first, 0)
     write(late, 1)
     write(late, 1)  # the same batch again after a failure
-    assert keyed.read_journal(spark, path).count() == 4
+    assert spark.read.parquet(f"{path}/batches").count() == 4
     assert {r.k: r.v for r in keyed.read_latest(spark, path, ["k"], ["ord"]).collect()} == {"a": "y", "b": "new"}
-    keyed.compact(spark, path, f"{tmp_path}/small", ["k"], ["ord"])
-    assert keyed.read_journal(spark, f"{tmp_path}/small").count() == 2
+
+
+def test_batches_go_on_after_compaction(spark, tmp_path):
+    path = f"{tmp_path}/table"
+    write = keyed.upsert(path, ["k"], ["ord"])
+
+    def batch(*rows):
+        return spark.createDataFrame(rows, "k string, ord long, v string")
+
+    def latest():
+        return {r.k: r.v for r in keyed.read_latest(spark, path, ["k"], ["ord"]).collect()}
+
+    write(batch(("a", 1, "a1"), ("b", 1, "b1")), 0)
+    keyed.compact(spark, path, ["k"], ["ord"])
+    keyed.compact(spark, path, ["k"], ["ord"])  # nothing new
+    assert latest() == {"a": "a1", "b": "b1"}
+    write(batch(("a", 1, "a1"), ("b", 1, "b1")), 0)  # the compacted batch again after a failure
+    write(batch(("c", 1, "c1"), ("b", 2, "b2")), 1)
+    assert latest() == {"a": "a1", "b": "b2", "c": "c1"}
+    write(batch(("a", 0, "old")), 2)
+    keyed.compact(spark, path, ["k"], ["ord"])
+    write(batch(("a", 9, "a9")), 3)
+    assert latest() == {"a": "a9", "b": "b2", "c": "c1"}
+
+
+def test_a_repeated_batch_reaches_followers_once(spark, tmp_path):
+    import shutil
+    stream = land(spark, f"{tmp_path}/in", [[(1,), (2,)], [(3,)]], "id long")
+    keyed.write_journal(stream, f"{tmp_path}/journal", f"{tmp_path}/cp").awaitTermination()
+
+    def follow():
+        run.run_through(keyed.journal_stream(spark, f"{tmp_path}/journal"), keyed.append_batch(f"{tmp_path}/out"), f"{tmp_path}/follow")
+        return sorted(r.id for r in keyed.read_batches(spark, f"{tmp_path}/out").collect())
+
+    assert follow() == [1, 2, 3]
+    # As after a failure between writing a batch and noting it: the last commit is gone, the batch comes again.
+    commits = sorted(os.listdir(f"{tmp_path}/cp/commits"))
+    for name in [c for c in commits if c.lstrip(".").startswith("1")]:
+        shutil.move(f"{tmp_path}/cp/commits/{name}", f"{tmp_path}/moved-{name.lstrip('.')}")
+    keyed.write_journal(stream, f"{tmp_path}/journal", f"{tmp_path}/cp").awaitTermination()
+    assert follow() == [1, 2, 3]
 
 
 def test_numbers_run_on_over_batches(spark, tmp_path):
@@ -104,7 +142,7 @@ def test_numbers_run_on_over_batches(spark, tmp_path):
     stream = land(spark, f"{tmp_path}/in", batches, "id long")
     writer = numbering.numbered(keyed.append_batch(f"{tmp_path}/out"), f"{tmp_path}/n", ["id"], "number")
     run.run_through(stream, writer, f"{tmp_path}/cp")
-    out = keyed.read_journal(spark, f"{tmp_path}/out").collect()
+    out = keyed.read_batches(spark, f"{tmp_path}/out").collect()
     assert sorted((r.id, r.number) for r in out) == [(i, i + 1) for i in range(30)]
 
 
@@ -157,47 +195,12 @@ def test_peek_counts_rows_in_passing(spark):
     assert output.peek(spark.range(7), "named").count() == 7
 
 
-def test_tail_reads_appended_whole_lines(spark, tmp_path):
-    spark.dataSource.register(LineTailSource)
-    folder = f"{tmp_path}/in"
-    os.makedirs(folder)
-    log = f"{folder}/output-0"
-    with open(log, "w") as file:
-        file.write("one\ntwo\nhal")
-
-    def drain():
-        stream = spark.readStream.format("line_tail").option("path", folder).option("glob", "output-*").load()
-        query = (stream.writeStream.foreachBatch(keyed.append_batch(f"{tmp_path}/out"))
-                 .option("checkpointLocation", f"{tmp_path}/cp").start())
-        try:
-            query.processAllAvailable()
-        finally:
-            query.stop()
-        return sorted(r.value for r in keyed.read_journal(spark, f"{tmp_path}/out").collect())
-
-    assert drain() == ["one", "two"]
-    with open(log, "a") as file:
-        file.write("f\nthree\n")
-    assert drain() == ["half", "one", "three", "two"]
-
-
-@pytest.mark.parametrize("split", [1, 4, 9, 1000])
-def test_tail_ranges_cover_every_line_once(tmp_path, monkeypatch, split):
-    from millrace.sources import tail
-    monkeypatch.setattr(tail, "SPLIT_BYTES", split)
-    lines = ["a" * (i % 7) for i in range(40)]
-    (tmp_path / "f").write_text("\n".join(lines) + "\n")
-    reader = tail.LineTailReader(str(tmp_path), "*")
-    ranges = reader.partitions({}, reader.latestOffset())
-    assert [value for r in ranges for _, value in reader.read(r)] == lines
-
-
 def test_tracked_posts_and_line_stream(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "posts.txt").write_text('{"text":"#BTC up"}\n{"text":"rain"}\n')
     posts = files.tracked_posts(files.line_stream(spark, f"{tmp_path}/in", "*.txt", 1))
     run.run_through(posts, keyed.append_batch(f"{tmp_path}/out"), f"{tmp_path}/cp")
-    assert [r.text for r in keyed.read_journal(spark, f"{tmp_path}/out").collect()] == ["#BTC up"]
+    assert [r.text for r in keyed.read_batches(spark, f"{tmp_path}/out").collect()] == ["#BTC up"]
 
 
 def test_ingestion_time_is_one_instant_per_batch(spark):
@@ -211,7 +214,7 @@ def test_processing_time_trigger(spark, tmp_path):
         query.processAllAvailable()
     finally:
         query.stop()
-    assert sorted((r.id, r.batch) for r in keyed.read_journal(spark, f"{tmp_path}/out").collect()) == [(1, 0), (2, 1)]
+    assert sorted((r.id, r.batch) for r in keyed.read_batches(spark, f"{tmp_path}/out").collect()) == [(1, 0), (2, 1)]
 
 
 def test_journal_is_followed_from_its_oldest_change(spark, tmp_path):
