@@ -85,9 +85,9 @@ def targets(sizes: DataFrame, source: str, shares: tuple[Share, ...] = SHARES, m
 
 
 def spread(key: str) -> F.Column:
-    """60 bits of the hashed key, as a positive number of 63 bits."""
+    """60 bits of the hashed key as the top of a signed number, in the order of the digits."""
     digits = F.substring(F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")), 1, 15)
-    return F.shiftleft(F.conv(digits, 16, 10).cast("long"), 3)
+    return F.shiftleft(F.conv(digits, 16, 10).cast("long"), 4).bitwiseXOR(F.lit(-(2**63)))
 
 
 def plan(

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Rows that one task orders, about.
-PART_ROWS = 10_000
+PART_ROWS = 4_000
 
 
 def totals_before(
