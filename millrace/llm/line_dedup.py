@@ -87,7 +87,8 @@ def removed_stretches(docs: DataFrame, key: str = "doc_id", text: str = "text",
     """(k1, k2, stretches): line numbers (first, last) to delete, in order, of documents that lose any."""
     lines = keep(numbered_lines(docs, key, text), "lines")
     seen = lines.filter(F.col("h1").isNotNull())
-    classes = _named(seen, ["h1", "h2"])
+    # As a table of its own it is shuffled apart from the lines, and a very common line can be split.
+    classes = keep(_named(seen, ["h1", "h2"]), "classes")
     repeated = keep(seen.join(classes, ["h1", "h2"]).select("doc", "k1", "k2", "at", "line", "words", "rank"), "repeated-lines")
 
     levels = [repeated.select("line", "rank")]
