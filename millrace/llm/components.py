@@ -8,16 +8,19 @@ from pyspark.sql import functions as F
 from millrace.llm.registry import keep
 
 
+# The smallest neighbours are kept as tables: shuffled apart from the edges they are joined
+# to, so that the edges of a node with very many can be split.
+
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a node moves to the node's smallest neighbour."""
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    low = keep(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "lowest")
     return both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Every smaller neighbour of a node, and the node, move to its smallest neighbour."""
-    low = edges.groupBy("a").agg(F.min("b").alias("m"))
+    low = keep(edges.groupBy("a").agg(F.min("b").alias("m")), "lowest")
     moved = edges.join(low, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.union(low.select("a", F.col("m").alias("b"))).distinct()
 
@@ -31,7 +34,7 @@ def components(edges: DataFrame) -> DataFrame:
     edges = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     state = None
     while True:
-        edges = keep(_small_star(_large_star(edges)), "stars")
+        edges = keep(_small_star(keep(_large_star(edges), "stars")), "stars")
         now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
         if now == state:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(
