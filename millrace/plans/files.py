@@ -1,11 +1,16 @@
 """File formats: the table is written by a sink and read back by the reader."""
 
-from pyspark.sql import functions as F
+import json
+import tempfile
+
+import pandas as pd
+from pyspark import SparkFiles
+from pyspark.sql import Observation, functions as F
 
 from millrace import schemas, session
 from millrace.functions.text import words
 from millrace.functions.times import epoch_ms
-from millrace.operators import betting
+from millrace.operators import betting, scoring
 from millrace.plans import query, traffic
 from millrace.sinks import keyed, output
 from millrace.sources import files, kafka
@@ -112,3 +117,45 @@ def io_stamped(spark, sf_dir):
     kept = keyed.read_batches(spark, f"{place}/out")
     instants = kept.groupBy("batch").agg(F.min("ingested").alias("first"))
     return kept.join(instants, "batch").select("event_id", (F.col("ingested") == F.col("first")).alias("stamped"))
+
+
+@query("io_attached", "SELECT c_custkey, n_name AS nation FROM customer JOIN nation ON n_nationkey = c_nationkey")
+def io_attached(spark, sf_dir):
+    """A dictionary file is shipped with the job and loaded once per worker."""
+    names = {r["n_nationkey"]: r["n_name"] for r in load(spark, sf_dir, "nation").collect()}
+    with tempfile.NamedTemporaryFile("w", suffix=".json", delete=False) as file:
+        json.dump(names, file)
+    attached = scoring.attach(spark, file.name)
+
+    def load_names():
+        with open(SparkFiles.get(attached)) as shipped:
+            return {int(k): v for k, v in json.load(shipped).items()}
+
+    def apply(known, batch):
+        return pd.DataFrame({"c_custkey": batch["c_custkey"], "nation": batch["c_nationkey"].map(known)})
+
+    customers = load(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    return scoring.map_with_service(customers, attached, load_names, apply, "c_custkey long, nation string").where(
+        "nation IS NOT NULL")
+
+
+@query("io_peeked", "SELECT count(*) AS rows, sum(value) AS total FROM events")
+def io_peeked(spark, sf_dir):
+    """Rows are counted in passing, without a job of their own."""
+    seen = Observation()
+    passing = output.peek(load(spark, sf_dir, "events"), seen)
+    total = passing.agg(F.sum("value")).first()[0]
+    return spark.createDataFrame([(seen.get["rows"], total)], "rows long, total double")
+
+
+@query("io_published", "SELECT count(*) AS lines, sum(length(text))::BIGINT AS chars FROM documents")
+def io_published(spark, sf_dir):
+    """Texts go out through a client of each task; the stand-in topic counts what it gets."""
+    topic = [spark.sparkContext.accumulator(0) for _ in range(2)]
+
+    def send(client, line):
+        client[0].add(1)
+        client[1].add(len(line))
+
+    output.publish(texts(spark, sf_dir), lambda: topic, send, "text")
+    return spark.createDataFrame([tuple(t.value for t in topic)], "lines long, chars long")

@@ -72,14 +72,17 @@ def score_async(spark, sf_dir):
     return rated.select("doc_id", "rating", scoring.rating_line(F.col("text"), F.col("rating")).alias("line"))
 
 
-@query("embedding_class", """
+CLASS_SQL = """
 WITH parts AS (
   SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings),
 centres AS (SELECT label AS predicted, pos, avg(x) AS c FROM parts GROUP BY 1, 2),
 distances AS (
   SELECT vec_id, label, predicted, sum((x - c) * (x - c)) AS d FROM parts JOIN centres USING (pos) GROUP BY 1, 2, 3)
 SELECT vec_id, label, arg_min(predicted, d) AS predicted, round(min(d), 6) AS distance
-FROM distances GROUP BY 1, 2""")
+FROM distances GROUP BY 1, 2"""
+
+
+@query("embedding_class", CLASS_SQL)
 def embedding_class(spark, sf_dir):
     vectors = load(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.col("label").cast("long").alias("label"))
     centroids = scoring.class_centroids(vectors, "embedding", "label")
@@ -88,6 +91,20 @@ def embedding_class(spark, sf_dir):
         "vec_id", "label", F.col("predicted").cast("int").alias("predicted"), F.round("distance", 6).alias("distance"))
 
 
+@query("image_class", f"SELECT vec_id, predicted FROM ({CLASS_SQL})")
+def image_class(spark, sf_dir):
+    """Vectors as image files, one each; their content is read back and classified."""
+    place = session.scratch_path(spark, "images")
+    vectors = load(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.col("label").cast("long").alias("label"))
+    pixels = F.array_join(F.col("embedding").cast("array<string>"), " ").alias("value")
+    vectors.select(pixels, "vec_id").write.partitionBy("vec_id").text(place)
+    images = files.images(spark, place, "part-*").select(
+        F.col("vec_id").cast("long").alias("vec_id"),
+        F.split(F.trim(F.translate(F.col("content").cast("string"), "\n", "")), " ").cast("array<float>").alias("embedding"))
+    nearest = scoring.nearest_class(images, "vec_id", "embedding", scoring.class_centroids(vectors, "embedding", "label"))
+    return nearest.select("vec_id", F.col("predicted").cast("int").alias("predicted"))
+
+
 # A row is tested on if its id's hash says so, whatever the partitions.
 TEST_SQL = "('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::BIGINT % 5 = 0"
 

@@ -6,7 +6,7 @@ import logging
 from collections.abc import Callable, Iterable
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Row, functions as F
+from pyspark.sql import Column, DataFrame, Observation, Row, functions as F
 
 from millrace.sinks.keyed import BatchWriter
 
@@ -81,6 +81,7 @@ def fan_out(*writers: BatchWriter) -> BatchWriter:
     return write
 
 
-def peek(df: DataFrame, name: str) -> DataFrame:
-    """Report the number of rows passing, without another job."""
+def peek(df: DataFrame, name: str | Observation) -> DataFrame:
+    """Report the number of rows passing, without another job, under a name for
+    listeners or to an observation."""
     return df.observe(name, F.count(F.lit(1)).alias("rows"))
