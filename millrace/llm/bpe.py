@@ -30,8 +30,9 @@ from pyspark.sql import DataFrame
 
 from millrace.llm.arrow import arrow_schema
 
-#: Words are remembered per task up to this number; then the memory starts anew.
-REMEMBERED_WORDS = 800_000
+#: Words are remembered per worker up to this number; then a new memory starts, and what
+#: is met again is taken over from the last one.
+REMEMBERED_WORDS = 500_000
 
 # Fixed values of the tokenizer format: the end-of-word mark, and the shift that
 # gives unprintable bytes a letter.
@@ -69,6 +70,7 @@ class Codec:
         self._plain = all(self._letters[b] == chr(b) for b in range(0x21, 0x7F))
         self._build(vocabulary, model["merges"])
         self._known: dict[str, tuple[int, ...]] = {}
+        self._before: dict[str, tuple[int, ...]] = {}
 
     def _build(self, vocabulary: dict[str, int], merges: list[list[str]]) -> None:
         size = len(self.names)
@@ -245,14 +247,15 @@ class Codec:
                     chunks.append(parts[0])
                     continue
             chunks.append(self._split(text))
-        known = self._known
         seen: set[str] = set()
         seen.update(*chunks, *(p for m in marks.values() for _, p in m))
-        new = seen - known.keys()
-        if len(known) + len(new) > REMEMBERED_WORDS:
-            known.clear()
-            new = seen
-        self._learn(sorted(new))
+        new = seen - self._known.keys()
+        if len(self._known) + len(new) > REMEMBERED_WORDS:
+            self._before, self._known, new = self._known, {}, seen
+        known, before = self._known, self._before
+        again = new & before.keys()
+        known.update((w, before[w]) for w in again)
+        self._learn(sorted(new - again))
         flat = itertools.chain.from_iterable
         out = [list(flat(map(known.__getitem__, p))) for p in chunks]
         for i, rest in marks.items():
