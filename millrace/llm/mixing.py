@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.registry import keep
-from millrace.llm.running import totals_before
+from millrace.llm.running import spread, totals_before
 
 #: A source gives its documents so many times at most.
 MOST = 3
@@ -84,12 +84,6 @@ def targets(sizes: DataFrame, source: str, shares: tuple[Share, ...] = SHARES, m
         source, "source_size", "kind", F.when(F.col("full"), F.col("limit").cast("double")).otherwise(shared).alias("target"))
 
 
-def spread(key: str) -> F.Column:
-    """60 bits of the hashed key as the top of a signed number, in the order of the digits."""
-    digits = F.substring(F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")), 1, 15)
-    return F.shiftleft(F.conv(digits, 16, 10).cast("long"), 4).bitwiseXOR(F.lit(-(2**63)))
-
-
 def plan(
     docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text",
     shares: tuple[Share, ...] = SHARES, most: int = MOST,

@@ -9,6 +9,17 @@ from pyspark.sql import functions as F
 PART_ROWS = 4_000
 
 
+def digest(key: str) -> F.Column:
+    """Hex digits of the hashed key; a null key is hashed as the empty text."""
+    return F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary"))
+
+
+def spread(key: str) -> F.Column:
+    """60 bits of the hashed key as the top of a signed number, in the order of the digits."""
+    digits = F.conv(F.substring(digest(key), 1, 15), 16, 10).cast("long")
+    return F.shiftleft(digits, 4).bitwiseXOR(F.lit(-(2**63)))
+
+
 def totals_before(
     rows: DataFrame, groups: list[str], spread: str, order: list[str], value: str, out: str, part_rows: int = PART_ROWS,
 ) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.registry import keep
-from millrace.llm.running import totals_before
+from millrace.llm.running import digest, spread, totals_before
 
 # Fixed value of the method: the multiplier of its number sequence.
 _MULTIPLIER = np.uint64(2862933555777941757)
@@ -44,6 +44,12 @@ def shard_of(key: F.Column, shards: int) -> F.Column:
         lambda k: pa.array(jump(k.to_numpy(zero_copy_only=False).view(np.uint64), shards), pa.int32()), "int")(key)
 
 
+def key_bits(key: str) -> F.Column:
+    """The first 64 bits of the hashed key."""
+    halves = [F.conv(F.substring(digest(key), at, 8), 16, 10).cast("long") for at in (1, 9)]
+    return F.shiftleft(halves[0], 32).bitwiseOR(halves[1])
+
+
 def assign(docs: DataFrame, shards: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, size, text_crc32, shard, slot, grown_shard) of every row.
 
@@ -55,9 +61,9 @@ def assign(docs: DataFrame, shards: int, key: str = "doc_id", text: str = "text"
     bytes_ = F.coalesce(F.col(text), F.lit(""))
     facts = docs.select(
         key, (F.octet_length(bytes_) + 16).cast("long").alias("size"), F.crc32(bytes_).alias("text_crc32"),
-        F.xxhash64(F.col(key).cast("string")).alias("hash"))
+        key_bits(key).alias("hash"), spread(key).alias("spread"))
     placed = keep(facts.select(
         "*", shard_of(F.col("hash"), shards).alias("shard"), shard_of(F.col("hash"), shards + 1).alias("grown_shard"),
-        F.lit(1).cast("long").alias("one"), F.xxhash64("hash", "size", "text_crc32").alias("spread")), "shards")
-    return totals_before(placed, ["shard"], "spread", [key], "one", "slot").select(
+        F.lit(1).cast("long").alias("one")), "shards")
+    return totals_before(placed, ["shard"], "spread", [key, "size", "text_crc32"], "one", "slot").select(
         key, "size", "text_crc32", "shard", F.col("slot").cast("long").alias("slot"), "grown_shard")

@@ -3,6 +3,7 @@
 import re
 from collections import Counter
 
+import oracle
 import pytest
 
 from millrace.llm import op7, quality_rules
@@ -77,3 +78,4 @@ def test_whole_small_table(spark):
     got = sorted((tuple(r) for r in op7.op7_quality_rules(spark, folder).collect()), key=str)
     assert got == sorted(slow_judge(rows, 20, 0.10, 10, 0.30), key=str)
     assert op7.op7_quality_rules(spark, folder).columns == COLUMNS
+    assert oracle.compare(spark, "/root/testdata/sf0.01", op7.op7_quality_rules, op7.SQL) == (1000, "")
