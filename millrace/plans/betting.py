@@ -277,8 +277,9 @@ def bet_nested_settle(spark, sf_dir):
 
 
 @query("bet_nested_legs", """
-SELECT l_orderkey * 10 + l_linenumber AS user, 3 AS bets, 5 AS legs, round(l_quantity, 2) AS single_stake,
-  round((1 + l_discount) * l_quantity, 4) AS single_loss FROM lineitem""")
+SELECT l_orderkey * 10 + l_linenumber AS user, 3 AS bets, (5 * count(*))::INTEGER AS legs,
+  round(sum(l_quantity), 2) AS single_stake, round(sum((1 + l_discount) * l_quantity), 4) AS single_loss
+FROM lineitem GROUP BY 1""")
 def bet_nested_legs(spark, sf_dir):
     """Every leg of every bet flat, and the loss of the single bets, per user."""
     known = users(spark, sf_dir)

@@ -79,7 +79,7 @@ def test_walk_against_a_plain_loop(spark):
             out = upper if step == 0 else out + (". " + upper if dead else word if word == "." else " " + word)
         return out
 
-    found = wordchain.random_walks(table, spark.range(40).withColumnRenamed("id", "w"), "w", 9, checkpoint_every=2)
+    found = wordchain.random_walks(table, spark.range(40).withColumnRenamed("id", "w"), "w", 9)
     assert {r.w: r.text for r in found.collect()} == {i: walk(i, 9) for i in range(40)}
 
 

@@ -40,7 +40,7 @@ def test_dictionary_codes_move_up(spark, tmp_path):
 
 
 def test_sample_reviews_and_images(spark, tmp_path):
-    assert {r.key: r.text for r in files.sample_reviews(spark).collect()}[0] == "the movie was good"
+    assert {r.key: r.text for r in files.sample_reviews(spark).collect()}[0] == "a fine evening, well played"
     (tmp_path / "x.png").write_bytes(b"\x89PNG")
     assert files.images(spark, str(tmp_path), "*.png").first().content == b"\x89PNG"
 
