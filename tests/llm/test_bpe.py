@@ -1,5 +1,6 @@
 """The encoder against the tokenizers library, and the round trip."""
 
+import functools
 from hashlib import sha256
 
 import public_tokenizers
@@ -18,9 +19,14 @@ ODD = [
 ]
 
 
+@functools.cache
+def tokenizer():
+    return Tokenizer.from_file(PATH)
+
+
 @pytest.fixture(scope="module")
 def library():
-    return Tokenizer.from_file(PATH)
+    return tokenizer()
 
 
 @pytest.fixture(scope="module")
@@ -37,10 +43,7 @@ def test_odd_texts_encode_as_the_library(library, codec):
 @settings(max_examples=300, deadline=None)
 @given(st.text(st.sampled_from("abcdehinorst '.,1!é<|ßΣ \n\t"), max_size=60))
 def test_any_text_encodes_as_the_library(text):
-    codec = bpe.codec_of(open(PATH, encoding="utf-8").read())
-    library = Tokenizer.from_file(PATH) if not hasattr(test_any_text_encodes_as_the_library, "library") else None
-    library = getattr(test_any_text_encodes_as_the_library, "library", library)
-    test_any_text_encodes_as_the_library.library = library
+    codec, library = bpe.codec_of(open(PATH, encoding="utf-8").read()), tokenizer()
     assert codec.encode_batch([text]) == [library.encode(text, add_special_tokens=False).ids]
 
 

@@ -4,7 +4,6 @@ import random
 
 import oracle
 import pytest
-from pyspark.sql import functions as F
 
 from millrace.llm import line_dedup, op6
 
@@ -93,4 +92,3 @@ def test_sql_over_a_whole_table(spark):
 def test_only_built_in_operations(spark):
     plan = op6.op6_line_dedup(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "CartesianProduct" not in plan
-    assert F.expr is not None
