@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.registry import keep
@@ -88,14 +88,16 @@ def plan(
     docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text",
     shares: tuple[Share, ...] = SHARES, most: int = MOST,
 ) -> DataFrame:
-    """(key, source, text_hash, rows, size, source_size, target, taken, positions) of every document.
+    """(key, source, text_hash, first, rows, size, source_size, target, taken, positions) of every document.
 
     A document is a key, source and text; ``rows`` is how often the table repeats it,
-    and its size counts that often. Every document goes in whole, target / source_size
+    and its size counts that often. Every row goes in whole, target / source_size
     times rounded down, and those first in the order of the hash once more until the
-    target is met to half a document. ``positions`` are the training positions of its
-    copies, ``taken`` the words they hold. Null text: size 0. A null source is a source
-    of its own, a null key a key like any other. A source without words gives nothing.
+    target is met to half a row. If that end falls inside a document, its rows come in
+    two parts, ``first`` rows of it before the part. ``positions`` are the training
+    positions of a row's copies, ``taken`` the words they hold. Null text: size 0. A null
+    source is a source of its own, a null key a key like any other. A source without
+    words gives nothing.
     """
     words = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
     units = keep(
@@ -107,10 +109,25 @@ def plan(
     aims = aims.withColumnRenamed(source, "of_source")
     ordered = totals_before(units, [source], "spread", [key, "size", "text_hash"], "mass", "before")
     times = F.floor(F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0)))
-    middle = F.col("before") + F.col("mass") / 2
-    more = middle <= F.col("target") - F.col("times") * F.col("source_size")
-    with_aims = ordered.join(aims, F.col(source).eqNullSafe(F.col("of_source"))).withColumn("times", times).withColumn(
-        "copies", (F.col("times") + more.cast("long")) * (F.col("mass") > 0).cast("long"))
+    with_aims = ordered.join(aims, F.col(source).eqNullSafe(F.col("of_source"))).withColumn("times", times)
+    rest = F.col("target") - F.col("times") * F.col("source_size")
+
+    def once_more(number: Column) -> Column:
+        """Whether the middle of the row with this number, from 0, lies before the end."""
+        return F.col("before") + number * F.col("size") + F.col("size") / 2 <= rest
+
+    about = F.floor(F.coalesce(F.try_divide(rest - F.col("before"), "size"), F.lit(0.0)) + 0.5)
+    near = F.least(F.greatest(about, F.lit(0)), F.col("rows"))
+    # The division may round to the other side of the end: the row itself decides.
+    more = F.when((near > 0) & ~once_more(near - 1), near - 1).when((near < F.col("rows")) & once_more(near), near + 1).otherwise(near)
+    part = F.explode(F.filter(
+        F.array(*[F.struct(a.alias("first"), (b - a).alias("rows"), F.lit(x).alias("more")) for a, b, x in (
+            (F.lit(0).cast("long"), F.col("ends"), 1), (F.col("ends"), F.col("rows"), 0))]),
+        lambda p: p["rows"] > 0))
+    parts = with_aims.withColumn("ends", F.when(F.col("size") > 0, more.cast("long")).otherwise(0)).withColumn("part", part).withColumns({
+        "first": F.col("part.first"), "rows": F.col("part.rows"), "mass": F.col("size") * F.col("part.rows"),
+        "copies": (F.col("times") + F.col("part.more")) * (F.col("size") > 0).cast("long")})
+    middle = F.col("before") + F.col("first") * F.col("size") + F.col("mass") / 2
     done = F.transform(
         F.sequence(F.lit(0).cast("long"), F.col("copies") - 1),
         lambda i: F.least((i * F.col("source_size") + middle) / F.col("target"), F.lit(1.0)))
@@ -122,8 +139,8 @@ def plan(
         return by_kind
 
     positions = F.when(F.col("copies") > 0, F.transform(done, placed)).otherwise(F.array().cast("array<double>"))
-    return with_aims.select(
-        key, source, "text_hash", "rows", "size", "source_size", "target",
+    return parts.select(
+        key, source, "text_hash", "first", "rows", "size", "source_size", "target",
         (F.col("size") * F.col("copies")).alias("taken"), positions.alias("positions"))
 
 
@@ -136,10 +153,25 @@ def range_sorted(rows: DataFrame, position: F.Column, ties: list[F.Column]) -> D
 
 def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
     """The rows of the mix in training order: every row once per copy, documents not taken left out."""
-    chosen = keep(plan(docs, key, source, text), "plan").filter(F.size("positions") > 0).select(
-        F.col(key).alias("__key"), F.col(source).alias("__source"), F.col("text_hash").alias("__hash"), "positions")
-    same = F.col(key).eqNullSafe(F.col("__key")) & F.col(source).eqNullSafe(F.col("__source")) & (
+    planned = keep(plan(docs, key, source, text), "plan").select(
+        F.col(key).alias("__key"), F.col(source).alias("__source"), F.col("text_hash").alias("__hash"),
+        F.col("first").alias("__first"), F.col("rows").alias("__rows"), F.col("positions").alias("__positions"))
+    names = ["__key", "__source", "__hash"]
+    # At most one document of a source is in two parts; only its rows are numbered.
+    cut = keep(planned.filter("__first > 0").select(*names, F.col("__first").alias("__ends")), "cut-documents")
+    here = F.col(key).eqNullSafe(F.col("__key")) & F.col(source).eqNullSafe(F.col("__source")) & (
         F.xxhash64(text) == F.col("__hash"))
-    copies = docs.join(chosen.withColumnRenamed("positions", "__positions"), same).withColumn(
-        "__at", F.explode("__positions"))
+    is_cut = [F.col(n).eqNullSafe(F.col(f"__of{n}")) for n in names]
+    ends = cut.select(*[F.col(n).alias(f"__of{n}") for n in names], "__ends")
+    parts = planned.join(ends, is_cut, "left")
+    whole = parts.filter(F.col("__ends").isNull() & (F.size("__positions") > 0))
+    rows = keep(docs.join(cut, here).withColumn("__row", F.monotonically_increasing_id()), "cut-rows")
+    placed = rows.withColumns({"__spread": F.xxhash64("__row"), "__one": F.lit(1).cast("long")})
+    numbered = totals_before(keep(placed, "spread-rows"), names, "__spread", ["__row"], "__one", "__number")
+    of_part = (F.col("__number") >= F.col("__ends")) == (F.col("__of_first") > 0)
+    halves = parts.filter(F.col("__ends").isNotNull()).select(
+        *[F.col(n).alias(f"__of{n}") for n in names], F.col("__first").alias("__of_first"), "__positions")
+    again = numbered.join(halves, [*is_cut, of_part])
+    copies = docs.join(whole, here).select(*docs.columns, "__positions").union(again.select(*docs.columns, "__positions"))
+    copies = copies.withColumn("__at", F.explode("__positions"))
     return range_sorted(copies.select(*docs.columns, "__at"), F.col("__at"), [F.col(key)]).select(*docs.columns)

@@ -109,6 +109,20 @@ def test_mix_repeats_rows_in_training_order(spark):
     assert mixing.mix(docs.limit(0)).collect() == []
 
 
+def test_the_cut_falls_inside_repeated_rows(spark):
+    """A third of a source's words are one document's rows: each is placed on its own, as in the SQL."""
+    rows = [(i, "a", "w " * 10) for i in range(60)] + [(1000, "a", "one")] * 300 + [(2000 + i, "b", "w " * 10) for i in range(117)]
+    docs = rows_of(spark, rows)
+    planned = mixing.plan(docs).collect()
+    target = {p.source: p.target for p in planned}
+    taken = {s: sum(p.taken * p.rows for p in planned if p.source == s) for s in target}
+    assert sum(p.rows for p in planned) == len(rows)
+    assert all(abs(taken[s] - target[s]) <= 5 for s in target)
+    assert len([p for p in planned if p.doc_id == 1000]) == 2
+    mixed = mixing.mix(docs).collect()
+    assert {s: sum(len(r.text.split()) for r in mixed if r.source == s) for s in target} == taken
+
+
 @pytest.mark.parametrize("part_rows", [1, 7, 1000])
 def test_totals_before_whatever_the_parts(spark, part_rows):
     rows = [(i, "hot" if i % 3 else None, i % 5) for i in range(300)] + [(7, "hot", 2)]
