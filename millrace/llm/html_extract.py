@@ -63,15 +63,23 @@ _SKIPPED_WORDS = {
 _CONTENT_WORDS = {"article", "content", "post", "entry", "story", "main", "body", "text"}
 
 
-def _label(tag: str, attributes: str) -> tuple[str, set[str]]:
-    """Name of an element in a path, and the words of its class, id and role."""
-    classes, words = [], set()
+# How surely a name says that an element is not content: one word of a compound says it only by the way.
+_BY_THE_WAY, _SURELY = 1, 2
+
+
+def _label(tag: str, attributes: str) -> tuple[str, set[str], int]:
+    """Name of an element in a path, the words of its class, id and role, and whether they say it is not content."""
+    classes, words, skip = [], set(), 0
     for kind, *values in _ATTRIBUTE.findall(attributes) if attributes else ():
         value = "".join(values)
-        words.update(w.lower() for w in _NAME.findall(value))
+        for name in value.split():
+            parts = {w.lower() for w in _NAME.findall(name)}
+            words |= parts
+            if parts & _SKIPPED_WORDS:
+                skip = max(skip, _SURELY if parts <= _SKIPPED_WORDS else _BY_THE_WAY)
         if kind.lower() != "id":
             classes += re.sub(r"\d+", "", value).split()
-    return ".".join([tag, *sorted(set(classes))]), words
+    return ".".join([tag, *sorted(set(classes))]), words, skip
 
 
 class Page:
@@ -81,6 +89,7 @@ class Page:
         self.paths: list[str] = []  # of each block element
         self.ranks: list[int] = []  # how much its name promises content
         self.skipped: list[bool] = []  # it is or lies in what is not content
+        self._named: list[int] = []  # how surely its own name says so
         self.parents: list[int] = []
         self.blocks: list[tuple[int, str]] = []  # innermost element, text
         self._stack: list[tuple[str, int]] = []  # tag, element
@@ -96,6 +105,7 @@ class Page:
                 elif tag not in _INLINE:
                     self._open(tag, match.group(4))
         self._flush()
+        self._skip()
 
     def _element(self) -> int:
         return self._stack[-1][1] if self._stack else -1
@@ -118,20 +128,36 @@ class Page:
             self._stack.pop()
         if tag == "body":  # ends an open head
             self._stack = [x for x in self._stack if x[0] != "head"]
-        label, words = _label(tag, attributes)
+        label, words, skip = _label(tag, attributes)
         parent = self._element()
-        inside = parent >= 0 and self.ranks[parent] >= 3 and not self.skipped[parent]
-        skip = tag in _SKIPPED_TAGS or bool(words & _SKIPPED_WORDS) or (tag == "header" and not self._in_content())
+        if tag in _SKIPPED_TAGS or (tag == "header" and not self._in_content()):
+            skip = _SURELY
         rank = 4 if tag == "article" else 3 if tag == "main" or "main" in words and "role" in attributes else (
             2 if words & _CONTENT_WORDS else 1 if tag == "body" else 0)
-        if tag in ("html", "body"):
-            skip = False
+        if tag in ("html", "body", "main"):
+            skip = 0
         self.paths.append(f"{self.paths[parent]}/{label}" if parent >= 0 else label)
-        self.skipped.append(skip or (parent >= 0 and self.skipped[parent]))
-        self.ranks.append(max(rank, 3 if inside and rank >= 3 else 0))
+        self._named.append(skip)
+        self.ranks.append(rank)
         self.parents.append(parent)
         self._stack.append((tag, len(self.paths) - 1))
 
+    def _skip(self) -> None:
+        """What is skipped: by a sure name; by one word of a name unless an article or half of the text is in it."""
+        for named, parent in zip(self._named, self.parents, strict=True):
+            self.skipped.append(named == _SURELY or (parent >= 0 and self.skipped[parent]))
+        if _BY_THE_WAY not in self._named:
+            return
+        sizes = self.chars()
+        whole = sum(len(t) for e, t in self.blocks if e < 0 or not self.skipped[e])
+        holds = [r >= 3 and not s for r, s in zip(self.ranks, self.skipped, strict=True)]
+        for i in range(len(self.parents) - 1, -1, -1):
+            if holds[i] and self.parents[i] >= 0:
+                holds[self.parents[i]] = True
+        for i, parent in enumerate(self.parents):
+            by_name = self._named[i] == _BY_THE_WAY and not holds[i] and 2 * sizes[i] < whole
+            self.skipped[i] |= by_name or (parent >= 0 and self.skipped[parent])
+
     def _in_content(self) -> bool:
         return any(t in ("article", "main") for t, _ in self._stack)
 
