@@ -9,8 +9,9 @@ sums are equal vectors, and the sums are combined before they are shuffled.
 A class is valid if it has two tokens or more and occurs on enough of the host's
 pages. Elements of valid classes whose parents are in valid classes too nest into the
 host's template. Text blocks that are on every page alike belong to the template;
-what remains are its slots. The slots below the template's content element, without
-those below menus, adverts and the like, are the main text.
+what remains are its slots. The content element is chosen by the text of its slots; all
+text below it, without that below menus, adverts and the like, is the main text. Equal
+pages of a host count once.
 
 A host with fewer than ``LEAST_PAGES`` pages shows no template; its pages are read by
 the names of their elements alone, as is a page that lacks its host's content element.
@@ -31,8 +32,8 @@ from pyspark.sql import functions as F
 from millrace.llm.arrow import arrow_schema
 from millrace.llm.registry import keep
 
-#: Pages from which a host's template is deduced; pages on which texts must agree to be part of it.
-LEAST_PAGES, LEAST_CONSTANT_PAGES = 3, 10
+#: Pages from which a host's template is deduced.
+LEAST_PAGES = 3
 #: Share of a host's pages that a valid class occurs on.
 LEAST_SHARE = 0.5
 
@@ -183,8 +184,8 @@ class Page:
                     element = self.parents[element]
         return out
 
-    def text(self, content: str | None, constants: set[int]) -> str:
-        """Text in the slots below the elements with the path ``content``; None: the page's own best guess."""
+    def text(self, content: str | None) -> str:
+        """Text below the elements with the path ``content``; None: the page's own best guess."""
         inside = [False] * len(self.paths)
         if content is None or content not in self.paths:
             sizes = self.chars()
@@ -198,8 +199,7 @@ class Page:
             inside[i] = self.paths[i] == content or (parent >= 0 and inside[parent])
         for element, text in self.blocks:
             if element >= 0 and inside[element] and not self.skipped[element]:
-                if not constants or text_token(self.path_of(element), text) not in constants:
-                    out.append(text)
+                out.append(text)
         return " ".join(out)
 
 
@@ -230,10 +230,13 @@ def host_of(url: str) -> F.Column:
     return F.coalesce(F.regexp_extract(F.lower(F.trim(url)), pattern, 1), F.lit(""))
 
 
+_TEXT = -2
+
+
 def page_tokens(pages: DataFrame) -> DataFrame:
     """(host, token, path, rank, pages, vector, chars) from (host, html): sums over the pages of a batch.
 
-    path is null for text tokens; token 0 counts the pages themselves.
+    rank is ``_TEXT`` for text tokens; token 0 counts the pages themselves.
     """
     ddl = "host string, token long, path string, rank int, pages long, vector long, chars long"
     schema = arrow_schema(ddl)
@@ -251,7 +254,9 @@ def page_tokens(pages: DataFrame) -> DataFrame:
                     at[0] += 1
                     at[3] += chars
                 for element, text in page.blocks:
-                    counts.setdefault(text_token(page.path_of(element), text), [0, None, 0, 0])[0] += 1
+                    at = counts.setdefault(text_token(page.path_of(element), text), [0, page.path_of(element), _TEXT, 0])
+                    at[0] += 1
+                    at[3] += len(text) if element >= 0 and not page.skipped[element] else 0
                 for token, (count, path, rank, chars) in counts.items():
                     mark = _signed(xxhash.xxh64_intdigest(f"{number}:{count}"))
                     at = sums.setdefault((host, token), [path, rank, 0, 0, 0])
@@ -266,9 +271,10 @@ def page_tokens(pages: DataFrame) -> DataFrame:
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, content, constants): content element and constant texts of every host with enough pages."""
+    """(host, content): the content element of every host with enough different pages."""
+    different = pages.select("host", "html").dropDuplicates(["host", "html"])
     sums = keep(
-        page_tokens(pages).groupBy("host", "token").agg(
+        page_tokens(different).groupBy("host", "token").agg(
             F.min("path").alias("path"), F.max("rank").alias("rank"), F.sum("pages").alias("pages"),
             F.bit_xor("vector").alias("vector"), F.sum("chars").alias("chars")).filter("pages > 1"), "page-tokens")
     hosts = sums.filter(f"token = 0 AND pages >= {LEAST_PAGES}").select(
@@ -276,16 +282,21 @@ def templates(pages: DataFrame) -> DataFrame:
     common = sums.filter("token <> 0").join(hosts, "host").filter(F.col("pages") >= LEAST_SHARE * F.col("all_pages"))
     size = F.count("*").over(Window.partitionBy("host", "vector", "pages"))
     valid = common.withColumn("size", size)
-    elements = valid.filter("path IS NOT NULL AND size > 1").groupBy("host").agg(
-        F.collect_list(F.struct("path", "rank", "chars")).alias("elements"))
-    constants = valid.filter(
-        f"path IS NULL AND pages = all_pages AND vector = root AND all_pages >= {LEAST_CONSTANT_PAGES}"
-    ).groupBy("host").agg(F.collect_list("token").alias("constants"))
+    constant = f"rank = {_TEXT} AND pages = all_pages AND vector = root AND chars > 0"
+    tokens = valid.filter(f"rank > {_TEXT} AND size > 1 OR {constant}").groupBy("host").agg(
+        F.collect_list(F.struct("path", "rank", "chars")).alias("tokens"))
 
     def nest(column: pa.Array) -> pa.Array:
         out = []
-        for elements in column.to_pylist():
-            known = {e["path"] for e in elements or []}
+        for tokens in column.to_pylist():
+            elements = [e for e in tokens if e["rank"] > _TEXT]
+            known = {e["path"] for e in elements}
+            constants: dict[str, int] = {}  # characters of constant text below each path
+            for e in tokens:
+                path = e["path"] if e["rank"] == _TEXT else ""
+                while path:
+                    constants[path] = constants.get(path, 0) + e["chars"]
+                    path = path.rpartition("/")[0]
 
             def nested(path: str) -> bool:
                 while "/" in path:
@@ -295,12 +306,11 @@ def templates(pages: DataFrame) -> DataFrame:
                 return True
 
             out.append(choose([
-                (e["path"], e["rank"], e["chars"]) for e in elements or [] if e["rank"] >= 0 and nested(e["path"])]))
+                (e["path"], e["rank"], e["chars"] - constants.get(e["path"], 0))
+                for e in elements if e["rank"] >= 0 and nested(e["path"])]))
         return pa.array(out, pa.string())
 
-    return elements.join(constants, "host", "left").select(
-        "host", F.arrow_udf(nest, "string")("elements").alias("content"),
-        F.coalesce("constants", F.array().cast("array<long>")).alias("constants"))
+    return tokens.select("host", F.arrow_udf(nest, "string")("tokens").alias("content"))
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -308,19 +318,14 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
 
     Character references are decoded; white space inside a block is one space; blocks are
     joined by one space in page order. Repeated rows give repeated results and count as
-    pages of their own. Templates are joined to pages by host: a table of the hosts.
+    one page. Templates are joined to pages by host: a table of the hosts.
     """
     rows = pages.select(F.col(key), F.col(url), F.col(html).alias("html"), host_of(url).alias("host"))
     known = keep(templates(rows), "templates").withColumnRenamed("host", "of_host")
 
-    def read(html_column: pa.Array, content: pa.Array, constants: pa.Array) -> pa.Array:
-        sets: dict[tuple, set[int]] = {}
-        out = []
-        for text, path, values in zip(html_column.to_pylist(), content.to_pylist(), constants.to_pylist(), strict=True):
-            values = tuple(values or ())
-            known_set = sets.setdefault(values, set(values))
-            out.append(Page(text or "").text(path, known_set))
-        return pa.array(out, pa.string())
+    def read(html_column: pa.Array, content: pa.Array) -> pa.Array:
+        pages = zip(html_column.to_pylist(), content.to_pylist(), strict=True)
+        return pa.array([Page(text or "").text(path) for text, path in pages], pa.string())
 
     joined = rows.join(known, F.col("host") == F.col("of_host"), "left")
-    return joined.select(key, url, F.arrow_udf(read, "string")("html", "content", "constants").alias("text"))
+    return joined.select(key, url, F.arrow_udf(read, "string")("html", "content").alias("text"))

@@ -65,6 +65,23 @@ def test_one_word_of_a_name_skips_no_article(spark, body):
     assert texts(spark, rows) == sorted(((i, text.format(i)) for i in [*range(5), 9]), key=str)
 
 
+@pytest.mark.parametrize("n", [2, 5, 12])
+def test_what_articles_share_stays_at_every_size(spark, n):
+    body = "<main><p>All views are our own.</p><p>own text {n}</p><p>The end.</p></main>"
+    rows = [(i, "http://s.example/", page(body.replace("{n}", str(i)), i)) for i in range(n)]
+    assert texts(spark, rows) == sorted(((i, f"All views are our own. own text {i} The end.") for i in range(n)), key=str)
+    copies = [(i, "http://s.example/", rows[0][2]) for i in range(n)]
+    assert texts(spark, copies) == sorted(((i, "All views are our own. own text 0 The end.") for i in range(n)), key=str)
+
+
+def test_constant_text_outside_the_slots_chooses_nothing(spark):
+    """No name tells: the long text that every page has stands beside the element with the slots."""
+    same = "".join(f"<p>what every page of this host says in its part {i}</p>" for i in range(9))
+    body = "<html><body><table><tr><td>" + same + "</td></tr></table><blockquote><p>own words of page {n}</p><p>and a few more {n}</p></blockquote></body></html>"
+    rows = [(i, "http://o.example/", body.replace("{n}", str(i))) for i in range(4)]
+    assert texts(spark, rows) == [(i, f"own words of page {i} and a few more {i}") for i in range(4)]
+
+
 def test_long_broken_and_no_pages(spark):
     rows = [(1, "http://a/", "<article>" + "<p>x y" * 20_000), (2, "http://a/", "<article><p>cut <a hre"), (3, "http://a/", "<div" * 3000)]
     got = dict(texts(spark, rows))
