@@ -144,14 +144,16 @@ def train(
     """Trees from labelled documents.
 
     Rows without key or label are left out; of several labels of a key the smaller
-    counts. At most ``sample_rows`` keys are used, those with the smallest hash.
+    counts. At most ``sample_rows`` keys are used, those with the smallest hash; of several
+    rows of a key that with the smallest statistics.
     """
     known = labels.filter(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(key).agg(F.min(label).alias("truth"))
     sample = known.orderBy(F.xxhash64(key), key).limit(sample_rows).select(F.col(key).alias("sampled"), "truth")
     texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    chosen = texts.join(F.broadcast(sample), F.col("key") == F.col("sampled")).select("truth", "text")
+    chosen = texts.join(F.broadcast(sample), F.col("key") == F.col("sampled")).select("key", "truth", "text")
     numbers = F.arrow_udf(lambda t: pa.array([statistics(x) for x in _texts(t)], pa.list_(pa.float64())), "array<double>")
-    rows = chosen.select("truth", numbers("text").alias("x")).toPandas()
+    rows = chosen.select("key", "truth", numbers("text").alias("x")).groupBy("key").agg(
+        F.min("truth").alias("truth"), F.min("x").alias("x")).select("truth", "x").toPandas()
     x = np.array(rows["x"].tolist(), float).reshape(-1, len(FEATURES))
     order = np.lexsort(x.T)  # the same trees whatever order the rows arrive in
     return grow(x[order], rows["truth"].to_numpy(float)[order])

@@ -60,6 +60,13 @@ def test_nulls_repeats_and_extra_columns(spark):
     assert classifier.train(docs.limit(0), labels.limit(0)).score(np.zeros((1, len(classifier.FEATURES)))) == 0.5
 
 
+def test_repeated_rows_of_a_key_count_once(spark):
+    rows = [(i, ("good plain words here " * 9) if i % 2 else "x### y*** " * 9) for i in range(60)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    once, often = (classifier.train(spark.createDataFrame(x, "doc_id long, text string"), labels) for x in (rows, rows + rows[:1] * 500))
+    assert once.base == often.base and (once.leaf == often.leaf).all() and (once.split == often.split).all()
+
+
 def test_held_out_documents_are_told_apart(spark):
     folder = "/root/testdata/sf0.1"
     truth = {r.doc_id: r.quality for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
