@@ -46,13 +46,6 @@ def test_a_template_without_telling_names(spark):
         assert text == f"Heading {n} " + " ".join(f"words of page {n} part {i} and so on" for i in range(5))
 
 
-def test_texts_of_every_page_belong_to_the_template(spark):
-    body = "<main><p>All views are the author's own.</p><p>own text {n}</p></main>"
-    rows = [(i, "http://c.example/", page(body.replace("{n}", str(i)), i)) for i in range(12)]
-    assert texts(spark, rows) == sorted(((i, f"own text {i}") for i in range(12)), key=str)
-    assert texts(spark, rows[:5])[0] == (0, "All views are the author's own. own text 0")
-
-
 @pytest.mark.parametrize("body", [
     '<main class="has-sidebar"><p>{}</p><div class="share-buttons">tell</div></main>',
     '<div class="content-sidebar-wrap"><article><p>{}</p><div class="related-posts">more</div></article></div>',
