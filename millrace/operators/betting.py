@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from millrace import schemas
 from millrace.functions.records import first_winner
 from millrace.operators.lookup import PAGE_ROWS, group_lists
-from millrace.operators.ordered import number_rows
+from millrace.operators.ordered import as_of, number_rows
 
 STARTING_VERSION = -1
 
@@ -191,3 +191,8 @@ def odds_of_legs(legs: DataFrame, versions: DataFrame) -> DataFrame:
         "race", "horse", F.lit(STARTING_VERSION).alias("version"), F.col("latest_odds").alias("odds"))
     book = versions.select("race", "horse", "version", "odds").unionByName(starting)
     return legs.withColumn("version", asked).join(book, ["race", "horse", "version"], "left").drop("version")
+
+
+def odds_as_of(legs: DataFrame, versions: DataFrame, keys: list[str], placed: str, since: str, odds: str = "odds") -> DataFrame:
+    """The legs with the odds that held when they were placed; NULL before the first odds."""
+    return as_of(legs, versions, keys, placed, since, [odds])

@@ -125,6 +125,51 @@ def running_total(df: DataFrame, keys: list[str], order: list, value: str) -> Da
     )
 
 
+def carry_last(df: DataFrame, keys: list[str], order: list, value: str, name: str) -> DataFrame:
+    """Add ``name``: the last ``value`` that is not NULL, up to and with this row, of the same keys.
+
+    Found within a partition of the total order. A key that goes on into the next
+    partition is the last of its own, so there are fewer of them than partitions: the
+    value each of them ends with in a partition is carried on from a table of that size.
+    """
+    placed = _placed(df, [*keys, *order])
+    so_far = Window.partitionBy("_part", *keys).orderBy("_index").rowsBetween(Window.unboundedPreceding, 0)
+    local = placed.withColumn("_local", F.last(value, ignorenulls=True).over(so_far))
+    borders = placed.groupBy("_part").agg(F.max_by(F.struct(*keys), "_index").alias("_last"))
+    last = borders.select(*[F.col("_last")[k].alias(f"_k_{k}") for k in keys]).distinct()
+    same_key: Column = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys])
+    pieces = placed.join(F.broadcast(last), same_key).groupBy("_part", *[f"_k_{k}" for k in keys]).agg(
+        F.max_by(value, F.when(F.col(value).isNotNull(), F.col("_index"))).alias("_end"))
+    earlier = Window.partitionBy(*[f"_k_{k}" for k in keys]).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = pieces.select(
+        F.col("_part").alias("_p"), *[f"_k_{k}" for k in keys], F.last("_end", ignorenulls=True).over(earlier).alias("_carried"))
+    return (
+        local.join(F.broadcast(carried), same_key & (F.col("_part") == F.col("_p")), "left")
+        .withColumn(name, F.coalesce("_local", "_carried"))
+        .select(*df.columns, name)
+    )
+
+
+def as_of(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str,
+          columns: list[str]) -> DataFrame:
+    """The rows of ``left`` with ``columns`` of the last row of ``right`` that has the same
+    keys and is not later; NULL where there is none.
+
+    Both sides lie in one total order, so a key of any size is spread over tasks. Of
+    equal times the row with the largest ``columns`` is the last. NULL keys and times
+    match nothing.
+    """
+    known = right.where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in [*keys, right_time]]))
+    facts = known.select(
+        *keys, F.col(right_time).alias("_time"), F.lit(0).alias("_side"), F.struct(*columns).alias("_fact"),
+        F.lit(None).cast(left.schema).alias("_row"))
+    asked = left.select(
+        *keys, F.col(left_time).alias("_time"), F.lit(1).alias("_side"),
+        F.lit(None).cast(facts.schema["_fact"].dataType).alias("_fact"), F.struct(*left.columns).alias("_row"))
+    met = carry_last(facts.unionByName(asked), keys, ["_time", "_side", "_fact"], "_fact", "_found")
+    return met.where("_side = 1").select("_row.*", *[F.col("_found")[c].alias(c) for c in columns])
+
+
 CUT_BUCKETS = 200
 
 

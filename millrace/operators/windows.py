@@ -11,6 +11,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from millrace.operators import ordered
+
 
 def pane_sums(df: DataFrame, key: str, time_ms: str, value: str, slide_ms: int) -> DataFrame:
     """Sum and count per key and pane (``floor(time / slide)``)."""
@@ -162,3 +164,35 @@ def downsample(df: DataFrame, keys: list[str], time: str, interval: str, ties: l
         df.groupBy(*keys, F.window(time, interval).alias("_slot"))
         .agg(first.alias("_first")).select(*keys, "_first.*")
     )
+
+
+def let_through(df: DataFrame, keys: list[str], time: str, interval_ms: int, ties: list[str]) -> DataFrame:
+    """The rows that a rate limit lets through: the first per key, and then each time
+    the first that lies at least ``interval_ms`` after the last one let through.
+
+    Every row points to the first row of its key an interval later, found in one total
+    order of rows and of the times asked for. The rows let through are those that the
+    pointers reach from the first one: pointers over 2, 4, 8 ... steps are made by
+    joining them with themselves, and the marks then spread in steps of halving size,
+    so that the rounds grow with the logarithm of the longest chain and no key is
+    walked in one task. Equal times go by ``ties``. Rows without a time are left out.
+    """
+    placed = ordered.number_rows(
+        df.where(F.col(time).isNotNull()).withColumn("_all", F.lit(0)), ["_all", *keys, time, *ties], "_number")
+    groups = ["_all", *keys]
+    rows = placed.select(*groups, F.unix_micros(F.col(time).cast("timestamp")).alias("_us"), "_number")
+    none = F.lit(None).cast("long")
+    asked = rows.select(*groups, (F.col("_us") + interval_ms * 1000).alias("_us"), F.lit(1).alias("_side"),
+                        none.alias("_number"), F.col("_number").alias("_from"))
+    there = rows.select(*groups, "_us", F.lit(0).alias("_side"), "_number", none.alias("_from"))
+    # From the last time to the first, so that the row carried on is the first one not earlier.
+    backwards = [F.col("_us").desc(), "_side", F.col("_number").desc()]
+    found = ordered.carry_last(there.union(asked), groups, backwards, "_number", "_to")
+    steps = [found.where("_side = 1 AND _to IS NOT NULL").select("_from", "_to").checkpoint()]
+    while not steps[-1].isEmpty():
+        onwards = steps[-1].select(F.col("_from").alias("_to"), F.col("_to").alias("_next"))
+        steps.append(steps[-1].join(onwards, "_to").select("_from", F.col("_next").alias("_to")).checkpoint())
+    through = rows.groupBy(*groups).agg(F.min("_number").alias("_from")).select("_from")
+    for step in reversed(steps[:-1]):
+        through = through.union(through.join(step, "_from").select("_to")).checkpoint()
+    return placed.join(through.withColumnRenamed("_from", "_number"), "_number", "left_semi").select(*df.columns)

@@ -202,6 +202,23 @@ def odds_at_bet(spark, sf_dir):
         F.round("odds", 2).alias("odds"))
 
 
+@query("odds_as_of", """
+WITH prices AS (SELECT l_suppkey AS race, l_shipdate AS since, max(1 + l_discount) AS odds FROM lineitem GROUP BY ALL),
+placed AS (
+  SELECT l_orderkey AS bet, l_linenumber AS line, l_suppkey AS race, o_orderdate + INTERVAL 30 DAY AS placed
+  FROM lineitem JOIN orders ON o_orderkey = l_orderkey)
+SELECT bet, line, p.race, round(v.odds, 2) AS odds FROM placed p ASOF LEFT JOIN prices v ON p.race = v.race AND p.placed >= v.since""")
+def odds_as_of(spark, sf_dir):
+    """Odds of a race as they stood when a leg was placed."""
+    items = load(spark, sf_dir, "lineitem")
+    prices = items.groupBy(F.col("l_suppkey").alias("race"), F.col("l_shipdate").alias("since")).agg(
+        F.max(1 + F.col("l_discount")).alias("odds"))
+    orders = load(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderdate") + F.expr("INTERVAL 30 DAY")).alias("placed"))
+    placed = items.join(orders, F.col("o_orderkey") == F.col("l_orderkey")).select(
+        F.col("l_orderkey").alias("bet"), F.col("l_linenumber").alias("line"), F.col("l_suppkey").alias("race"), "placed")
+    return betting.odds_as_of(placed, prices, ["race"], "placed", "since").select("bet", "line", "race", F.round("odds", 2).alias("odds"))
+
+
 @query("leg_dimensions", """
 SELECT l_orderkey AS bet, l_linenumber AS line, p_name AS horse_name, s_name AS race_name, l_quantity AS stake
 FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey""")

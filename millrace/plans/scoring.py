@@ -91,16 +91,21 @@ def embedding_class(spark, sf_dir):
         "vec_id", "label", F.col("predicted").cast("int").alias("predicted"), F.round("distance", 6).alias("distance"))
 
 
+#: Images packed into one file: a file each would be far more files than data.
+IMAGES_PER_FILE = 10_000
+
+
 @query("image_class", f"SELECT vec_id, predicted FROM ({CLASS_SQL})")
 def image_class(spark, sf_dir):
-    """Vectors as image files, one each; their content is read back and classified."""
+    """Vectors as image files, several in each; their content is read back and classified."""
     place = session.scratch_path(spark, "images")
     vectors = load(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.col("label").cast("long").alias("label"))
-    pixels = F.array_join(F.col("embedding").cast("array<string>"), " ").alias("value")
-    vectors.select(pixels, "vec_id").write.partitionBy("vec_id").text(place)
-    images = files.images(spark, place, "part-*").select(
-        F.col("vec_id").cast("long").alias("vec_id"),
-        F.split(F.trim(F.translate(F.col("content").cast("string"), "\n", "")), " ").cast("array<float>").alias("embedding"))
+    pixels = F.concat_ws(" ", F.col("vec_id").cast("string"), F.array_join(F.col("embedding").cast("array<string>"), " "))
+    vectors.select(pixels.alias("value")).write.option("maxRecordsPerFile", IMAGES_PER_FILE).text(place)
+    packed = files.images(spark, place, "part-*").select(F.explode(F.split(F.col("content").cast("string"), "\n")).alias("image"))
+    parts = F.split("image", " ")
+    images = packed.where("image <> ''").select(
+        parts[0].cast("long").alias("vec_id"), F.slice(parts, 2, F.size(parts) - 1).cast("array<float>").alias("embedding"))
     nearest = scoring.nearest_class(images, "vec_id", "embedding", scoring.class_centroids(vectors, "embedding", "label"))
     return nearest.select("vec_id", F.col("predicted").cast("int").alias("predicted"))
 

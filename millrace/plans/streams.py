@@ -10,7 +10,7 @@ from millrace.plans import query
 from millrace.plans import changes as change_plans
 from millrace.plans import prices as price_plans
 from millrace.plans import tracks, traffic
-from millrace.sinks import keyed, output
+from millrace.sinks import dimension, keyed, output
 from millrace.sources import files
 from millrace.sources.tables import load
 from millrace.streaming import numbering, run
@@ -39,7 +39,8 @@ def in_slices(spark, sf_dir, name, order, place, process, slices=SLICES):
 
 def count_slices(spark, sf_dir, place, process):
     """Car counts land as CSV files in order of time, as the traffic stream reads them."""
-    counts = traffic.counts(spark, sf_dir).checkpoint() if session.checkpoint_dir(spark) else None
+    session.checkpoint_dir(spark)
+    counts = traffic.counts(spark, sf_dir).checkpoint()
     low, high = counts.agg(F.min(epoch_ms(F.col("time"))), F.max(epoch_ms(F.col("time")))).first()
     part = F.least(F.floor((epoch_ms(F.col("time")) - low) * SLICES / max(1, high - low)), F.lit(SLICES - 1))
     line = F.concat_ws(",", F.date_format("time", "yyyy-MM-dd'T'HH:mm"), "location", F.col("count").cast("string"))
@@ -241,8 +242,23 @@ def stream_gps_lines(spark, sf_dir):
         run.run_through(track, numbering.numbered(write, f"{place}/counts", ["event_id"], "input_point"), f"{place}/checkpoint")
 
     in_slices(spark, sf_dir, "events", "event_id", place, process)
-    return spark.read.option("recursiveFileLookup", False).text(f"{place}/lines").select(
-        F.col("window").cast("string").alias("window"), F.col("value").alias("line"))
+    return output.read_windowed_lines(spark, f"{place}/lines").select("window", "line")
+
+
+@query("stream_horse_ids", f"""
+WITH slices AS (
+  SELECT p_name || ' ' || p_brand AS horse_name, least((p_partkey - low) * {SLICES} // greatest(1, high - low), {SLICES - 1}) AS part
+  FROM part, (SELECT min(p_partkey) AS low, max(p_partkey) AS high FROM part)),
+firsts AS (SELECT horse_name, min(part) AS part, count(*) AS entries FROM slices GROUP BY 1)
+SELECT horse_name, row_number() OVER (ORDER BY part, horse_name) AS horse, entries FROM firsts""")
+def stream_horse_ids(spark, sf_dir):
+    """Names arrive in slices; those met before keep their ids, new ones get the next."""
+    place = session.scratch_path(spark, "horses")
+    name = F.concat_ws(" ", "p_name", "p_brand").alias("horse_name")
+    in_slices(spark, sf_dir, "part", "p_partkey", place, lambda parts: run.run_through(
+        parts.select(name), dimension.find_or_create(f"{place}/ids", "horse_name"), f"{place}/checkpoint"))
+    rows = dimension.resolve(load(spark, sf_dir, "part").select(name), f"{place}/ids", "horse_name", "horse")
+    return rows.groupBy("horse_name", "horse").agg(F.count("*").alias("entries"))
 
 
 CLOSED = "epoch_us(ts) // {us} * {us} + {us} <= (SELECT max(epoch_us(ts)) - 1000000 FROM events) // 1000 * 1000"

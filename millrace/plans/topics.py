@@ -163,3 +163,15 @@ def topic_sentiment(spark, sf_dir):
     scores = document_scores(tagged, ["doc_id", "topics"])
     return scores.select(F.explode("topics").alias("topic"), "score").groupBy("topic").agg(
         F.round(F.avg("score"), 8).alias("avg_score"), F.count("*").alias("mentions"))
+
+
+@query("marker_texts", """
+WITH markers AS (
+  SELECT DISTINCT lower(w) AS marker FROM (SELECT unnest(string_split_regex(text, '[^A-Za-z]+')) AS w FROM benchmark) WHERE strlen(w) >= 6)
+SELECT marker, count(*) AS texts, min(doc_id) AS first_text
+FROM documents JOIN markers ON contains(lower(text), marker) GROUP BY marker""")
+def marker_texts(spark, sf_dir):
+    """Markers from a table, all looked for in one pass: texts that contain a long word of the benchmark."""
+    words = load(spark, sf_dir, "benchmark").select(F.explode(F.split("text", "[^A-Za-z]+")).alias("word")).where("length(word) >= 6")
+    found = topics.contained(load(spark, sf_dir, "documents"), "doc_id", "text", words, "word")
+    return found.groupBy("marker").agg(F.count("*").alias("texts"), F.min("doc_id").alias("first_text"))

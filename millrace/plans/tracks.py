@@ -69,6 +69,34 @@ def downsample_all(spark, sf_dir):
     return windows.downsample(events, [], "ts", "10 minutes", ["event_id"]).drop("ts")
 
 
+def _through_sql(keys: str, interval_us: int) -> str:
+    """Row by row: from each row let through to the first one an interval later."""
+    own = f"{keys}, " if keys else ""
+    same = f"e.{keys} = w.{keys} AND " if keys else ""
+    group = f"w.{keys}" if keys else "w.step"
+    return f"""
+WITH RECURSIVE rows AS (SELECT *, epoch_us(ts) AS us FROM events),
+walk AS (
+  SELECT {own}0 AS step, min(us) AS us, arg_min(event_id, (us, event_id)) AS event_id FROM rows {"GROUP BY " + keys if keys else ""}
+  UNION ALL
+  SELECT {"w." + own if keys else ""}min(w.step) + 1, min(e.us), arg_min(e.event_id, (e.us, e.event_id))
+  FROM walk w JOIN rows e ON {same}e.us >= w.us + {interval_us} GROUP BY {group})
+SELECT {own}event_id FROM walk"""
+
+
+@query("rate_limited", _through_sql("user_id", 6 * 3_600_000_000))
+def rate_limited(spark, sf_dir):
+    """Per user an event at most every six hours, counted from the last one let through."""
+    events = load(spark, sf_dir, "events").select("user_id", "event_id", "ts")
+    return windows.let_through(events, ["user_id"], "ts", 6 * 3_600_000, ["event_id"]).select("user_id", "event_id")
+
+
+@query("rate_limited_all", _through_sql("", 600_000_000))
+def rate_limited_all(spark, sf_dir):
+    events = load(spark, sf_dir, "events").select("event_id", "ts")
+    return windows.let_through(events, [], "ts", 600_000, ["event_id"]).select("event_id")
+
+
 @query("tumbling_best", """
 SELECT (epoch_us(ts) // 1000000 + 1) * 1000 AS window_end_ms,
   arg_max(event_id, (value, -event_id)) AS event_id, max(value) AS score,

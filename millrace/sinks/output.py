@@ -6,7 +6,7 @@ import logging
 from collections.abc import Callable, Iterable
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Row, functions as F
+from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F
 
 from millrace.sinks.keyed import BatchWriter
 
@@ -26,19 +26,31 @@ def line_files(path: str, line: str = "line", shards: int | None = None) -> Batc
     return write
 
 
-def windowed_line_files(path: str, line: str, window_start: Column) -> BatchWriter:
-    """Text files per batch and window. Rows of a window are put together, and spread
-    again over as many tasks as their size asks for."""
+def windowed_line_files(path: str, line: str, window_start: Column, shards: int | None = None) -> BatchWriter:
+    """Text files per batch, each of a range of windows; a line is its window, a tab and the text.
+
+    The number of files follows the bytes, or ``shards``, and not the number of windows:
+    fine windows would make a folder each. Lines of a window lie together, but a window
+    of any size may go on in the next file.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        rows = batch.select(F.col(line).alias("value"), window_start.cast("string").alias("window"))
-        # A rebalancing shuffle splits a partition by its measured bytes.
-        (rows.hint("rebalance", "window").write.mode("overwrite")
-         .partitionBy("window").text(f"{path}/batch={batch_id}"))
+        rows = batch.select(window_start.cast("string").alias("window"), F.col(line).alias("line"))
+        order = ["window", "line"]
+        spread = rows.repartitionByRange(*order) if shards is None else rows.repartitionByRange(shards, *order)
+        lines = spread.sortWithinPartitions(*order).select(F.concat_ws("\t", "window", "line").alias("value"))
+        lines.write.mode("overwrite").text(f"{path}/batch={batch_id}")
 
     return write
 
 
+def read_windowed_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(window, line) of all batches of ``windowed_line_files``."""
+    cut = F.instr("value", "\t")
+    return spark.read.text(path).select(
+        F.substring("value", 1, cut - 1).alias("window"), F.substr("value", cut + 1).alias("line"))
+
+
 def log_rows(df: DataFrame, line: str, logger: str = "millrace") -> None:
     """Log a formatted column where the rows are, as the workers' log."""
 

@@ -167,8 +167,9 @@ def test_fan_out_computes_a_batch_for_all_writers(spark, tmp_path):
     output.fan_out(output.line_files(f"{tmp_path}/plain", "line", shards=1),
                    output.windowed_line_files(f"{tmp_path}/windowed", "line", start))(lines, 0)
     assert spark.read.text(f"{tmp_path}/plain").select("value").count() == 2
-    folders = [d for d in os.listdir(f"{tmp_path}/windowed/batch=0") if d.startswith("window=")]
-    assert len(folders) == 2
+    rows = output.read_windowed_lines(spark, f"{tmp_path}/windowed").select("window", "line").collect()
+    assert {r.window for r in rows} == {"1970-01-01 00:00:00", "1970-01-01 00:00:09"}
+    assert sorted(r.line for r in rows) == sorted(r.line for r in lines.select("line").collect())
 
 
 def test_publish_sends_each_line_once(spark, tmp_path):
