@@ -18,6 +18,10 @@ cut there, and each distinct word of a batch is encoded once and remembered.
 from __future__ import annotations
 
 import functools
+import itertools
+import json
+import os
+import re
 from collections.abc import Callable, Iterator
 from zlib import crc32
 
@@ -74,45 +78,98 @@ def unpack(control: np.ndarray, data: np.ndarray, count: int) -> np.ndarray:
     return numbers
 
 
+_LETTERS = re.compile("[A-Za-z]+").fullmatch
+
+
+def _parts(step: dict | None) -> list[dict]:
+    """The steps of a sequence, or the one step."""
+    step = step or {"type": "none"}
+    return step.get("normalizers") or step.get("pretokenizers") or [step]
+
+
+def id_type(tokenizer: Tokenizer) -> np.dtype:
+    """The unsigned type that holds every id of a tokenizer."""
+    return np.dtype("<u2" if max(tokenizer.get_vocab().values()) < 1 << 16 else "<u4")
+
+
 class Encoder:
     """Ids of texts by a tokenizer file (its JSON text), with a bounded memory of words."""
 
     def __init__(self, text: str):
+        # One thread: Spark gives the worker one core.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_str(text)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self._known: dict[str, bytes] = {}
-        self._before: dict[str, bytes] = {}
-
-    def _ids(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-
-    def _look_up(self, words: list[str]) -> list[bytes]:
-        if len(self._known) > REMEMBERED_WORDS:
-            self._before, self._known = self._known, {}
-        known, before = self._known, self._before
-        found = [known.get(w) for w in words]
-        missing = [i for i, x in enumerate(found) if x is None]
-        for i in missing:
-            found[i] = before.get(words[i])
-        new = [i for i in missing if found[i] is None]
-        for i, ids in zip(new, self._ids([words[i] for i in new]), strict=True):
-            found[i] = ids
-        known.update((words[i], found[i]) for i in missing if len(words[i]) <= LONGEST_WORD)
-        return found
+        self.dtype = id_type(self.tokenizer)
+        spec = json.loads(text)
+        steps = [x["type"] for n in ("normalizer", "pre_tokenizer") for x in _parts(spec[n])]
+        cuts = [x["pattern"].get("Regex", "") for x in _parts(spec["pre_tokenizer"]) if x["type"] == "Split"]
+        # Only then is a word of ASCII letters one piece, and its small letters are what the model sees.
+        self._direct = steps == ["NFC", "Replace", "Lowercase", "Split", "ByteLevel"] and r"[\p{L}]+" in cuts[0].split("|") \
+            and not any(_LETTERS(x["content"]) for x in spec["added_tokens"])
+        self._know({}, np.zeros(1, np.int64), np.zeros(0, self.dtype))
+
+    def _know(self, place: dict[str, int], borders: np.ndarray, ids: np.ndarray) -> None:
+        """Know these words only; ids of place i lie between borders i and i + 1."""
+        self._place, self._borders, self._ids = place, borders, ids
+        self._met = np.zeros(len(borders) - 1, np.int32)  # batches that had the word
+
+    def _shrink(self) -> None:
+        """Keep the words that more than one batch had, if those are not too many."""
+        again = [(w, i) for w, i in self._place.items() if self._met[i] > 1]
+        again = again if len(again) <= REMEMBERED_WORDS // 2 else []
+        lists = pa.LargeListArray.from_arrays(self._borders, self._ids).take(pa.array([i for _, i in again], pa.int64()))
+        sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+        self._know({w: i for i, (w, _) in enumerate(again)}, np.r_[0, np.cumsum(sizes)].astype(np.int64),
+                   lists.flatten().to_numpy(zero_copy_only=False))
+
+    def _learn(self, words: list[str]) -> tuple[np.ndarray, list[int]]:
+        """Sizes and ids of words, by the library."""
+        sizes, ids, other = np.zeros(len(words), np.int64), [], []
+        model = self.tokenizer.model
+        for i, word in enumerate(words):
+            if self._direct and _LETTERS(word):
+                tokens = [t.id for t in model.tokenize(word.lower())]
+                sizes[i] = len(tokens)
+                ids.append(tokens)
+            else:
+                other.append(i)
+                ids.append(None)
+        for at in range(0, len(other), 5_000):
+            part = other[at : at + 5_000]
+            e = self.tokenizer.encode([words[i] for i in part], is_pretokenized=True, add_special_tokens=False)
+            each = np.bincount(np.array(e.word_ids, np.int64), minlength=len(part))
+            sizes[part], flat, end = each, e.ids, 0
+            for i, n in zip(part, each.tolist(), strict=True):
+                ids[i], end = flat[end : end + n], end + n
+        return sizes, list(itertools.chain.from_iterable(ids))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and how many each text has. Null: none."""
         chunks = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
-        words = chunks.flatten().dictionary_encode()
-        found = self._look_up(words.dictionary.to_pylist())
-        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        ids, of_word = np.frombuffer(b"".join(found), "<u4"), words.indices.to_numpy(zero_copy_only=False)
-        each = sizes[of_word]
-        ends = np.cumsum(each)
-        at = np.repeat((np.cumsum(sizes) - sizes)[of_word] - (ends - each), each) + np.arange(ends[-1] if len(ends) else 0)
+        distinct = chunks.flatten().dictionary_encode()
+        words = distinct.dictionary.to_pylist()
+        if len(self._place) > REMEMBERED_WORDS:
+            self._shrink()
+        # A new word's place is behind the known ones; the places of words met again stay empty.
+        known = len(self._met)
+        at = np.fromiter(map(self._place.setdefault, words, range(known, known + len(words))), np.int64, len(words))
+        new = np.flatnonzero(at >= known)
+        sizes = np.zeros(len(words), np.int64)
+        sizes[new], ids = self._learn([words[i] for i in new.tolist()])
+        self._borders = np.r_[self._borders, self._borders[-1] + np.cumsum(sizes)]
+        self._ids = np.r_[self._ids, np.array(ids, self.dtype)]
+        self._met = np.r_[self._met, np.zeros(len(words), np.int32)]
+        self._met[at] += 1
+        by_word = pa.LargeListArray.from_arrays(self._borders, self._ids).take(pa.array(at))
+        by_chunk = by_word.take(distinct.indices)
+        ends = np.r_[0, np.cumsum(pc.list_value_length(by_chunk).to_numpy(zero_copy_only=False))]
         borders = np.cumsum(pc.list_value_length(chunks).to_numpy(zero_copy_only=False))
-        return ids[at], np.diff(np.r_[0, np.r_[0, ends][borders]])
+        for i in new.tolist():
+            if len(words[i]) > LONGEST_WORD:
+                del self._place[words[i]]
+        return by_chunk.flatten().to_numpy(zero_copy_only=False), np.diff(np.r_[0, ends[borders]])
 
 
 @functools.lru_cache(maxsize=2)
@@ -132,9 +189,8 @@ def _runs(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
 
 
 def encode(docs: DataFrame, vocabulary: str, end: int, key: str, text: str) -> DataFrame:
-    """(key, row, n, ids): the little-endian ids of every text, an end id behind them. ``vocabulary``: a file's path."""
-    with open(vocabulary, encoding="utf-8") as file:  # of fixed size, as the driver sees it
-        sent = docs.sparkSession.sparkContext.broadcast(file.read())
+    """(key, row, n, ids): the ids of every text as bytes of ``id_type``, an end id behind them."""
+    sent = docs.sparkSession.sparkContext.broadcast(vocabulary)  # of fixed size
     ddl = "key long, row long, n long, ids binary"
     schema = arrow_schema(ddl)
 
@@ -144,10 +200,10 @@ def encode(docs: DataFrame, vocabulary: str, end: int, key: str, text: str) -> D
             for batch in _runs(whole, 2):
                 flat, counts = encoder.encode(batch.column(2))
                 ends = np.cumsum(counts)
-                flat = np.insert(flat, ends, end).astype("<u4")
+                flat = np.insert(flat, ends, encoder.dtype.type(end))
                 ends = ends + np.arange(1, len(ends) + 1)
-                ids = pa.Array.from_buffers(
-                    pa.binary(), len(counts), [None, pa.py_buffer((4 * np.r_[0, ends]).astype(np.int32)), pa.py_buffer(flat)])
+                starts = (flat.itemsize * np.r_[0, ends]).astype(np.int32)
+                ids = pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(starts), pa.py_buffer(flat)])
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), batch.column(1), pa.array(counts + 1), ids], schema=schema)
 
@@ -156,12 +212,7 @@ def encode(docs: DataFrame, vocabulary: str, end: int, key: str, text: str) -> D
     ).mapInArrow(run, ddl)
 
 
-def _flat(column: pa.Array) -> np.ndarray:
-    """The ids of all rows of a column, one after another."""
-    return np.frombuffer(b"".join(column.to_pylist()), "<u4")
-
-
-def frequencies(tokens: DataFrame) -> DataFrame:
+def frequencies(tokens: DataFrame, dtype: np.dtype) -> DataFrame:
     """(id, count) of every id that occurs."""
     schema = arrow_schema("id long, count long")
 
@@ -169,7 +220,7 @@ def frequencies(tokens: DataFrame) -> DataFrame:
         counts = np.zeros(0, np.int64)
         for batch in batches:
             for part in _runs(batch, 0):
-                now = np.bincount(_flat(part.column(0)), minlength=len(counts))
+                now = np.bincount(np.frombuffer(b"".join(part.column(0).to_pylist()), dtype), minlength=len(counts))
                 now[: len(counts)] += counts
                 counts = now
         ids = np.flatnonzero(counts)
@@ -178,16 +229,16 @@ def frequencies(tokens: DataFrame) -> DataFrame:
     return tokens.select("ids").mapInArrow(run, "id long, count long").groupBy("id").agg(F.sum("count").alias("count"))
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], rank: np.ndarray, block_ids: int) -> Iterator[bytes]:
+def _blocks(batches: Iterator[pa.RecordBatch], rank: np.ndarray, dtype: np.dtype, block_ids: int) -> Iterator[bytes]:
     """Blocks of (key, ids) rows in their order."""
     keys, ids, size, number = [], [], 0, 0
 
     def block() -> bytes:
-        flat = np.frombuffer(b"".join(ids), "<u4")
+        flat = np.frombuffer(b"".join(ids), dtype)
         control, data = pack(rank[flat])
         known = np.array([k is not None for k in keys], np.uint8)
         named = np.array([0 if k is None else k for k in keys], "<i8")
-        counts = np.array([len(x) // 4 for x in ids], "<u8")
+        counts = np.array([len(x) // dtype.itemsize for x in ids], "<u8")
         body = b"".join(x.tobytes() for x in (named, counts, known, control, data))
         head = (MAGIC, TaskContext.get().partitionId(), number, len(keys), len(flat), len(data), crc32(body))
         return np.array(head, "<u8").tobytes() + body
@@ -196,7 +247,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], rank: np.ndarray, block_ids: int)
         for k, x in zip(batch.column("key").to_pylist(), batch.column("ids").to_pylist(), strict=True):
             keys.append(k)
             ids.append(x)
-            size += len(x) // 4
+            size += len(x) // dtype.itemsize
             if size >= block_ids:
                 yield block()
                 keys, ids, size, number = [], [], 0, number + 1
@@ -215,17 +266,20 @@ def write(
     every block, start being the number of ids before it.
 
     Null texts are empty texts: their end id only. Null keys come first; equal keys go by
-    number and checksum of their ids; repeated rows are documents of their own. An empty
+    number and checksum of their ids (as stored); repeated rows are documents of their own. An empty
     table gives files without blocks. Other columns are not read. A text may have any
     length up to what fits a row.
     """
     spark = docs.sparkSession
     path = session.scratch_path(spark, "tokens")
-    coded = encode(docs, vocabulary, end, key, text)
+    with open(vocabulary, encoding="utf-8") as file:
+        spec = file.read()
+    dtype = id_type(Tokenizer.from_str(spec))
+    coded = encode(docs, spec, end, key, text)
     coded.write.option("compression", "zstd").parquet(path)
     tokens = spark.read.schema(coded.schema).parquet(path)
 
-    counted = frequencies(tokens).toPandas().sort_values(["count", "id"], ascending=[False, True])  # the vocabulary at most
+    counted = frequencies(tokens, dtype).toPandas().sort_values(["count", "id"], ascending=[False, True])  # the vocabulary at most
     ids = counted["id"].to_numpy(np.int64)
     spark.createDataFrame(pa.table({
         "number": np.arange(len(ids)), "id": ids, "count": counted["count"].to_numpy(np.int64)})).coalesce(1).write.parquet(f"{folder}/ranking")
@@ -235,7 +289,7 @@ def write(
     schema = arrow_schema("block binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in _blocks(batches, sent.value, block_ids):
+        for block in _blocks(batches, sent.value, dtype, block_ids):
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.binary())], schema=schema)
 
     order = ["key", "n", F.crc32("ids"), "row"]  # the row splits the copies of one document

@@ -26,7 +26,7 @@ def library():
 def plainly(library, rows):
     """(doc_id, start, ids) in the order of the files."""
     ids = [(k, library.encode(x or "", add_special_tokens=False).ids + [1]) for k, x in rows]
-    ids = sorted(ids, key=lambda r: (r[0] is not None, r[0] or 0, len(r[1]), crc32(np.array(r[1], "<u4").tobytes())))
+    ids = sorted(ids, key=lambda r: (r[0] is not None, r[0] or 0, len(r[1]), crc32(np.array(r[1], "<u2").tobytes())))
     starts = np.cumsum([0] + [len(x) for _, x in ids]).tolist()
     return [(k, s, x) for (k, x), s in zip(ids, starts)]
 
@@ -111,7 +111,7 @@ def test_words_are_forgotten_and_learnt_again(library, monkeypatch):
         flat, counts = encoder.encode(pa.array(texts))
         expected = [library.encode(x, add_special_tokens=False).ids for x in texts]
         assert [x.tolist() for x in np.split(flat, np.cumsum(counts)[:-1])] == expected
-        assert len(encoder._known) <= 20 + 10 * 3
+        assert len(encoder._place) <= 20 + 10 * 3
 
 
 def test_query_on_a_whole_table(spark, library):
