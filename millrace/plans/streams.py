@@ -13,7 +13,7 @@ from millrace.plans import tracks, traffic
 from millrace.sinks import dimension, keyed, output
 from millrace.sources import files
 from millrace.sources.tables import load
-from millrace.streaming import numbering, run
+from millrace.streaming import numbering, run, state
 from millrace.streaming import windows as stream_windows
 
 SLIDE = schemas.WINDOW_SLIDE_MS
@@ -22,6 +22,9 @@ LATE_MS = 86_400_000
 
 SLICES = 3
 
+#: Processing time from a pane's first row to its firing.
+EARLY_MS = 300
+
 
 def in_slices(spark, sf_dir, name, order, place, process, slices=SLICES):
     """Land a table in ``slices`` parts by the ``order`` column, one write after another.
@@ -195,21 +198,47 @@ def stream_price_history(spark, sf_dir):
 
 @query("stream_price_changes", price_plans.CHANGES_SQL)
 def stream_price_changes(spark, sf_dir):
-    """Notices of each batch, told apart by the keys stored before it."""
+    """Notices of each change; the state of its key tells whether it is the first."""
     place = session.scratch_path(spark, "notices")
-    store = keyed.upsert(f"{place}/latest", ["metal"], ["event_id"])
-    write = keyed.append_batch(f"{place}/lines")
 
-    def notify(batch, batch_id):
+    def process(events):
+        lines = state.notices(priced(events), "precious", "metal", "price", "event_id").select("event_id", "line")
+        run.run_through(lines, keyed.append_batch(f"{place}/lines"), f"{place}/checkpoint")
+
+    in_slices(spark, sf_dir, "events", "event_id", place, process)
+    return keyed.read_batches(spark, f"{place}/lines").drop("batch")
+
+
+@query("stream_early_panes", """
+SELECT event_type AS kind, strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, count(*) AS rows, round(sum(value), 6) AS total
+FROM events GROUP BY ALL""")
+def stream_early_panes(spark, sf_dir):
+    """Days fire early and again while their events come in, each time with what is new;
+    the firings add up to the whole."""
+    place = session.scratch_path(spark, "early")
+    store, fired = keyed.append_batch(f"{place}/out"), {}
+
+    def write(batch, batch_id):
         batch.persist()
-        known = keyed.read_before(spark, f"{place}/latest", batch_id)
-        write(prices.change_notices(batch, "precious", "metal", "price", "event_id", known).select("event_id", "line"), batch_id)
-        store(batch, batch_id)
+        rows = batch.agg(F.sum("rows")).first()[0] or 0
+        if rows:
+            store(batch, batch_id)
         batch.unpersist()
+        fired[batch_id] = rows
 
-    in_slices(spark, sf_dir, "events", "event_id", place,
-              lambda events: run.run_through(priced(events), notify, f"{place}/checkpoint"))
-    return keyed.read_batches(spark, f"{place}/lines").drop("batch")
+    def process(events):
+        days = events.select(F.col("event_type").alias("kind"), F.date_format("ts", "yyyy-MM-dd").alias("day"), "value")
+        landed = spark.read.parquet(f"{place}/landed").count()
+        panes = state.early_panes(days, ["kind", "day"], "value", EARLY_MS)
+        query = run.start(panes, write, f"{place}/checkpoint", every="200 milliseconds")
+        # It would go on for ever, looking at its timers: stop once all that has landed was given out.
+        while sum(fired.values()) < landed and not query.awaitTermination(0.2):
+            pass
+        query.stop()
+
+    in_slices(spark, sf_dir, "events", "event_id", place, process)
+    return keyed.read_batches(spark, f"{place}/out").groupBy("kind", "day").agg(
+        F.sum("rows").alias("rows"), F.round(F.sum("total"), 6).alias("total"))
 
 
 @query("stream_cdc_current", change_plans.CURRENT_SQL)
