@@ -13,17 +13,18 @@ WITH docs AS (
     regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words
   FROM documents),
 lines AS (
-  SELECT r, source, line, regexp_extract_all(
+  SELECT r, source, i, line, regexp_extract_all(
     translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789', 'abcdefghijklmnopqrstuvwxyz000000000'),
     '[^\x20\x09-\x0D]+') AS words
-  FROM (SELECT r, source, unnest(string_split(text, chr(10))) AS line FROM docs)),
-worded AS (SELECT r, source, line, array_to_string(words, ' ') AS normal, len(words) AS n FROM lines WHERE len(words) > 0),
+  FROM (
+    SELECT r, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i
+    FROM docs)),
+worded AS (SELECT r, source, i, line, array_to_string(words, ' ') AS normal, len(words) AS n FROM lines WHERE len(words) > 0),
 dups AS (SELECT r, count(*) - count(DISTINCT line) AS n_dup_lines FROM worded GROUP BY r),
-carried AS (SELECT source, normal, count(DISTINCT r) AS docs FROM worded GROUP BY source, normal),
-sizes AS (SELECT source, count(*) AS docs FROM docs GROUP BY source),
+prints AS (SELECT r, md5(string_agg(normal, chr(10) ORDER BY i)) AS print FROM worded GROUP BY r),
 frequent AS (
-  SELECT c.source, c.normal FROM carried c JOIN sizes s ON c.source IS NOT DISTINCT FROM s.source
-  WHERE c.docs > 20 AND c.docs > s.docs * 0.1::DOUBLE),
+  SELECT source, normal FROM worded JOIN prints USING (r)
+  GROUP BY source, normal HAVING count(DISTINCT print) > 10),
 removed AS (
   SELECT r, sum(n) AS gone FROM worded w JOIN frequent f ON w.normal = f.normal AND w.source IS NOT DISTINCT FROM f.source
   GROUP BY r),
