@@ -32,10 +32,20 @@ MIN_WORDS = 50
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def _told_apart(docs: DataFrame, key: str) -> DataFrame:
+    """The rows with ``__row``: a number for each row without a key, null for the others.
+
+    Only the rows without a key are written, so that their numbers hold.
+    """
+    keyless = docs.filter(F.col(key).isNull()).withColumn("__row", F.monotonically_increasing_id())
+    keyed = docs.filter(F.col(key).isNotNull()).withColumn("__row", F.lit(None).cast("long"))
+    return keyed.union(keep(keyless, "rows-without-key"))
+
+
 def _identity(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """The rows with k1 and k2: a document is its key (null: last) and its text."""
+    """The rows of ``_told_apart`` with k1 and k2: a document is its key and its text, or a row without a key, which comes last."""
     return docs.withColumns({
-        "__k1": F.coalesce(F.col(key).cast("long"), F.lit(2**63 - 1)), "__k2": F.xxhash64(text)})
+        "__k1": F.coalesce(F.col(key).cast("long"), F.lit(2**63 - 1)), "__k2": F.coalesce("__row", F.xxhash64(text))})
 
 
 def numbered_lines(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -84,7 +94,7 @@ def _runs(lines: DataFrame, min_words: int) -> DataFrame:
 
 
 def removed_stretches(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """(k1, k2, stretches): line numbers (first, last) to delete, in order, of documents that lose any."""
+    """(k1, k2, stretches): line numbers (first, last) to delete, in order, of the documents of ``_told_apart`` that lose any."""
     lines = keep(numbered_lines(docs, key, text), "lines")
     seen = lines.filter(F.col("h1").isNotNull())
     # As a table of its own it is shuffled apart from the lines, and a very common line can be split.
@@ -138,11 +148,13 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: i
     Earlier means: smaller key (null last), then table order, then line. Every run keeps
     its first copy. Empty lines neither make nor break a run; those inside a stretch that
     is cut go with it. A text that is a copy as a whole becomes empty. Null text stays
-    null. Rows equal in key and text are one document: they keep what it keeps.
+    null. Rows equal in key and text are one document: they keep what it keeps. Each row
+    without a key is a document of its own, so of equal texts among them the first stays.
     """
+    docs, columns = _told_apart(docs, key), docs.columns
     stretches = removed_stretches(docs, key, text, min_words).withColumnsRenamed({"k1": "__k1", "k2": "__k2", "stretches": "__cut"})
     rows = _identity(docs, key, text).join(stretches, ["__k1", "__k2"], "left")
     left = F.array_join(_kept_lines(F.split(text, "\n"), F.col("__cut")), "\n")
     count = F.aggregate("__cut", F.lit(0), lambda n, s: n + s["b"] - s["a"] + 1)
-    kept = [F.when(F.col("__cut").isNull(), F.col(c)).otherwise(left).alias(c) if c == text else F.col(c) for c in docs.columns]
+    kept = [F.when(F.col("__cut").isNull(), F.col(c)).otherwise(left).alias(c) if c == text else F.col(c) for c in columns]
     return rows.select(*kept, F.coalesce(count, F.lit(0)).cast("long").alias("lines_removed"))

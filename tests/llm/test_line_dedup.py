@@ -10,9 +10,11 @@ from millrace.llm import line_dedup, op6
 
 def slow_dedup(rows, min_words):
     """rows of (key, text): the text of each without runs that occur earlier, by trying all runs."""
+    # a row without a key is a document of its own
+    rows, given = [(*r, i if r[0] is None else None) for i, r in enumerate(rows)], rows
     seen = {}
-    for order, (key, text) in enumerate(rows):
-        seen.setdefault((key, text), order)
+    for order, row in enumerate(rows):
+        seen.setdefault(row, order)
     units = sorted(seen, key=lambda u: (u[0] is None, u[0] or 0, seen[u]))
     # every row takes part, also one that repeats a document
     order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is None, rows[i][0] or 0, i))
@@ -47,7 +49,7 @@ def slow_dedup(rows, min_words):
         text = unit[1]
         result[unit] = (text if text is None or not cut else "\n".join(
             x for i, x in enumerate(text.split("\n")) if i not in cut), len(cut))
-    return [(key, *result[key, text]) for key, text in rows]
+    return [(key, *result[row]) for (key, _), row in zip(given, rows, strict=True)]
 
 
 def run(spark, rows, min_words):
@@ -79,6 +81,16 @@ def test_copies_passages_nulls_and_repeats(spark):
     assert texts[9] == "same line " * 30
 
 
+def test_equal_texts_without_ids(spark):
+    """Each row without an id is a document: of equal texts the first stays whole, also behind rows with ids."""
+    text = "\n".join(" ".join(f"p{i}w{j}" for j in range(9)) for i in range(8))
+    rows = [(None, text), (None, text), (7, "short text"), (None, text + "\nown end"), (None, "short text"), (None, None), (None, "")]
+    got = run(spark, rows, 50)
+    assert got == sorted(slow_dedup(rows, 50), key=str)
+    assert sorted((t for _, t, _ in got), key=str) == sorted([text, "", "short text", "own end", "short text", None, ""], key=str)
+    assert run(spark, [(3, text), *rows[:2]], 50) == [(3, text, 0), (None, "", 8), (None, "", 8)]
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert line_dedup.dedup(docs).collect() == []
