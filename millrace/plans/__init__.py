@@ -32,5 +32,5 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 def load_all() -> None:
     """Import every module that registers queries."""
     from millrace.plans import (  # noqa: F401
-        betting, changes, files, prices, scalars, scoring, streams, topics, tracks, traffic, words,
+        betting, changes, files, journals, prices, scalars, scoring, streams, topics, tracks, traffic, words,
     )

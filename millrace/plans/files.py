@@ -1,11 +1,10 @@
 """File formats: the table is written by a sink and read back by the reader."""
 
 import json
-import tempfile
 
 import pandas as pd
 from pyspark import SparkFiles
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from millrace import schemas, session
 from millrace.functions.text import words
@@ -107,29 +106,31 @@ def io_posts(spark, sf_dir):
     return keyed.read_batches(spark, f"{place}/out").select("text")
 
 
-@query("io_stamped", "SELECT event_id, true AS stamped FROM events")
+@query("io_stamped", "SELECT event_id, event_id % 3 + 1 AS batch FROM events")
 def io_stamped(spark, sf_dir):
-    """Events get the instant they come in: one for each batch."""
+    """Events in three slices get the instant they come in; the instants, in order, number the batches."""
     place = session.scratch_path(spark, "stamped")
-    load(spark, sf_dir, "events").select("event_id").write.parquet(f"{place}/in")
-    stream = stream_windows.stamped_now(files.table_stream(spark, f"{place}/in", "*.parquet"))
-    run.run_through(stream, keyed.append_batch(f"{place}/out"), f"{place}/checkpoint")
-    kept = keyed.read_batches(spark, f"{place}/out")
-    instants = kept.groupBy("batch").agg(F.min("ingested").alias("first"))
-    return kept.join(instants, "batch").select("event_id", (F.col("ingested") == F.col("first")).alias("stamped"))
+    events = load(spark, sf_dir, "events").select("event_id")
+    for i in range(3):
+        events.where(F.col("event_id") % 3 == i).write.mode("append").parquet(f"{place}/in")
+        stream = stream_windows.stamped_now(files.table_stream(spark, f"{place}/in", "*.parquet"))
+        run.run_through(stream, keyed.append_batch(f"{place}/out"), f"{place}/checkpoint")
+    kept = keyed.read_batches(spark, f"{place}/out").drop("batch")
+    instants = kept.select("ingested").distinct()
+    numbered = instants.withColumn("batch", F.row_number().over(Window.orderBy("ingested")).cast("long"))  # a row per batch
+    return kept.join(numbered, "ingested").select("event_id", "batch")
 
 
 @query("io_attached", "SELECT c_custkey, n_name AS nation FROM customer JOIN nation ON n_nationkey = c_nationkey")
 def io_attached(spark, sf_dir):
     """A dictionary file is shipped with the job and loaded once per worker."""
-    names = {r["n_nationkey"]: r["n_name"] for r in load(spark, sf_dir, "nation").collect()}
-    with tempfile.NamedTemporaryFile("w", suffix=".json", delete=False) as file:
-        json.dump(names, file)
-    attached = scoring.attach(spark, file.name)
+    place = session.scratch_path(spark, "dictionary")
+    load(spark, sf_dir, "nation").select(F.to_json(F.struct("n_nationkey", "n_name")).alias("value")).coalesce(1).write.text(place)
+    attached = scoring.attach(spark, spark.read.text(place).inputFiles()[0])
 
     def load_names():
         with open(SparkFiles.get(attached)) as shipped:
-            return {int(k): v for k, v in json.load(shipped).items()}
+            return {r["n_nationkey"]: r["n_name"] for r in map(json.loads, shipped)}
 
     def apply(known, batch):
         return pd.DataFrame({"c_custkey": batch["c_custkey"], "nation": batch["c_nationkey"].map(known)})
