@@ -2,11 +2,12 @@
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.sql import functions as F, types as T
 
 from millrace import schemas, session
 from millrace.functions.text import tumour_type, words
-from millrace.operators import scoring
+from millrace.operators import embedding, scoring
 from millrace.plans import query
 from millrace.sources import files
 from millrace.sources.tables import load, texts
@@ -170,6 +171,30 @@ def text_classifier(spark, sf_dir):
         (chance.between(0, 1) & ((chance > 0.5) == (F.col("prediction") == 1.0))).alias("chance_fits"))
 
 
+#: What the trained embeddings must reach on held-out texts: the chance that a toxic one is rated above another.
+LEAST_RANKING = 0.7
+
+
+@query("text_embedding", f"""WITH {LABELLED_SQL},
+held AS (SELECT count(*) AS docs, sum(toxic)::BIGINT AS toxic FROM labelled WHERE {TEST_SQL})
+SELECT docs, toxic, CASE WHEN toxic BETWEEN 1 AND docs - 1 THEN true END AS ranks_well FROM held""")
+def text_embedding(spark, sf_dir):
+    """Embeddings, mean and dense layer trained on the texts, then served; held-out ranking against a bar.
+
+    Without both labels among the held-out texts there is no ranking.
+    """
+    rows = encoded(spark, sf_dir).join(load(spark, sf_dir, "labels"), "doc_id")
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(4))
+    model = embedding.train(rows.where(~is_test()), part, 4, DICTIONARY + schemas.RESERVED_CODES + 1, label="toxic")
+    place = session.scratch_path(spark, "rated")
+    embedding.rate_texts(rows.where(is_test()), model, ["doc_id", "toxic"]).write.parquet(place)
+    rated = spark.read.parquet(place).withColumn("label", F.col("toxic").cast("double"))
+    ranking = BinaryClassificationEvaluator(rawPredictionCol="rating").evaluate(rated)
+    both = (F.col("toxic") > 0) & (F.col("toxic") < F.col("docs"))
+    return rated.agg(F.count("*").alias("docs"), F.sum("toxic").cast("long").alias("toxic")).withColumn(
+        "ranks_well", F.when(both, F.lit(ranking) >= LEAST_RANKING))
+
+
 def _tumour_sql():
     """The CSV's text of a measure and what is read back from it."""
     return f"""WITH {LABELLED_SQL},
