@@ -252,10 +252,15 @@ bets AS (
 """
 
 
+#: Users of one file of packed lines, about 100 MB of text.
+USERS_PER_FILE = 250_000
+
+
 def users(spark, sf_dir):
     """A user per line with three bets made of the line's own columns, as JSON and read back.
 
     One single bet, and two of two legs that are listed against the order of their races.
+    A record is many times the size of its row in the table, so its text is packed.
     """
     place = session.scratch_path(spark, "users")
     line = load(spark, sf_dir, "lineitem")
@@ -274,7 +279,8 @@ def users(spark, sf_dir):
         bet(2, "ACCUM", leg(race + 1, horse + 1, odds), leg(race, horse, other)),
         bet(3, "ACCUM", leg(race + 1, horse, odds), leg(race, horse, other)))
     user = F.struct((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), bets.alias("knownBets"))
-    output.write_lines(line.select(F.to_json(user).alias("value")), place)
+    output.write_lines(
+        line.select(F.to_json(user).alias("value")), place, compression="snappy", file_rows=USERS_PER_FILE)
     return files.lines(spark, place).select(records.parse(F.col("value"), schemas.USER).alias("u")).select("u.*")
 
 

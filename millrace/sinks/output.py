@@ -11,8 +11,11 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F
 from millrace.sinks.keyed import BatchWriter
 
 
-def write_lines(df: DataFrame, path: str, line: str = "value", mode: str = "overwrite") -> None:
-    df.select(F.col(line).alias("value")).write.mode(mode).text(path)
+def write_lines(df: DataFrame, path: str, line: str = "value", mode: str = "overwrite",
+                compression: str = "none", file_rows: int = 0) -> None:
+    """Text files of the lines. Packed files cannot be split by a reader: ``file_rows`` bounds their lines."""
+    lines = df.select(F.col(line).alias("value"))
+    lines.write.mode(mode).option("compression", compression).option("maxRecordsPerFile", file_rows).text(path)
 
 
 def line_files(path: str, line: str = "line", shards: int | None = None) -> BatchWriter:
