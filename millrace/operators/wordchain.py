@@ -12,6 +12,8 @@ from millrace.operators.ordered import running_total
 
 START = "."
 WALKS_PER_SLOT = 1_000
+#: Walks, or transitions, that a task of one step holds, about.
+STEP_ROWS = 200_000
 
 
 def pair_counts(texts: DataFrame, column: str = "text") -> DataFrame:
@@ -89,18 +91,21 @@ def random_walks(table: DataFrame, walks: DataFrame, walk: str, steps: int,
     Every walk starts after a full stop. A word without successors restarts the
     sentence. All walks advance together, one equi-join per step; the index is
     placed by its key once, so that a step moves only the walk, its word and its
-    slots. The words drawn are written step by step and meet once, at the end.
+    slots. A step is narrow and the same ones come again and again, so it has as many
+    tasks as its rows need and not as many as a shuffle of the session. The words
+    drawn are written step by step and meet once, at the end.
     """
     spark = table.sparkSession
     session.checkpoint_dir(spark)
     kept = table.checkpoint()
-    pairs = kept.agg(F.sum("count")).first()[0] or 1
-    hot_slots = max(1, -(-walks.count() // WALKS_PER_SLOT))
+    pairs, rows = kept.agg(F.sum("count"), F.count("*")).first()
+    pairs, asked = pairs or 1, walks.count()
+    hot_slots = max(1, -(-asked // WALKS_PER_SLOT))
     start = kept.where(F.col("word") == START).select(slot_count(pairs, hot_slots)).first()
     if start is None:
         raise ValueError("no transition starts at a full stop")
     start_slots = F.lit(start[0])
-    places = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    places = max(spark.sparkContext.defaultParallelism, -(-max(asked, rows) // STEP_ROWS))
     # A cached table keeps its placement and order, so steps join it in place.
     index = (
         guide(kept, pairs, hot_slots).repartition(places, "word", "slot")
@@ -117,7 +122,7 @@ def random_walks(table: DataFrame, walks: DataFrame, walk: str, steps: int,
             "walk", dead.alias("_dead"), draw.alias("_u"),
             F.when(dead, F.lit(START)).otherwise(F.col("word")).alias("word"),
             F.floor(draw * F.coalesce("slots", start_slots)).alias("slot"),
-        )
+        ).repartition(places, "word", "slot")
         hit = (F.col("_u") <= F.col("cum_p")) & (
             (F.col("_u") > F.col("low_p")) | ((F.col("low_p") == 0) & (F.col("_u") == 0)))
         state = drawn.join(index, ["word", "slot"]).where(hit).select(
