@@ -133,17 +133,21 @@ def gbt_match(spark, sf_dir):
     """Boosted trees on text measures; quality 1 plays the benign diagnosis.
 
     Trained numbers differ between engines, so the columns say what must hold: the
-    rows, the actual type, and that line, prediction and chances agree.
+    rows, the actual type, and that line, prediction and chances agree. Training passes
+    over its rows many times, so the measures are written once and the texts read once.
     """
     text = F.col("text")
     tokens = words(text)
-    rows = labelled(spark, sf_dir).select(
+    place = session.scratch_path(spark, "measures")
+    measured = labelled(spark, sf_dir).select(
         "doc_id", F.when(F.col("quality") == 1, "B").otherwise("M").alias("diagnosis"),
         F.col("quality").cast("double").alias("label"),
         F.length(text).cast("double").alias("chars"), F.size(tokens).cast("double").alias("words"),
         F.size(F.array_distinct(tokens)).cast("double").alias("distinct_words"),
         F.size(F.split(text, "\n")).cast("double").alias("lines"),
         F.length(F.regexp_replace(text, r"\D", "")).cast("double").alias("digits"))
+    measured.write.parquet(place)
+    rows = spark.read.schema(measured.schema).parquet(place)
     measures = ["chars", "words", "distinct_words", "lines", "digits"]
     model = scoring.train_boosted_trees(rows.where(~is_test()), measures, "label")
     letter = F.when(F.col("prediction") == 1.0, "B").otherwise("M")
