@@ -120,9 +120,10 @@ def train(
     """
     spark = rows.sparkSession
     place = session.scratch_path(spark, "train")
-    fit = rows.select(codes, label, part.cast("int").alias("part")).dropna()
+    fit = rows.select(codes, label, part.cast("int").alias("part"))
     fit.write.partitionBy("part").parquet(place)
-    stored = spark.read.schema(fit.schema).parquet(place)
+    # Nulls go here: a filter on codes before they are stored would make them once more, for all rows a join leaves out.
+    stored = spark.read.schema(fit.schema).parquet(place).dropna()
 
     weights = first_weights(known_codes, width, units)
     tables = weights.tables()

@@ -32,9 +32,11 @@ encoded AS (SELECT doc_id, list_resize([1] || codes, 256, 0) AS codes FROM coded
 """
 
 
-def encoded(spark, sf_dir):
+def encoded(spark, sf_dir, chosen=None):
+    """The codes of all texts, or of the ``chosen`` ones; the dictionary is that of all."""
     reviews = texts(spark, sf_dir)
-    return scoring.encode_reviews(reviews, "text", scoring.frequent_words(reviews, size=DICTIONARY)).drop("text")
+    dictionary = scoring.frequent_words(reviews, size=DICTIONARY)
+    return scoring.encode_reviews(reviews if chosen is None else chosen, "text", dictionary).drop("text")
 
 
 @query("review_encode", f"WITH {ENCODED_SQL} SELECT doc_id, array_to_string(codes, ',') AS codes FROM encoded")
@@ -185,9 +187,10 @@ SELECT docs, toxic, CASE WHEN toxic BETWEEN 1 AND docs - 1 THEN true END AS rank
 def text_embedding(spark, sf_dir):
     """Embeddings, mean and dense layer trained on the texts, then served; held-out ranking against a bar.
 
-    Without both labels among the held-out texts there is no ranking.
+    Without both labels among the held-out texts there is no ranking. Only texts with a
+    label are encoded, those to train on and those held out once each.
     """
-    rows = encoded(spark, sf_dir).join(load(spark, sf_dir, "labels"), "doc_id")
+    rows = encoded(spark, sf_dir, labelled(spark, sf_dir))
     part = F.pmod(F.xxhash64("doc_id"), F.lit(4))
     model = embedding.train(rows.where(~is_test()), part, 4, DICTIONARY + schemas.RESERVED_CODES + 1, label="toxic")
     place = session.scratch_path(spark, "rated")
