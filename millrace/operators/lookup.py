@@ -1,4 +1,4 @@
-"""Bounded lists per group."""
+"""Bounded lists per group, and partitions of bounded size."""
 
 from __future__ import annotations
 
@@ -7,6 +7,18 @@ from pyspark.sql import DataFrame, functions as F
 from millrace.operators.ordered import number_rows
 
 PAGE_ROWS = 100_000
+#: Rows that one task hashes or sorts, about.
+TASK_ROWS = 250_000
+
+
+def spread(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """``df`` placed by keys in partitions of about ``TASK_ROWS`` rows, of ``rows`` at most in all.
+
+    For keys with few rows each: what a task holds stays the same however large the table
+    is, where partitions that are joined again by their packed bytes grow with it.
+    """
+    places = max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // TASK_ROWS))
+    return df.repartition(places, *keys)
 
 
 def group_lists(df: DataFrame, key: str, item: str, name: str, page_rows: int = PAGE_ROWS) -> DataFrame:

@@ -12,6 +12,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from millrace.operators import ordered
+from millrace.operators.lookup import spread
+
+#: Marks that each pane makes.
+PANE_MARKS = 3
 
 
 def pane_sums(df: DataFrame, key: str, time_ms: str, value: str, slide_ms: int) -> DataFrame:
@@ -26,10 +30,10 @@ def pane_sums(df: DataFrame, key: str, time_ms: str, value: str, slide_ms: int)
 def sliding_segments(df: DataFrame, key: str, time_ms: str, value: str, size_ms: int,
                      slide_ms: int) -> DataFrame:
     """Average and count over sliding windows, from rows; see ``segments_of_panes``."""
-    return segments_of_panes(pane_sums(df, key, time_ms, value, slide_ms), key, size_ms, slide_ms)
+    return segments_of_panes(pane_sums(df, key, time_ms, value, slide_ms), key, size_ms, slide_ms, df.count())
 
 
-def segments_of_panes(panes: DataFrame, key: str, size_ms: int, slide_ms: int) -> DataFrame:
+def segments_of_panes(panes: DataFrame, key: str, size_ms: int, slide_ms: int, most: int | None = None) -> DataFrame:
     """Average and count over sliding windows, as (key, first_end, last_end, avg, count).
 
     All windows ending at ``first_end``, ``first_end + slide``, .. ``last_end``
@@ -38,6 +42,7 @@ def segments_of_panes(panes: DataFrame, key: str, size_ms: int, slide_ms: int) -
     Time is cut into blocks one window long. A window then holds what has entered
     so far in its own block and what has not left yet from the block before: two
     running sums, without subtraction, over at most three rows per pane and block.
+    ``most``: a bound of the number of panes; with it tasks sort a fixed number of rows.
     """
     if size_ms % slide_ms:
         raise ValueError("the slide must divide the window size")
@@ -58,6 +63,8 @@ def segments_of_panes(panes: DataFrame, key: str, size_ms: int, slide_ms: int) -
         mark(block + 1, pane + length, nothing, content),
         mark(block + 1, (block + 1) * length, nothing, nothing),  # windows run on into the block
     )))
+    if most is not None:
+        marks = spread(marks, PANE_MARKS * most, key, "_block")
     part = Window.partitionBy(key, "_block")
     entered = part.orderBy("_pos").rangeBetween(Window.unboundedPreceding, 0)
     staying = part.orderBy(F.desc("_pos")).rangeBetween(Window.unboundedPreceding, -1)
