@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from millrace import schemas
 from millrace.functions.records import first_winner
-from millrace.operators.lookup import PAGE_ROWS, group_lists
+from millrace.operators.lookup import PAGE_ROWS, group_lists, spread
 from millrace.operators.ordered import as_of, number_rows
 
 STARTING_VERSION = -1
@@ -170,24 +170,29 @@ def remap_horses(rows: DataFrame, mapping: DataFrame, on: list[str]) -> DataFram
     return rows.join(mapping.select(*on, "resolved"), on, "left").drop(on[0])
 
 
-def latest_odds(versions: DataFrame) -> DataFrame:
-    """Odds in the latest version per (race, horse): the starting price."""
+def latest_odds(versions: DataFrame, most: int | None = None) -> DataFrame:
+    """Odds in the latest version per (race, horse): the starting price.
+
+    ``most``: a bound of the number of versions; with it tasks hash a fixed number of rows.
+    """
+    if most is not None:
+        versions = spread(versions, most, "race", "horse")
     return versions.groupBy("race", "horse").agg(
         F.max("version").alias("version"), F.max_by("odds", "version").alias("latest_odds")
     )
 
 
-def odds_of_legs(legs: DataFrame, versions: DataFrame) -> DataFrame:
+def odds_of_legs(legs: DataFrame, versions: DataFrame, most: int | None = None) -> DataFrame:
     """Odds per leg: the leg's own version under fixed odds, else the latest.
 
     The latest odds join the versions under number -1, which starting-price legs
     carry, so one join serves both. A horse missing from the version asked for
-    has NULL odds.
+    has NULL odds. ``most``: see ``latest_odds``.
     """
     # With the same filter on both uses, the grouped versions are shuffled once.
     versions = versions.where("race IS NOT NULL AND horse IS NOT NULL AND version IS NOT NULL")
     asked = F.when(F.col("odds_type") == "FIXED_ODDS", F.col("odds_version")).otherwise(F.lit(STARTING_VERSION))
-    starting = latest_odds(versions).select(
+    starting = latest_odds(versions, most).select(
         "race", "horse", F.lit(STARTING_VERSION).alias("version"), F.col("latest_odds").alias("odds"))
     book = versions.select("race", "horse", "version", "odds").unionByName(starting)
     return legs.withColumn("version", asked).join(book, ["race", "horse", "version"], "left").drop("version")

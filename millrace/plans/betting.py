@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from millrace import schemas, session
 from millrace.functions import records
 from millrace.operators import betting
+from millrace.operators.lookup import spread
 from millrace.plans import query
 from millrace.sinks import output
 from millrace.sources import files
@@ -70,8 +71,10 @@ def winners(spark, sf_dir):
         "event", won.alias("winner"))
 
 
-def versions(spark, sf_dir):
-    return legs(spark, sf_dir).groupBy("race", "horse", "version").agg(F.max("odds").alias("odds"))
+def versions(spark, sf_dir, lines):
+    """Hardly two legs share a version, so they are placed before they are grouped; ``lines`` is their number."""
+    keys = ["race", "horse", "version"]
+    return spread(legs(spark, sf_dir).select(*keys, "odds"), lines, *keys).groupBy(*keys).agg(F.max("odds").alias("odds"))
 
 
 @query("bet_singles", f"WITH {SINGLES_SQL} SELECT bet, race, horse, round(odds, 2) AS odds, stake FROM singles")
@@ -182,7 +185,8 @@ def horse_resolve(spark, sf_dir):
 @query("odds_latest", f"""WITH {VERSIONS_SQL}
 SELECT race, horse, max(version) AS version, round(arg_max(odds, version), 2) AS odds FROM versions GROUP BY 1, 2""")
 def odds_latest(spark, sf_dir):
-    return betting.latest_odds(versions(spark, sf_dir)).select(
+    lines = load(spark, sf_dir, "lineitem").count()
+    return betting.latest_odds(versions(spark, sf_dir, lines), lines).select(
         "race", "horse", "version", F.round("latest_odds", 2).alias("odds"))
 
 
@@ -197,7 +201,8 @@ def odds_at_bet(spark, sf_dir):
     kind = F.when(F.col("status") == "O", F.lit("FIXED_ODDS")).otherwise(F.lit("STARTING_PRICE"))
     placed = legs(spark, sf_dir).select(
         "bet", "line", "race", "horse", F.col("version").alias("odds_version"), kind.alias("odds_type"))
-    return betting.odds_of_legs(placed, versions(spark, sf_dir)).select(
+    lines = load(spark, sf_dir, "lineitem").count()
+    return betting.odds_of_legs(placed, versions(spark, sf_dir, lines), lines).select(
         "bet", "line", "race", "horse", (F.col("odds_type") == "FIXED_ODDS").alias("fixed"),
         F.round("odds", 2).alias("odds"))
 
