@@ -21,7 +21,8 @@ import itertools
 import json
 import re
 import unicodedata
-from collections.abc import Callable, Iterator
+from array import array
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -69,8 +70,10 @@ class Codec:
         self._letters = _byte_letters()
         self._plain = all(self._letters[b] == chr(b) for b in range(0x21, 0x7F))
         self._build(vocabulary, model["merges"])
-        self._known: dict[str, tuple[int, ...]] = {}
-        self._before: dict[str, tuple[int, ...]] = {}
+        # Ids of a word as bytes: idle workers keep them, and tuples of numbers take a multiple.
+        self._code = "H" if len(self.names) <= 1 << 16 else "I"
+        self._known: dict[str, bytes] = {}
+        self._before: dict[str, bytes] = {}
 
     def _build(self, vocabulary: dict[str, int], merges: list[list[str]]) -> None:
         size = len(self.names)
@@ -230,7 +233,10 @@ class Codec:
             of_chunk.append([words.setdefault(w, len(words)) for w in marked])
         encoded = self._encode_words(list(words))
         for chunk, at in zip(chunks, of_chunk, strict=True):
-            self._known[chunk] = tuple(itertools.chain.from_iterable([encoded[i] for i in at]))
+            self._known[chunk] = self._packed(itertools.chain.from_iterable([encoded[i] for i in at]))
+
+    def _packed(self, ids: Iterable[int]) -> bytes:
+        return array(self._code, ids).tobytes()
 
     def _split(self, text: str) -> list[str]:
         return [x for x in _SPACE.split(text) if x] if _ODD_SPACE.search(text) else text.split()
@@ -256,13 +262,10 @@ class Codec:
         again = new & before.keys()
         known.update((w, before[w]) for w in again)
         self._learn(sorted(new - again))
-        flat = itertools.chain.from_iterable
-        out = [list(flat(map(known.__getitem__, p))) for p in chunks]
+        out = [b"".join(map(known.__getitem__, p)) for p in chunks]
         for i, rest in marks.items():
-            for mark, p in rest:
-                out[i].append(self.added[mark])
-                out[i].extend(flat(map(known.__getitem__, p)))
-        return out
+            out[i] = b"".join([out[i], *(x for mark, p in rest for x in (self._packed([self.added[mark]]), *map(known.__getitem__, p)))])
+        return [memoryview(ids).cast(self._code).tolist() for ids in out]
 
     @property
     def _added_by_angle(self) -> bool:
@@ -283,11 +286,11 @@ def codec_of(text: str) -> Codec:
     return Codec(text)
 
 
-#: Texts are encoded in runs of about so many characters.
-RUN_CHARS = 4_000_000
+#: Texts are encoded in runs of about so many characters: what a run takes, an idle worker keeps.
+RUN_CHARS = 1_000_000
 
 
-def _runs(texts: list[str | None]) -> Iterator[list[str]]:
+def _runs(texts: Iterable[str | None]) -> Iterator[list[str]]:
     run, size = [], 0
     for text in texts:
         run.append(text or "")
@@ -318,7 +321,7 @@ def transcode(
         codec = codec_of(vocabulary.value)
         for batch in batches:
             rows = []
-            for texts in _runs(batch.column(1).to_pylist()):
+            for texts in _runs(x.as_py() for x in batch.column(1)):
                 rows += [derive(codec, ids) for ids in codec.encode_batch(texts)]
             columns = zip(*rows, strict=True) if rows else [[] for _ in out_schema.names[1:]]
             arrays = [pa.array(list(c), f.type) for c, f in zip(columns, list(out_schema)[1:], strict=True)]

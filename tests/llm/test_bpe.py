@@ -1,6 +1,8 @@
 """The encoder against the tokenizers library, and the round trip."""
 
 import functools
+import random
+import tracemalloc
 from hashlib import sha256
 
 import public_tokenizers
@@ -55,6 +57,19 @@ def test_words_are_forgotten_without_harm(library, monkeypatch):
         assert small.encode_batch(texts) == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_a_remembered_word_takes_few_bytes():
+    """A worker keeps its words while other stages run: with tuples of numbers they took 339 bytes each."""
+    codec, letters = bpe.Codec(open(PATH, encoding="utf-8").read()), random.Random(3)
+    texts = [" ".join("".join(letters.choices("abcdefghijklmnop", k=14)) for _ in range(500)) for _ in range(40)]
+    codec.encode_batch(["warm up"])
+    tracemalloc.start()
+    codec.encode_batch(texts)
+    held, _ = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert len(codec._known) > 20_000
+    assert held < 200 * 20_000
+
+
 def test_query_over_nulls_repeats_and_extra_columns(spark, library):
     rows = [(1, None, 7), (1, None, 7), (None, "the end", 8), (2, "", 9), (3, "wörd " * 3, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_tokens int")
