@@ -13,7 +13,10 @@ at most what the prefixes share and the rest of one of the sets. Pairs that cann
 the similarity are left out, the others are counted in full. Sets that are equal are one set.
 
 What is asked for are groups, not pairs, so a large group of near copies is not compared
-in pairs. Every set is first compared with one hub of each of its prefix shingles, which
+in pairs. First come the links of fingerprints (``simhash``: anchors of a covering code, 3
+bits of 64) made of the same shingles: few of the pairs asked for lie that near, but those
+that do are found without a prefix. A link of fingerprints counts only if the sets reach the
+similarity. Then every set is compared with one hub of each of its prefix shingles, which
 makes no more pairs than there are prefix members: the set whose prefix the others share
 most, as an original is among its copies. The links make groups. Only pairs of different groups are left to be compared then, and a
 shingle all of whose sets are in one group is done. No link between groups is lost.
@@ -30,6 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm import simhash
 from millrace.llm.arrow import arrow_schema
 from millrace.llm.components import components
 from millrace.llm.registry import keep
@@ -55,8 +59,8 @@ def shingle_set(text: bytes) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, key: str, text: str, common: tuple[np.ndarray, np.ndarray] | None) -> DataFrame:
-    """(key, id, n, shingles): the set of each row; with the common shingles and their counts only its prefix."""
-    ddl = f"{key} {docs.schema[key].dataType.simpleString()}, id long, n long, shingles array<long>"
+    """(key, id, n, fp, shingles): the set of each row; with the common shingles and their counts only its prefix."""
+    ddl = f"{key} {docs.schema[key].dataType.simpleString()}, id long, n long, fp long, shingles array<long>"
     schema = arrow_schema(ddl)
 
     def chosen(found: np.ndarray) -> np.ndarray:
@@ -78,7 +82,8 @@ def _sets(docs: DataFrame, key: str, text: str, common: tuple[np.ndarray, np.nda
                 ids = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([
                     part.column(0).cast(schema[0].type), pa.array(ids), pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([chosen(s) for s in sets], schema[3].type)], schema=schema)
+                    pa.array(np.array([simhash.majority(s.view(np.uint64)) for s in sets], np.uint64).view(np.int64)),
+                    pa.array([chosen(s) for s in sets], schema[4].type)], schema=schema)
 
     return docs.select(key, text).mapInArrow(run, ddl)
 
@@ -116,6 +121,17 @@ def _mixed(shared: DataFrame, roots: DataFrame | None) -> tuple[DataFrame, DataF
     return rooted, several.filter("low <> high").select("shingle", "hub")
 
 
+def _fingerprinted(sets: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """(a, b, an, bn): each set with the first of its fingerprint, and the first ones of linked fingerprints. Sets without members are one set."""
+    known = sets.filter("n > 0")
+    hubs = keep(known.groupBy("fp").agg(F.min(F.struct("id", "n")).alias("hub")), "fingerprints")
+    same = known.join(hubs, "fp").filter("id <> hub.id").select(F.struct("id", "n").alias("a"), F.col("hub").alias("b"))
+    a, b = (hubs.select(F.col("fp").alias(v), F.col("hub").alias(f"{v}_hub")) for v in ("a", "b"))
+    near = keep(simhash.links(hubs), "fingerprint-links").join(a, "a").join(b, "b").select("a_hub", "b_hub")
+    met = same.union(near).filter("9 * least(a.n, b.n) >= 4 * (a.n + b.n)")
+    return met.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.col("a.n").alias("an"), F.col("b.n").alias("bn"))
+
+
 def _spokes(shared: DataFrame, roots: DataFrame | None) -> DataFrame:
     """(a, b, an, bn): each set with the hub of its shingles, unless they are linked already. No more than the rows."""
     rooted, hubs = _mixed(shared, roots)
@@ -168,16 +184,17 @@ def near_groups(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """
     prefixes = _sets(docs, key, text, _common(docs, key, text))
     marked = keep(prefixes.withColumn("row", F.monotonically_increasing_id()), "prefixes")
-    first = marked.groupBy("id").agg(F.min(F.struct(key, "row")).alias("first"))
-    sets = keep(first.select("id", F.col("first")[key].alias("least"), "first.row"), "sets")
+    first = marked.groupBy("id").agg(F.min(F.struct(key, "row", "n", "fp")).alias("first"))
+    sets = keep(first.select("id", F.col("first")[key].alias("least"), "first.row", "first.n", "first.fp"), "sets")
     shared = _shared(marked, sets)
     links, roots = [], None
     prefixes = marked.join(sets.select("row"), "row", "left_semi").select("id", "shingles")
-    for compared in (partial(_spokes, shared), partial(_rest, shared, prefixes)):
+    for compared in (partial(_fingerprinted, sets), partial(_spokes, shared), partial(_rest, shared, prefixes)):
         pairs = keep(compared(roots), "pairs")
         if not pairs.isEmpty():
             links.append(_verified(pairs, sets, docs, key, text))
             roots = keep(components(reduce(DataFrame.union, links)), "roots")
+    sets = sets.select("id", "least")
     rooted = sets.withColumn("root", F.col("id"))
     if roots is not None:
         rooted = sets.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))

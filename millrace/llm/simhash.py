@@ -38,6 +38,12 @@ PIECE_ROWS = 4096
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The unsigned number of the bits that over half the hashes have."""
+    ones = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
+
+
 def fingerprint(text: bytes) -> int:
     """The unsigned fingerprint of a UTF-8 text; 0 without a word."""
     words = text.translate(_LOWER).split()
@@ -52,9 +58,7 @@ def fingerprint(text: bytes) -> int:
         starts = (ends - lengths)[: 1 - SHINGLE].tolist()
         shingles = [joined[a:b] for a, b in zip(starts, ends[SHINGLE - 1 :].tolist(), strict=True)]
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(s, SEED) for s in shingles], "<u8")
-    ones = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(shingles), bitorder="little").view("<u8")[0])
+    return majority(np.array([digest(s, SEED) for s in shingles], "<u8"))
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -59,6 +59,30 @@ def test_similar_documents_whatever_is_common(spark, monkeypatch, sample):
     assert 66 < len(got) < len(rows) - 10
 
 
+def test_fingerprints_link_what_lies_within_three_bits(spark, monkeypatch):
+    """Without the prefixes only pairs within 3 bits are linked, and only those whose sets reach the similarity."""
+    for step in ("_spokes", "_rest"):
+        monkeypatch.setattr(shingles, step, lambda *_: spark.createDataFrame([], "a long, b long, an long, bn long"))
+    rng, rows = np.random.default_rng(5), [(900, ""), (901, None)]
+    for i in range(40):
+        words = [f"w{x}" for x in rng.integers(0, 4000, 400)]
+        for k in range(3):
+            rows.append((3 * i + k, " ".join([*words, *(f"Z{x}" for x in rng.integers(0, 9999, k))])))
+    rows += [(910, "a b c d e f"), (911, "a b c d e f g")]  # few shingles: near in bits by chance at most
+    bits = {k: shingles.simhash.majority(shingles.shingle_set((t or "").encode()).view(np.uint64)) for k, t in rows}
+    sets = {k: slow_set(t) for k, t in rows}
+    first = {k: k for k in sets}
+    for j, k in itertools.combinations(sorted(sets), 2):
+        x, y = sets[j], sets[k]
+        if x == y or ((bits[j] ^ bits[k]).bit_count() <= 3 and 5 * len(x & y) >= 4 * len(x | y)):
+            low, high = sorted((first[j], first[k]))
+            first = {n: low if r == high else r for n, r in first.items()}
+    docs = corpus_pipeline.keep(spark.createDataFrame(rows, "doc_id long, text string"), "test")
+    got = {r.doc_id: r.component_id for r in shingles.near_groups(docs, "doc_id").collect()}
+    assert got == first
+    assert 1 < len({k for k, r in first.items() if k != r and k < 900}) < 80
+
+
 def test_all_pairs_of_the_small_table(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()]
     assert kept(spark, rows) == slow_kept(rows)
