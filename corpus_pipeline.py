@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import classifier, line_dedup, mixing, op4, op10, shingles
-from millrace.llm.registry import keep, query, table
+from millrace.llm.registry import keep, keep_only, query, table
 
 WORD = r"[^\x20\x09-\x0D]"
 
@@ -47,8 +47,12 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     parts = {"__a": F.coalesce("doc_id", F.lit(2**63 - 1)), "__b": F.xxhash64("text")}
     named = docs.select(F.struct(*[x.alias(n) for n, x in parts.items()]).alias("__name"), "text")
-    groups = shingles.near_groups(named, key="__name")
-    first = keep(groups.filter(F.col("__name") == F.col("component_id")).select("__name.__a", "__name.__b").distinct(), "kept")
+
+    def firsts() -> DataFrame:
+        groups = shingles.near_groups(named, key="__name")
+        return groups.filter(F.col("__name") == F.col("component_id")).select("__name.__a", "__name.__b").distinct()
+
+    first = keep_only(firsts, "kept")
     kept = _narrow(docs).withColumns(parts).join(first, list(parts), "left_semi").groupBy(*parts).agg(
         F.min("doc_id").alias("doc_id"), F.min("text").alias("text"), F.min_by("__rest", F.to_json("__rest")).alias("__rest"))
     return _whole(kept, docs.columns)

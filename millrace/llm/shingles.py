@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from millrace.llm import simhash
 from millrace.llm.arrow import arrow_schema
 from millrace.llm.components import components
-from millrace.llm.registry import keep
+from millrace.llm.registry import keep, keep_only
 
 # Fixed values of the rule: words of a shingle; the similarity is 4/5.
 SHINGLE = 5
@@ -105,10 +105,11 @@ def _shared(marked: DataFrame, sets: DataFrame) -> DataFrame:
     """
     once = marked.join(sets.select("row"), "row", "left_semi")
     placed = once.select("id", "n", F.posexplode("shingles").alias("at", "shingle"))
-    often = placed.groupBy("shingle").agg(F.count("*").alias("c")).filter("c > 1")
-    shared = keep(placed.join(often, "shingle").select("shingle", "id", "n", (F.col("n") - F.col("at")).alias("rest"), "c"), "shared")
+    # Kept, so that the counting's shuffle files are gone when the rows are shuffled.
+    often = keep(placed.groupBy("shingle").agg(F.count("*").alias("c")).filter("c > 1"), "often")
+    shared = keep(placed.join(often, "shingle").select("shingle", "id", "n", (F.col("n") - F.col("at")).alias("rest"), "c"), "counted")
     weights = shared.groupBy("id").agg((F.sum("c") - F.count("*")).alias("weight"))
-    return keep(shared.drop("c").join(weights, "id").select("shingle", "id", "n", "rest", "weight"), "shared")
+    return shared.drop("c").join(weights, "id").select("shingle", "id", "n", "rest", "weight")
 
 
 def _mixed(shared: DataFrame, roots: DataFrame | None) -> tuple[DataFrame, DataFrame]:
@@ -162,18 +163,30 @@ def _rest(shared: DataFrame, prefixes: DataFrame, roots: DataFrame | None) -> Da
     return met.join(named[0], "a").join(named[1], "b").filter(9 * (c + behind) >= 4 * (F.col("an") + F.col("bn"))).select("a", "b", "an", "bn")
 
 
+def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (a, b, text of a, text of b) the (a, b) whose whole sets reach the similarity. Rows of one b mostly come together."""
+    last, second = None, np.zeros(0, np.int64)
+    for batch in batches:
+        reached = []
+        texts = (batch.column(i).cast(pa.binary()) for i in (2, 3))
+        for b, one, other in zip(batch.column(1).to_pylist(), *texts, strict=True):
+            if b != last:
+                last, second = b, shingle_set(other.as_py())
+            first = shingle_set(one.as_py())
+            common = len(np.intersect1d(first, second, assume_unique=True))
+            reached.append(9 * common >= 4 * (len(first) + len(second)))
+        yield batch.select([0, 1]).filter(pa.array(reached, pa.bool_()))
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(a, b): the pairs whose whole sets reach the similarity."""
+    """(a, b): the pairs whose whole sets reach the similarity. Texts are moved to meet, as they take less room than their sets."""
     asked = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     # A table of its own, whose size is known: where it is small the texts are not shuffled.
-    names = keep(sets.join(asked, "id", "left_semi").select(F.col("least").alias("__least")), "names")
-    texts = docs.join(names, F.col(key) == F.col("__least"), "left_semi").dropDuplicates([key])
-    whole = keep(_sets(texts, key, text, None).select("id", "shingles"), "whole-sets")
-    common = F.size(F.array_intersect("sa", "sb"))
-    return keep(
-        pairs.join(whole.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a")
-        .join(whole.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
-        .filter(9 * common >= 4 * (F.col("an") + F.col("bn"))).select("a", "b"), "links")
+    names = keep(sets.join(asked, "id", "left_semi").select("id", F.col("least").alias("__least")), "names")
+    named = docs.select(key, F.col(text).alias("__text")).join(names, F.col(key) == F.col("__least"))
+    texts = keep(named.dropDuplicates([key]).select("id", "__text"), "texts")
+    a, b = (texts.select(F.col("id").alias(v), F.col("__text").alias(f"{v}_text")) for v in ("a", "b"))
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "a_text", "b_text").mapInArrow(_similar, "a long, b long")
 
 
 def near_groups(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -186,14 +199,14 @@ def near_groups(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     marked = keep(prefixes.withColumn("row", F.monotonically_increasing_id()), "prefixes")
     first = marked.groupBy("id").agg(F.min(F.struct(key, "row", "n", "fp")).alias("first"))
     sets = keep(first.select("id", F.col("first")[key].alias("least"), "first.row", "first.n", "first.fp"), "sets")
-    shared = _shared(marked, sets)
+    shared = keep_only(partial(_shared, marked, sets), "shared")
     links, roots = [], None
     prefixes = marked.join(sets.select("row"), "row", "left_semi").select("id", "shingles")
     for compared in (partial(_fingerprinted, sets), partial(_spokes, shared), partial(_rest, shared, prefixes)):
-        pairs = keep(compared(roots), "pairs")
+        pairs = keep_only(partial(compared, roots), "pairs")
         if not pairs.isEmpty():
-            links.append(_verified(pairs, sets, docs, key, text))
-            roots = keep(components(reduce(DataFrame.union, links)), "roots")
+            links.append(keep_only(partial(_verified, pairs, sets, docs, key, text), "links"))
+            roots = keep_only(partial(components, reduce(DataFrame.union, links)), "roots")
     sets = sets.select("id", "least")
     rooted = sets.withColumn("root", F.col("id"))
     if roots is not None:

@@ -1,12 +1,14 @@
 """The near-copy stage against the similarity of all pairs."""
 
 import itertools
+from pathlib import Path
 
 import numpy as np
 import pytest
 
 import corpus_pipeline
-from millrace.llm import shingles
+from millrace import session
+from millrace.llm import registry, shingles
 
 FOLDER = "/root/testdata/sf0.01"
 
@@ -86,3 +88,41 @@ def test_fingerprints_link_what_lies_within_three_bits(spark, monkeypatch):
 def test_all_pairs_of_the_small_table(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()]
     assert kept(spark, rows) == slow_kept(rows)
+
+
+def test_tables_and_shuffles_of_the_stage_go(spark):
+    """What the stage keeps on its way, and what it shuffles, is gone when it has its result."""
+    rng, rows = np.random.default_rng(3), []
+    for i in range(100):
+        words = [f"w{x}" for x in rng.integers(0, 4000, 60)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join([*words[:57], "x", "y", "z"]))]
+    docs = corpus_pipeline.keep(spark.createDataFrame(rows, "doc_id long, text string"), "test")
+    shared = Path(session.checkpoint_dir(spark).removeprefix("file:"))
+    before = set(shared.glob("millrace-*"))
+    near = corpus_pipeline.near_copies(spark, docs, FOLDER)
+    assert {p.name.split("-")[1] for p in set(shared.glob("millrace-*")) - before} == {"kept"}
+    assert near.count() == 100
+    counted = docs.groupBy("text").count()
+    for _ in range(2):
+        shuffles = spark.sparkContext._jsc.sc().newShuffleId()
+        registry.keep(counted, "counted")
+        made = range(shuffles + 1, spark.sparkContext._jsc.sc().newShuffleId())
+        tracked = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker()
+        assert made and not any(tracked.containsShuffle(i) for i in made)
+    assert spark.conf.get(session.SHUFFLES_GO, None) is None
+
+
+def test_keep_only_removes_what_was_kept_on_the_way(spark):
+    shared = Path(session.checkpoint_dir(spark).removeprefix("file:"))
+    before = set(shared.glob("millrace-*"))
+    outside = registry.keep(spark.range(5), "outside")
+
+    def inner():
+        return registry.keep(outside, "deep").filter("id > 1")
+
+    def outer():
+        return registry.keep_only(inner, "inner").union(registry.keep(outside, "way"))
+
+    assert registry.keep_only(outer, "whole").count() == 8
+    assert {p.name.split("-")[1] for p in set(shared.glob("millrace-*")) - before} == {"outside", "whole"}
+    assert outside.count() == 5
