@@ -12,7 +12,8 @@ line, so that files appear whole or not at all, whatever happens to an executor,
 store Spark reaches; a block's lengths, not the newline after it, tell where it ends.
 
 Texts are encoded with the tokenizers library. White space only parts words, so a text is
-cut there, and each distinct word of a batch is encoded once and remembered.
+cut there, and further into the pieces that the model sees where plain letters allow it.
+Each distinct piece of a batch is encoded once and remembered.
 """
 
 from __future__ import annotations
@@ -32,6 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import ByteLevel
 
 from millrace import session
 from millrace.llm.arrow import arrow_schema
@@ -46,7 +48,7 @@ BLOCK_IDS = 1_000_000
 #: Blocks of a file.
 FILE_BLOCKS = 16
 
-#: Words that a worker remembers, and the longest of them: memory is bounded by their product.
+#: Pieces that a worker remembers, and the bytes of the longest of them: memory is bounded by their product.
 REMEMBERED_WORDS, LONGEST_WORD = 500_000, 64
 #: Characters that are encoded at once, about.
 RUN_CHARS = 4_000_000
@@ -78,13 +80,25 @@ def unpack(control: np.ndarray, data: np.ndarray, count: int) -> np.ndarray:
     return numbers
 
 
-_LETTERS = re.compile("[A-Za-z]+").fullmatch
+# Fixed values of the tokenizer format: the steps before the model for which plain bytes are cut here.
+NORMALIZER = {"type": "Sequence", "normalizers": [
+    {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [
+    {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
 
-
-def _parts(step: dict | None) -> list[dict]:
-    """The steps of a sequence, or the one step."""
-    step = step or {"type": "none"}
-    return step.get("normalizers") or step.get("pretokenizers") or [step]
+# Kinds of bytes in plain words, which are printable ASCII without the apostrophe, and À to ÿ, whose
+# first byte is LATIN. These letters are whole under NFC, and no mark of another word joins them.
+SPACE, LETTER, DIGIT, SYMBOL = range(4)
+LATIN = 0xC3
+KINDS = np.full(256, SYMBOL, np.uint8)
+KINDS[list(b" \t\n\v\f\r")] = SPACE
+KINDS[list(range(ord("A"), ord("Z") + 1)) + list(range(ord("a"), ord("z") + 1)) + list(range(0x80, 0x100))] = LETTER
+KINDS[list(range(ord("0"), ord("9") + 1))] = DIGIT
+LOWER = np.frombuffer(bytes(range(256)).lower(), np.uint8)
+#: Bytes that a plain word cannot have; those behind another first byte than LATIN need no mark of their own.
+ODD = np.array([not (0x20 <= b < 0x7F or 0x80 <= b < 0xC0 or b == LATIN or KINDS[b] == SPACE) or b == ord("'") for b in range(256)])
+PLAIN = [*map(chr, range(0x21, 0x7F)), *map(chr, range(0xDF, 0x100))]
 
 
 def id_type(tokenizer: Tokenizer) -> np.dtype:
@@ -92,8 +106,24 @@ def id_type(tokenizer: Tokenizer) -> np.dtype:
     return np.dtype("<u2" if max(tokenizer.get_vocab().values()) < 1 << 16 else "<u4")
 
 
+_GAP = re.compile(rb"[ \t\n\v\f\r]")
+
+
+def _sections(texts: pa.Array) -> Iterator[pa.Array]:
+    """The texts as they are, but one alone cut at the first white space behind every RUN_CHARS bytes."""
+    if len(texts) != 1 or texts.null_count:
+        yield texts
+        return
+    data, start, gap = texts[0].as_buffer(), 0, True
+    while gap:
+        gap = _GAP.search(data, start + RUN_CHARS)
+        size = (gap.start() if gap else len(data)) - start
+        yield pa.Array.from_buffers(pa.large_string(), 1, [None, pa.py_buffer(np.array([0, size])), data.slice(start, size)])
+        start += size
+
+
 class Encoder:
-    """Ids of texts by a tokenizer file (its JSON text), with a bounded memory of words."""
+    """Ids of texts by a tokenizer file (its JSON text), with a bounded memory of pieces."""
 
     def __init__(self, text: str):
         # One thread: Spark gives the worker one core.
@@ -103,20 +133,21 @@ class Encoder:
         self.tokenizer.no_padding()
         self.dtype = id_type(self.tokenizer)
         spec = json.loads(text)
-        steps = [x["type"] for n in ("normalizer", "pre_tokenizer") for x in _parts(spec[n])]
-        cuts = [x["pattern"].get("Regex", "") for x in _parts(spec["pre_tokenizer"]) if x["type"] == "Split"]
-        # Only then is a word of ASCII letters one piece, and its small letters are what the model sees.
-        self._direct = steps == ["NFC", "Replace", "Lowercase", "Split", "ByteLevel"] and r"[\p{L}]+" in cuts[0].split("|") \
-            and not any(_LETTERS(x["content"]) for x in spec["added_tokens"])
+        known = (spec["normalizer"], spec["pre_tokenizer"]) == (NORMALIZER, PRE_TOKENIZER)
+        self._odd = ODD.copy() if known else KINDS != SPACE
+        for token in spec["added_tokens"]:  # words that may hold one are left to the library
+            self._odd[[x.encode()[0] for x in (token["content"][0].lower(), token["content"][0].upper())]] = True
+        letters = ByteLevel(add_prefix_space=False, use_regex=False)
+        self._letters = {ord(c): letters.pre_tokenize_str(c)[0][0] for c in PLAIN}
         self._know({}, np.zeros(1, np.int64), np.zeros(0, self.dtype))
 
-    def _know(self, place: dict[str, int], borders: np.ndarray, ids: np.ndarray) -> None:
-        """Know these words only; ids of place i lie between borders i and i + 1."""
+    def _know(self, place: dict[bytes, int], borders: np.ndarray, ids: np.ndarray) -> None:
+        """Know these pieces only; ids of place i lie between borders i and i + 1."""
         self._place, self._borders, self._ids = place, borders, ids
-        self._met = np.zeros(len(borders) - 1, np.int32)  # batches that had the word
+        self._met = np.zeros(len(borders) - 1, np.int32)  # batches that had the piece
 
     def _shrink(self) -> None:
-        """Keep the words that more than one batch had, if those are not too many."""
+        """Keep the pieces that more than one batch had, if those are not too many."""
         again = [(w, i) for w, i in self._place.items() if self._met[i] > 1]
         again = again if len(again) <= REMEMBERED_WORDS // 2 else []
         lists = pa.LargeListArray.from_arrays(self._borders, self._ids).take(pa.array([i for _, i in again], pa.int64()))
@@ -124,52 +155,92 @@ class Encoder:
         self._know({w: i for i, (w, _) in enumerate(again)}, np.r_[0, np.cumsum(sizes)].astype(np.int64),
                    lists.flatten().to_numpy(zero_copy_only=False))
 
-    def _learn(self, words: list[str]) -> tuple[np.ndarray, list[int]]:
-        """Sizes and ids of words, by the library."""
-        sizes, ids, other = np.zeros(len(words), np.int64), [], []
-        model = self.tokenizer.model
-        for i, word in enumerate(words):
-            if self._direct and _LETTERS(word):
-                tokens = [t.id for t in model.tokenize(word.lower())]
-                sizes[i] = len(tokens)
-                ids.append(tokens)
-            else:
-                other.append(i)
-                ids.append(None)
+    def _cut(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """Pieces of all texts, which of them are words left to the library, and how many each text has.
+
+        A plain word is cut at every change of kind and behind every digit, in small letters. Others stay as
+        they are: they hold a byte that no plain word has, so that no piece of one kind equals one of the other.
+        """
+        texts = pc.fill_null(texts, "").cast(pa.large_string())
+        ends = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, 8 * texts.offset)
+        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+        starts, ends = ends[:-1] - ends[0], ends[1:] - ends[0]
+        kind, odd = KINDS[data], self._odd[data]
+        small = LOWER[data]
+        latin = np.flatnonzero(data[:-1] == LATIN)
+        after = data[latin + 1]
+        odd[latin] |= (after == 0x97) | (after == 0xB7)  # the signs of multiplication and division
+        small[latin + 1] += 0x20 * ((after >= 0x80) & (after < 0x9F)).astype(np.uint8)
+        solid = kind != SPACE
+        first, cut = np.ones(len(data), bool), np.ones(len(data), bool)
+        first[1:] = ~solid[:-1]
+        cut[1:] = kind[1:] != kind[:-1]
+        cut |= kind == DIGIT
+        starts = starts[starts < len(data)]
+        first[starts] = cut[starts] = True
+        first &= solid
+        cut &= solid
+        # Bytes inside of the words left to the library are neither cut nor made small.
+        words = np.flatnonzero(first)
+        left = np.unique(np.searchsorted(words, np.flatnonzero(odd), side="right")) - 1
+        inside = np.zeros(len(data) + 1, np.int8)
+        inside[words[left]] += 1
+        inside[np.r_[words, len(data)][left + 1]] -= 1
+        inside = np.cumsum(inside[:-1], dtype=np.int8).astype(bool)
+        cut = np.where(inside, first, cut)
+        small = np.where(inside, data, small)
+        at = np.flatnonzero(cut)
+        borders = np.r_[np.flatnonzero(cut[solid]), np.count_nonzero(solid)]
+        pieces = pa.Array.from_buffers(
+            pa.large_binary(), len(at), [None, pa.py_buffer(borders.astype(np.int64)), pa.py_buffer(small[solid])])
+        return pieces, inside[at], np.diff(np.r_[0, np.searchsorted(at, ends)])
+
+    def _learn(self, pieces: list[bytes], left: np.ndarray) -> tuple[np.ndarray, list[int]]:
+        """Sizes and ids of pieces, by the library: its model alone, or the whole of it for those left to it."""
+        ids: list[list[int]] = [[]] * len(pieces)
+        plain, other = np.flatnonzero(~left).tolist(), np.flatnonzero(left).tolist()
+        tokenize = self.tokenizer.model.tokenize
+        spelled = b"\n".join([pieces[i] for i in plain]).decode().translate(self._letters).split("\n")
+        for i, piece in zip(plain, spelled if plain else [], strict=True):
+            ids[i] = [t.id for t in tokenize(piece)]
         for at in range(0, len(other), 5_000):
             part = other[at : at + 5_000]
-            e = self.tokenizer.encode([words[i] for i in part], is_pretokenized=True, add_special_tokens=False)
-            each = np.bincount(np.array(e.word_ids, np.int64), minlength=len(part))
-            sizes[part], flat, end = each, e.ids, 0
-            for i, n in zip(part, each.tolist(), strict=True):
+            e = self.tokenizer.encode([pieces[i].decode() for i in part], is_pretokenized=True, add_special_tokens=False)
+            flat, end = e.ids, 0
+            for i, n in zip(part, np.bincount(np.array(e.word_ids, np.int64), minlength=len(part)).tolist(), strict=True):
                 ids[i], end = flat[end : end + n], end + n
-        return sizes, list(itertools.chain.from_iterable(ids))
+        return np.fromiter(map(len, ids), np.int64, len(ids)), list(itertools.chain.from_iterable(ids))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and how many each text has. Null: none."""
-        chunks = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
-        distinct = chunks.flatten().dictionary_encode()
-        words = distinct.dictionary.to_pylist()
+        ids, counts = zip(*map(self._encode, _sections(texts)), strict=True)
+        return np.concatenate(ids), sum(counts)
+
+    def _encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        pieces, left, counts = self._cut(texts)
+        distinct = pieces.dictionary_encode()
+        words = distinct.dictionary.to_numpy(zero_copy_only=False).tolist()
         if len(self._place) > REMEMBERED_WORDS:
             self._shrink()
-        # A new word's place is behind the known ones; the places of words met again stay empty.
+        # A new piece's place is behind the known ones; the places of pieces met again stay empty.
         known = len(self._met)
         at = np.fromiter(map(self._place.setdefault, words, range(known, known + len(words))), np.int64, len(words))
         new = np.flatnonzero(at >= known)
+        to_library = np.zeros(len(words), bool)
+        to_library[distinct.indices.to_numpy()[left]] = True
         sizes = np.zeros(len(words), np.int64)
-        sizes[new], ids = self._learn([words[i] for i in new.tolist()])
+        sizes[new], ids = self._learn([words[i] for i in new.tolist()], to_library[new])
         self._borders = np.r_[self._borders, self._borders[-1] + np.cumsum(sizes)]
         self._ids = np.r_[self._ids, np.array(ids, self.dtype)]
         self._met = np.r_[self._met, np.zeros(len(words), np.int32)]
         self._met[at] += 1
         by_word = pa.LargeListArray.from_arrays(self._borders, self._ids).take(pa.array(at))
-        by_chunk = by_word.take(distinct.indices)
-        ends = np.r_[0, np.cumsum(pc.list_value_length(by_chunk).to_numpy(zero_copy_only=False))]
-        borders = np.cumsum(pc.list_value_length(chunks).to_numpy(zero_copy_only=False))
-        for i in new.tolist():
-            if len(words[i]) > LONGEST_WORD:
-                del self._place[words[i]]
-        return by_chunk.flatten().to_numpy(zero_copy_only=False), np.diff(np.r_[0, ends[borders]])
+        by_piece = by_word.take(distinct.indices)
+        ends = np.r_[0, np.cumsum(pc.list_value_length(by_piece).to_numpy(zero_copy_only=False))]
+        long = pc.binary_length(distinct.dictionary).to_numpy(zero_copy_only=False) > LONGEST_WORD
+        for i in new[long[new]].tolist():
+            del self._place[words[i]]
+        return by_piece.flatten().to_numpy(zero_copy_only=False), np.diff(np.r_[0, ends[np.cumsum(counts)]])
 
 
 @functools.lru_cache(maxsize=2)
@@ -206,6 +277,7 @@ def encode(docs: DataFrame, vocabulary: str, end: int, key: str, text: str) -> D
                 ids = pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(starts), pa.py_buffer(flat)])
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), batch.column(1), pa.array(counts + 1), ids], schema=schema)
+                pa.default_memory_pool().release_unused()  # what a run took, an idle worker would keep
 
     return docs.select(
         F.col(key).cast("long").alias("key"), F.monotonically_increasing_id().alias("row"), F.col(text).cast("string")

@@ -1,8 +1,10 @@
 """Token files: numbers and files read back as they were, ids those of the library."""
 
+import json
 from zlib import crc32
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
@@ -114,6 +116,62 @@ def test_words_are_forgotten_and_learnt_again(library, monkeypatch):
         assert len(encoder._place) <= 20 + 10 * 3
 
 
+@pytest.fixture(scope="module")
+def spec():
+    with open(PATH, encoding="utf-8") as file:
+        return file.read()
+
+
+def encoded(spec, texts):
+    flat, counts = (encoder := t.encoder_of(spec)).encode(pa.array(texts, pa.string()))
+    return encoder, [x.tolist() for x in np.split(flat, np.cumsum(counts)[:-1])]
+
+
+def test_a_word_with_marks_and_capitals_is_learnt_once(library, spec):
+    t.encoder_of.cache_clear()
+    texts = [f"{a}{w}{b}" for w in ("thering", "THERING", "Thering", "Été", "été", "ÉTÉ") for a in ("", "(") for b in ("", ",", ".", "!!", "7")]
+    encoder, got = encoded(spec, texts)
+    assert got == [library.encode(x, add_special_tokens=False).ids for x in texts]
+    assert set(encoder._place) == {x.encode() for x in ("thering", "été", "(", ",", ".", "!!", "7")}
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.lists(st.none() | st.text("aZsStTré É ÀÞßÿĀ×÷'<|>12.,!\u0301\xa0\x85\x1c\x7f\x00\t\n€ΣİſK½²ªデ🎉", max_size=25), max_size=6))
+def test_every_kind_of_byte_is_cut_as_the_library_does(library, spec, texts):
+    texts = [*texts, "don't we'll it's !'s 's5 'sun", "x<|endoftext|>É", "B" * 300 + "×É"]
+    assert encoded(spec, texts)[1] == [library.encode(x or "", add_special_tokens=False).ids for x in texts]
+
+
+@pytest.mark.parametrize("change", [
+    {"normalizer": {"type": "NFC"}},
+    {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}},
+    {"added_tokens": [{"id": 49406, "content": "Éz", "single_word": False, "lstrip": False, "rstrip": False, "normalized": False, "special": True}]},
+])
+def test_other_steps_before_the_model_are_left_to_the_library(spec, change):
+    spec = json.dumps(json.loads(spec) | change)
+    texts = ["HELLO, Été-42!", None, "hello", "xÉz éz ÉZ"]
+    other = Tokenizer.from_str(spec)
+    words = [[i for w in (x or "").split() for i in other.encode(w, add_special_tokens=False).ids] for x in texts]
+    assert encoded(spec, texts)[1] == words
+
+
+def test_a_slice_of_texts_is_cut_at_its_own_borders(library, spec):
+    texts = pa.array(["no", "end", "start", None, "", "é1", "Last"]).slice(1, 5)
+    flat, counts = t.Encoder(spec).encode(texts)
+    assert [x.tolist() for x in np.split(flat, np.cumsum(counts)[:-1])] == [
+        library.encode(x or "", add_special_tokens=False).ids for x in texts.to_pylist()]
+
+
+def test_a_long_text_is_encoded_in_sections(library, spec, monkeypatch):
+    monkeypatch.setattr(t, "RUN_CHARS", 20)
+    text = " Été,\nn° 12 don't\t" * 30 + "x" * 100 + "  end"
+    sections = list(t._sections(pa.array([text])))
+    assert "".join(x[0].as_py() for x in sections) == text
+    assert max(len(x[0].as_py()) for x in sections) <= 120
+    for x in (text, "y" * 50, "", " ", None, "z" * 20 + " "):
+        assert encoded(spec, [x])[1] == [library.encode(x or "", add_special_tokens=False).ids]
+
+
 def test_query_on_a_whole_table(spark, library):
     folder = "/root/testdata/sf0.01"
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{folder}/documents.parquet").collect()]
